@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pagewright.llm.simhash import op1_simhash
+from pagewright.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
