@@ -75,7 +75,3 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
         .drop("_at", "_part", "_before")
     )
 
-
-def with_small(df: DataFrame, small: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
-    """Join, broadcasting the small side only if its counted rows stay under the bound."""
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

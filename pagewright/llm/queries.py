@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pagewright.llm.mixing import op10_mixing
+from pagewright.llm.packing import op2_packing
 from pagewright.llm.simhash import op1_simhash
 from pagewright.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {}
