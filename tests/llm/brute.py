@@ -61,3 +61,15 @@ def substrings(docs: list[tuple[int | None, str | None]], window: int = 50) -> l
 
 def counted(rows) -> Counter:
     return Counter(map(tuple, rows))
+
+
+def edits(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, str, str]]:
+    """doc_id: n_chars, edited_sha256, edited text."""
+    order = sorted(docs, key=lambda r: -r[0])
+    out = {}
+    for k, (doc, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        out[doc] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), edited)
+    return out
