@@ -7,11 +7,13 @@ from pagewright.llm.packing import op2_packing
 from pagewright.llm.prefix_hash import op5_fingerprints
 from pagewright.llm.simhash import op1_simhash
 from pagewright.llm.substring_dedup import op8_substring_dedup
+from pagewright.llm.warc import op6_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op5_fingerprints": op5_fingerprints,
+    "op6_warc": op6_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
 }
