@@ -101,24 +101,25 @@ def _profiles(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, body, at, h1, h2 of the windows whose minimiser is among the document's shared ones."""
+    """doc_id, body, at, h1, h2 of the windows whose minimiser is among the document's shared ones, and whether a smaller
+    document has the minimiser too (later), without which the window stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 500):
             ids, bodies, parts = batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), []
-            for doc, body, raw, keys in zip(ids, bodies, raw_texts(batch.column("text")), batch.column("shared"), strict=True):
+            for doc, body, raw, keys, later in zip(ids, bodies, raw_texts(batch.column("text")), batch.column("shared"), batch.column("later"), strict=True):
                 words = word_hashes(raw.split())
                 if len(words) < window:
                     continue
-                wanted = np.isin(window_minimisers(words, window, gram), keys.values.to_numpy().view(np.uint64))
-                at = np.flatnonzero(wanted)
+                least = window_minimisers(words, window, gram).view(np.int64)
+                at = np.flatnonzero(np.isin(least, keys.values.to_numpy()))
                 if len(at):
                     h1, h2 = (rolling(words, window, base, 7)[at].view(np.int64) for base in WORD_BASES)
-                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at.astype(np.int32), h1, h2))
+                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at.astype(np.int32), h1, h2, np.isin(least[at], later.values.to_numpy())))
             for k in range(0, len(parts), 50):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts[k : k + 50], strict=True)], ["doc_id", "body", "at", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts[k : k + 50], strict=True)], ["doc_id", "body", "at", "h1", "h2", "later"])
 
-    return shared.select("doc_id", "body", "text", "shared").mapInArrow(run, "doc_id long, body long, at int, h1 long, h2 long")
+    return shared.select("doc_id", "body", "text", "shared", "later").mapInArrow(run, "doc_id long, body long, at int, h1 long, h2 long, later boolean")
 
 
 def intervals(at: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -154,11 +155,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pr
     profiles = durable(_profiles(docs, window, gram)) if profiles is None else profiles
     first = profiles.groupBy("digest").agg(F.min("doc_id").alias("first"))
     own = profiles.join(first, "digest").where(F.col("doc_id") == F.col("first")).select("doc_id", "body", F.explode("keys").alias("key"))
-    spread = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    shared = own.join(spread, "key").groupBy("doc_id", "body").agg(F.collect_set("key").alias("shared"))
+    spread = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+    later = F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.col("key")))
+    shared = own.join(spread, "key").groupBy("doc_id", "body").agg(F.collect_set("key").alias("shared"), later.alias("later"))
     windows = durable(_windows(_bodies(docs).join(shared, ["doc_id", "body"]), window, gram))
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    return windows.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "body", "at")
+    return windows.where("later").drop("later").join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "body", "at")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
