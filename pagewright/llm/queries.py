@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pagewright.llm import line_dedup
 from pagewright.llm.mixing import op10_mixing
 from pagewright.llm.packing import op2_packing
+from pagewright.llm.pii import op7_pii
 from pagewright.llm.prefix_hash import op5_fingerprints
 from pagewright.llm.simhash import op1_simhash
 from pagewright.llm.substring_dedup import op8_substring_dedup
@@ -12,10 +14,14 @@ from pagewright.llm.warc import op6_warc
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": line_dedup.ORACLE,
+}
