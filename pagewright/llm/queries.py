@@ -7,6 +7,7 @@ from pagewright.llm.mixing import op10_mixing
 from pagewright.llm.packing import op2_packing
 from pagewright.llm.pii import op7_pii
 from pagewright.llm.prefix_hash import op5_fingerprints
+from pagewright.llm.quality import op9_quality
 from pagewright.llm.simhash import op1_simhash
 from pagewright.llm.substring_dedup import op8_substring_dedup
 from pagewright.llm.warc import op6_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
