@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import line_dedup
+from pagewright.llm.ann import op4_nearest
 from pagewright.llm.mixing import op10_mixing
 from pagewright.llm.packing import op2_packing
 from pagewright.llm.pii import op7_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_nearest": op4_nearest,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
