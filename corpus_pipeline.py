@@ -1,6 +1,79 @@
-STAGES = []
+"""A training corpus from `documents`: reject poor documents, cut boilerplate lines, keep one of each group of near
+duplicates, mix sources to their weights, pack into sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results beyond those of the operators: a document that boilerplate removal leaves blank goes; n_chars follows the
+text; of repeated rows one stays after the near-duplicate stage; the mix repeats a row as often as it is taken.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.llm import line_dedup, mixing, packing, quality, simhash
+from pagewright.llm.common import durable, shared_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    docs = docs.select(*COLUMNS)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= quality.KEEP).select(*COLUMNS)
+
+
+def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many sites share."""
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    changed = F.col("n_removed") > 0
+    cut = cut.where(~(changed & (F.trim("text") == "")))
+    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; repeated rows once."""
+    found = simhash.near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.mix(docs).groupBy("body").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = docs.withColumn("body", F.xxhash64(F.col("doc_id").cast("long"), "source", "text"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("body").orderBy("body"))).where("nth = 1")
+    return rows.join(taken, "body").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the tokens of every document stand in the training sequences."""
+    import public_tokenizers
+
+    return packing.pack(durable(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", cut_boilerplate),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: SQL has neither the hashes nor the tokenizer; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage leaves is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
