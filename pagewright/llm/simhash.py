@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, hot: int
     """doc_id, fp and component_id (the least doc_id that links reach) of every document."""
     marked = durable(fingerprints(docs, shingle))
     first = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = durable(links(first.select("fp"), first.count(), radius, hot))
-    if edges.isEmpty():
+    n = first.count()
+    edges = durable(links(first.select("fp"), n, radius, hot)) if n > 1 else None
+    if edges is None or edges.isEmpty():
         owner = first.select("fp", F.col("first").alias("component_id"))
     else:
         rooted = first.withColumn("node", F.xxhash64("fp")).join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -64,7 +64,6 @@ def chunks(text: str, most: int = CHUNK) -> list[str]:
             out.append(rest[: k + len(start) // 2])
             rest = rest[k + len(start) // 2 :]
         out.append(rest)
-    # two neighbouring pieces are records of their own, so a record start across them is cut as well
     return out
 
 
