@@ -52,16 +52,17 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     lines = line_rows(docs)
     common = boilerplate(lines, sites)
     drop = lines.join(common, ["h1", "h2"]).where("doc_id is null or doc_id > first")
-    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("at").alias("_drop"))
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    rows = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_body")), "left").drop("_id", "_body", "_own")
-    kept = [f for f in rows.schema.fields if f.name not in ("_drop", "n_lines", "n_removed", "kept_sha256")]
+    drop = drop.groupBy("doc_id", "body").agg(F.collect_set("at").alias("drop"))
+    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed", "kept_sha256")]
+    rows = docs.select(F.struct(*[f"`{f.name}`" for f in kept]).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    rows = rows.join(drop, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("body")), "left").select("doc", "drop")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_lines long, n_removed long, kept_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 1000):
             texts, counts, removed, digests = [], [], [], []
-            for raw, drop in zip(raw_texts(batch.column("text")), batch.column("_drop").to_pylist(), strict=True):
+            doc = {f.name: batch.column("doc").field(k) for k, f in enumerate(kept)}
+            for raw, drop in zip(raw_texts(doc["text"]), batch.column("drop").to_pylist(), strict=True):
                 parts = [] if raw is None else raw.split(b"\n")
                 gone = set(drop or ())
                 left = raw if not gone else b"\n".join(x for i, x in enumerate(parts) if i not in gone)
@@ -69,10 +70,10 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
                 counts.append(len(parts))
                 removed.append(len(gone))
                 digests.append(hashlib.sha256(left or b"").hexdigest())
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if f.name == "text" else batch.column(f.name) for f in kept]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if f.name == "text" else doc[f.name] for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [*(f.name for f in kept), "n_lines", "n_removed", "kept_sha256"])
 
-    return rows.select(*[f"`{f.name}`" for f in kept], "_drop").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
