@@ -158,7 +158,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pr
     spread = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     later = F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.col("key")))
     shared = own.join(spread, "key").groupBy("doc_id", "body").agg(F.collect_set("key").alias("shared"), later.alias("later"))
-    windows = durable(_windows(_bodies(docs).join(shared, ["doc_id", "body"]), window, gram))
+    # not kept: hashing again costs less than the disk, and all readers share one shuffle of the texts
+    windows = _windows(_bodies(docs).join(shared, ["doc_id", "body"]), window, gram)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     return windows.where("later").drop("later").join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "body", "at")
 
