@@ -31,7 +31,7 @@ PATTERNS = {
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
+    "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "intl_phone": r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9-])",
@@ -153,6 +153,7 @@ def _moved_date(value: str, key: bytes) -> str | None:
 
 
 _finders = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+_last_group = re.compile(r"[ .-][^ .-]*$")
 _needs = {"access_key": re.compile("A[KS]IA").search, "email": lambda t: "@" in t}
 
 
@@ -163,9 +164,15 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int
     for kind, finder in _finders.items():
         if not _needs.get(kind, lambda t: digit)(text):
             continue
-        for m in finder.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in found) and (new := pseudonym(kind, m[0], key)):
-                found.append((m.start(), m.end(), kind, new))
+        at = 0
+        while m := finder.search(text, at):
+            value = m[0]
+            while (new := pseudonym(kind, value, key)) is None and kind in ("iban", "intl_phone") and _last_group.search(value):
+                value = _last_group.sub("", value)  # what follows may be no part of it
+            start, end = m.start(), m.start() + len(value)
+            at = end if new else start + 1
+            if new and not any(a < end and start < b for a, b, _, _ in found):
+                found.append((start, end, kind, new))
     found.sort()
     out, last = [], 0
     for a, b, _, new in found:

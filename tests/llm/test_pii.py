@@ -36,6 +36,14 @@ def test_spaced_and_plain_numbers_stay_linked():
     assert spaced.replace(" ", "") == plain
 
 
+@pytest.mark.parametrize("kind", VALID)
+def test_neighbours_do_not_hide_a_value(kind):
+    for value in VALID[kind]:
+        for other in ("53.121.55.90", "+1 (935) 555-6637", "4046587241604630", "NEXT WORD 12", "12 3456"):
+            for text in (f"{value} {other}", f"{other} {value}", f"({value}). {other}"):
+                assert value not in pii.replaced(text)[0], text
+
+
 def test_invalid_numbers_stay():
     for text in ("4041894974608796", "DE88370400440532013000", "000-12-3456", "300.1.2.3", "2023-02-30", "version 2.0 of 1999", "v1.2.3.4.5"):
         assert pii.replaced(text) == (text, [])
