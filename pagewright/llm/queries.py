@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import line_dedup
+from pagewright.llm import line_dedup, substring_dedup, warc
 from pagewright.llm.ann import op4_nearest
 from pagewright.llm.mixing import op10_mixing
 from pagewright.llm.packing import op2_packing
@@ -10,8 +10,6 @@ from pagewright.llm.pii import op7_pii
 from pagewright.llm.prefix_hash import op5_fingerprints
 from pagewright.llm.quality import op9_quality
 from pagewright.llm.simhash import op1_simhash
-from pagewright.llm.substring_dedup import op8_substring_dedup
-from pagewright.llm.warc import op6_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -19,13 +17,15 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_nearest": op4_nearest,
     "op5_fingerprints": op5_fingerprints,
-    "op6_warc": op6_warc,
+    "op6_warc": warc.op6_warc,
     "op7_pii": op7_pii,
-    "op8_substring_dedup": op8_substring_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }

@@ -170,3 +170,13 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_records(spark, path)
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(sha1(coalesce(html, '')), {1 + 5 * k}, 5) AS INT) >> {shift}) % 32 + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > least AND payload_bytes >= {REVISIT_BYTES} THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id > least AND payload_bytes >= {REVISIT_BYTES} THEN least END AS refers_to FROM f
+"""
