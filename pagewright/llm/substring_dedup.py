@@ -101,8 +101,9 @@ def _profiles(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, body, at, h1, h2 of the windows whose minimiser is among the document's shared ones, and whether a smaller
-    document has the minimiser too (later), without which the window stays."""
+    """doc_id, body, h1, h2 of the distinct windows of a document whose minimiser is among its shared ones, and whether a
+    smaller document has the minimiser too (later), without which the window stays. A window that a document repeats
+    over and over is one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 500):
@@ -114,12 +115,15 @@ def _windows(shared: DataFrame, window: int, gram: int) -> DataFrame:
                 least = window_minimisers(words, window, gram).view(np.int64)
                 at = np.flatnonzero(np.isin(least, keys.values.to_numpy()))
                 if len(at):
-                    h1, h2 = (rolling(words, window, base, 7)[at].view(np.int64) for base in WORD_BASES)
-                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at.astype(np.int32), h1, h2, np.isin(least[at], later.values.to_numpy())))
+                    h1 = rolling(words, window, WORD_BASES[0], 7)[at].view(np.int64)
+                    h1, once = np.unique(h1, return_index=True)
+                    at = at[once]
+                    h2 = rolling(words, window, WORD_BASES[1], 7)[at].view(np.int64)
+                    parts.append((np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), h1, h2, np.isin(least[at], later.values.to_numpy())))
             for k in range(0, len(parts), 50):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts[k : k + 50], strict=True)], ["doc_id", "body", "at", "h1", "h2", "later"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts[k : k + 50], strict=True)], ["doc_id", "body", "h1", "h2", "later"])
 
-    return shared.select("doc_id", "body", "text", "shared", "later").mapInArrow(run, "doc_id long, body long, at int, h1 long, h2 long, later boolean")
+    return shared.select("doc_id", "body", "text", "shared", "later").mapInArrow(run, "doc_id long, body long, h1 long, h2 long, later boolean")
 
 
 def intervals(at: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -134,9 +138,10 @@ def _cuts(flagged: DataFrame, window: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 500):
             removed, digests, texts = [], [], []
-            for raw, at in zip(raw_texts(batch.column("text")), batch.column("at"), strict=True):
+            for raw, gone in zip(raw_texts(batch.column("text")), batch.column("gone"), strict=True):
                 words, kept, last = raw.split(), [], 0
-                for start, end in intervals(np.sort(at.values.to_numpy()), window):
+                hashes = rolling(word_hashes(words), window, WORD_BASES[0], 7).view(np.int64)
+                for start, end in intervals(np.flatnonzero(np.isin(hashes, gone.values.to_numpy())), window):
                     kept += words[last:start]
                     last = end
                 kept += words[last:]
@@ -146,11 +151,11 @@ def _cuts(flagged: DataFrame, window: int, with_text: bool) -> DataFrame:
             kept_texts = pa.array(texts, pa.binary()).cast(pa.string()) if with_text else pa.nulls(len(texts), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(removed, pa.int64()), pa.array(digests, pa.binary()), kept_texts], ["doc_id", "body", "n_removed", "digest", "kept"])
 
-    return flagged.select("doc_id", "body", "text", "at").mapInArrow(run, "doc_id long, body long, n_removed long, digest binary, kept string")
+    return flagged.select("doc_id", "body", "text", "gone").mapInArrow(run, "doc_id long, body long, n_removed long, digest binary, kept string")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, profiles: DataFrame | None = None) -> DataFrame:
-    """doc_id, body and at (word offset) of every window that also starts in a document with a smaller doc_id, for
+    """doc_id, body and h1 (the hash) of every distinct window that also starts in a document with a smaller doc_id, for
     documents that are not exact copies of a smaller one."""
     profiles = durable(_profiles(docs, window, gram)) if profiles is None else profiles
     first = profiles.groupBy("digest").agg(F.min("doc_id").alias("first"))
@@ -161,15 +166,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pr
     # not kept: hashing again costs less than the disk, and all readers share one shuffle of the texts
     windows = _windows(_bodies(docs).join(shared, ["doc_id", "body"]), window, gram)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    return windows.where("later").drop("later").join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "body", "at")
+    return windows.where("later").drop("later").join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "body", "h1")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, whether it is a copy of a smaller one, and (if wanted,
     where words were cut out of it) kept, its text without them."""
     profiles = durable(_profiles(docs, window, gram))
-    at = repeated_windows(docs, window, gram, profiles).groupBy("doc_id", "body").agg(F.collect_set("at").alias("at"))
-    cut = _cuts(_bodies(docs).join(at, ["doc_id", "body"]), window, with_text)
+    gone = repeated_windows(docs, window, gram, profiles).groupBy("doc_id", "body").agg(F.collect_set("h1").alias("gone"))
+    cut = _cuts(_bodies(docs).join(gone, ["doc_id", "body"]), window, with_text)
     cut = cut.dropDuplicates(["doc_id", "body"]).select("doc_id", "body", F.col("n_removed").alias("cut"), F.col("digest").alias("left"), "kept")
     first = profiles.groupBy("digest").agg(F.min("doc_id").alias("first"))
     base = profiles.select("doc_id", "body", "n_words", "digest").join(first, "digest")
