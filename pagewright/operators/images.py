@@ -5,6 +5,8 @@ All rows of a page share page_id, so one shuffle by page_id (by_page) serves eve
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +80,39 @@ def box_mean(pixels: DataFrame, k: int = P.FLATTEN_KERNEL, value: str = "v", nam
     return box_sum(pixels, k, value, name).withColumn(name, F.bround(F.col(name) / (k * k)).cast("int"))
 
 
+def gaussian(size: int, sigma: float | None = None) -> list[float]:
+    """The weights of a Gaussian of that many taps; without a sigma that which goes with the size."""
+    sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    raw = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
+    return [x / sum(raw) for x in raw]
+
+
+def convolved(pixels: DataFrame, kernel: list[float], value: str = "v", name: str = "blur") -> DataFrame:
+    """pixels with a symmetric separable kernel applied, mirrored at the borders; a double."""
+    r = len(kernel) // 2
+    rows = _sized(pixels)
+    for axis, n, other in (("x", "w", "y"), ("y", "h", "x")):
+        source = F.col(value if axis == "x" else name).cast("double")
+        line = Window.partitionBy("page_id", other).orderBy("_at")
+        rows = rows.select("*", F.explode(_mirrored(axis, n, r)).alias("_at"))
+        total = source * kernel[r]
+        for k in range(1, r + 1):
+            total = total + (F.lag(source, k).over(line) + F.lead(source, k).over(line)) * kernel[r + k]
+        rows = rows.withColumn(name, total).where(F.col("_at") == F.col(axis)).drop("_at")
+    return rows.drop("w", "h")
+
+
+def unsharp(pixels: DataFrame, sigma: float = 0.8, size: int = 7, amount: float = 1.3) -> DataFrame:
+    """pixels away from their blur: amount of the pixel less the rest of the rounded blur."""
+    rows = convolved(pixels, gaussian(size, sigma)).withColumn("blur", F.bround("blur"))
+    return rows.select("page_id", "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), F.bround(F.col("v") * amount + F.col("blur") * (1.0 - amount)).cast("int"))).alias("v"))
+
+
+def adaptive_ink(pixels: DataFrame, block: int = 21, below: int = 7) -> DataFrame:
+    """Pixels darker than their surroundings' weighted mean by so much: page_id, y, x."""
+    return convolved(pixels, gaussian(block)).where(F.col("v") <= F.bround("blur") - below).select("page_id", "y", "x")
+
+
 def high_pass(pixels: DataFrame, k: int = P.FLATTEN_KERNEL) -> DataFrame:
     return box_mean(pixels, k).select("page_id", "y", "x", F.floor(flattened(F.col("v"), F.col("mean"))).cast("int").alias("v"))
 
@@ -263,6 +298,39 @@ def whiten_border(pixels: DataFrame, ink: int = P.INK, depth: float = 0.12, whit
     return pixels.join(gone, ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("gone"), white).otherwise(F.col("v")).alias("v"))
 
 
+def whiten_corners(pixels: DataFrame, bright: int = 150, step: int = 18, most: float = 0.06, size: int = 9, white: int = 252) -> DataFrame:
+    """pixels with smears painted white: what a flood from a bright corner reaches over steps of the blurred page, if it
+    is a small part of the page without strokes."""
+
+    def flood(page: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(page["y"].max()) + 1, int(page["x"].max()) + 1
+        blur, v = np.zeros((h, w)), np.zeros((h, w))
+        blur[page["y"], page["x"]], v[page["y"], page["x"]] = page["blur"], page["v"]
+        down, right = np.abs(np.diff(blur, axis=0)) <= step, np.abs(np.diff(blur, axis=1)) <= step
+        gone = np.zeros((h, w), bool)
+        for y, x in ((0, 0), (0, w - 1), (h - 1, 0), (h - 1, w - 1)):
+            if blur[y, x] < bright:
+                continue
+            seen, before = np.zeros((h, w), bool), 0
+            seen[y, x] = True
+            while seen.sum() > before:
+                before = seen.sum()
+                for k in range(1, h):
+                    seen[k] |= seen[k - 1] & down[k - 1]
+                for k in range(h - 1, 0, -1):
+                    seen[k - 1] |= seen[k] & down[k - 1]
+                for k in range(1, w):
+                    seen[:, k] |= seen[:, k - 1] & right[:, k - 1]
+                for k in range(w - 1, 0, -1):
+                    seen[:, k - 1] |= seen[:, k] & right[:, k - 1]
+            if 0.0005 < seen.mean() < most and not (v[seen] < P.INK).any():
+                gone |= seen
+        return page.assign(v=np.where(gone[page["y"], page["x"]], white, page["v"]))[["page_id", "y", "x", "v"]]
+
+    blurred = convolved(pixels, gaussian(size)).withColumn("blur", F.bround("blur"))
+    return blurred.select("page_id", "y", "x", "v", "blur").groupBy("page_id").applyInPandas(flood, "page_id long, y int, x int, v int")
+
+
 def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """pixels inside their page's box x0, y0, x1, y1, moved to its corner."""
     inside = pixels.join(boxes, "page_id").where("x >= x0 and x < x1 and y >= y0 and y < y1")

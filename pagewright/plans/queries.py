@@ -14,6 +14,7 @@ from pagewright.functions import tones as T
 from pagewright.operators import batches as B
 from pagewright.operators import images as I
 from pagewright.operators import segments as G
+from pagewright.operators import warp as W
 from pagewright.plans import scan
 from pagewright.streaming import jobs as J
 
@@ -274,6 +275,53 @@ def mask_except(spark, sf_dir):
     return I.mask_except(px.where("v < 128"), px.where("v < 100 or y = 3"))
 
 
+def _blur(rel: str, kernel: list[float], value: str = "v") -> str:
+    """A subquery with the separable kernel around each pixel, mirrored at the borders."""
+    r = len(kernel) // 2
+    near = lambda a: f"CASE WHEN {a} < 0 THEN -({a}) WHEN {a} > 7 THEN 14 - ({a}) ELSE {a} END"
+    weights = ", ".join(f"({k - r}, {w!r}::DOUBLE)" for k, w in enumerate(kernel))
+    return f"""(SELECT p.page_id, p.y, p.x, sum(ky.w * kx.w * q.{value}) AS blur FROM {rel} p, (VALUES {weights}) ky(d, w), (VALUES {weights}) kx(d, w), {rel} q
+        WHERE q.page_id = p.page_id AND q.y = {near("p.y + ky.d")} AND q.x = {near("p.x + kx.d")} GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {PX} SELECT p.page_id, p.y, p.x, CAST(least(255, greatest(0, round_even(v * 1.3::DOUBLE + round_even(blur, 0) * (1.0::DOUBLE - 1.3::DOUBLE), 0))) AS INT) AS v FROM px p JOIN {_blur('px', I.gaussian(7, 0.8))} b USING (page_id, y, x)")
+def unsharp(spark, sf_dir):
+    return I.unsharp(_pixels(spark, sf_dir))
+
+
+@query(f"WITH {PX} SELECT p.page_id, p.y, p.x FROM px p JOIN {_blur('px', I.gaussian(7))} b USING (page_id, y, x) WHERE v <= round_even(blur, 0) - 7")
+def adaptive_ink(spark, sf_dir):
+    return I.adaptive_ink(_pixels(spark, sf_dir), 7)
+
+
+_WEIGHTS = """w AS (SELECT *, CASE k WHEN -1 THEN ((-0.75::DOUBLE * (t + 1) + 3.75::DOUBLE) * (t + 1) - 6.0::DOUBLE) * (t + 1) + 3.0::DOUBLE WHEN 0 THEN (1.25::DOUBLE * t - 2.25::DOUBLE) * t * t + 1
+    WHEN 1 THEN (1.25::DOUBLE * (1 - t) - 2.25::DOUBLE) * (1 - t) * (1 - t) + 1 ELSE ((-0.75::DOUBLE * (2 - t) + 3.75::DOUBLE) * (2 - t) - 6.0::DOUBLE) * (2 - t) + 3.0::DOUBLE END AS w FROM taps)"""
+
+
+@query(f"""WITH {PX}, turn AS (SELECT page_id, y, x, 4 + sin(radians(page_id % 7 * 5 - 15)) * (x - 4) + cos(radians(page_id % 7 * 5 - 15)) * (y - 4) AS sy, 4 + cos(radians(page_id % 7 * 5 - 15)) * (x - 4) - sin(radians(page_id % 7 * 5 - 15)) * (y - 4) AS sx FROM px),
+taps AS (SELECT 'y' AS axis, page_id, y, x, CAST(floor(sy) AS INT) + k AS src, k, sy - floor(sy) AS t FROM turn, range(-1, 3) r(k) UNION ALL SELECT 'x', page_id, y, x, CAST(floor(sx) AS INT) + k, k, sx - floor(sx) FROM turn, range(-1, 3) r(k)), {_WEIGHTS}
+SELECT a.page_id, a.y, a.x, CAST(least(255, greatest(0, round_even(round(sum(a.w * b.w * coalesce(p.v, 255)), 9), 0))) AS INT) AS v FROM w a JOIN w b ON a.axis = 'y' AND b.axis = 'x' AND a.page_id = b.page_id AND a.y = b.y AND a.x = b.x
+LEFT JOIN px p ON p.page_id = a.page_id AND p.y = a.src AND p.x = b.src GROUP BY 1, 2, 3""")
+def deskew(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    angles = I.sizes(px).withColumn("angle", F.col("page_id") % 7 * 5 - 15)
+    return W.remap(px, W.rotation(angles))
+
+
+@query(f"""WITH {PX}, t AS (SELECT DISTINCT page_id, y2 AS y, x2 AS x, (y2 + 0.5::DOUBLE) * 8 / 5 - 0.5::DOUBLE AS sy, (x2 + 0.5::DOUBLE) * 8 / 11 - 0.5::DOUBLE AS sx FROM px, range(0, 5) a(y2), range(0, 11) b(x2)),
+c AS (SELECT *, floor(sy) AS fy, floor(sx) AS fx FROM t), taps AS (SELECT page_id, y, x, least(7, greatest(0, fy + a)) AS py, least(7, greatest(0, fx + b)) AS qx, CASE a WHEN 0 THEN 1 - (sy - fy) ELSE sy - fy END * CASE b WHEN 0 THEN 1 - (sx - fx) ELSE sx - fx END AS w FROM c, range(0, 2) m(a), range(0, 2) n(b))
+SELECT t.page_id, CAST(t.y AS INT) AS y, CAST(t.x AS INT) AS x, CAST(round_even(round(sum(w * v), 9), 0) AS INT) AS v FROM taps t JOIN px p ON p.page_id = t.page_id AND p.y = py AND p.x = qx GROUP BY 1, 2, 3""")
+def resized(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    return W.remap(px, W.resizing(I.sizes(px).withColumns({"new_w": F.lit(11), "new_h": F.lit(5)})), "linear", None)
+
+
+@query()
+def corner_smears(spark, sf_dir):
+    """Smears in page corners painted white."""
+    return I.whiten_corners(_pixels(spark, sf_dir), 100, 40, 0.5, 3)
+
+
 @query()
 def scan_pages(spark, sf_dir):
     """The whole page plan over colour pages."""

@@ -78,3 +78,30 @@ def test_blank_and_written_pages_survive_the_plan(spark):
     assert ink > 100 and out.where("page_id = 0 and v < 200").count() == 0
     bad = out.where("x < 0 or y < 0 or x >= canvas_w or y >= canvas_h").count()
     assert bad == 0
+
+
+def test_warps(spark, noise):
+    from pagewright.operators import warp as W
+
+    image = noise[0]
+    df = pixels(spark, image)
+    h, w = image.shape
+    same = W.remap(df, W.rotation(I.sizes(df).selectExpr("page_id", "w", "h", "0.0 as angle")))
+    assert (page(same, 0, image.shape) == image).all()
+    level = W.remap(df, W.unbending(spark.createDataFrame([(0, w, y, 0.0) for y in range(h)], "page_id long, w int, y int, slope double")), "lanczos")
+    assert (page(level, 0, image.shape) == image).all()
+    corners = [[0.0, 0.0], [w - 1.0, 0.0], [w - 1.0, h - 1.0], [0.0, h - 1.0]]
+    quad = spark.createDataFrame([(0, w, h, corners)], "page_id long, w int, h int, corners array<array<double>>")
+    flat = W.remap(df, W.warping(quad), "cubic", 0)
+    assert (page(flat, 0, (h - 1, w - 1))[0, 0], flat.count()) == (image[0, 0], (h - 1) * (w - 1))
+    half = W.remap(df, W.resizing(I.sizes(df).selectExpr("page_id", "w", "h", "w * 2 as new_w", "h * 2 as new_h")), "linear", None)
+    assert half.count() == 4 * h * w and page(half, 0, (2 * h, 2 * w))[0, 0] == image[0, 0]
+
+
+def test_corner_smears(spark):
+    image = np.full((60, 40), 255)
+    image[:4, :4] = 170  # a smear
+    image[54:, :6] = 175
+    image[56, 2] = 20  # a stroke within
+    out = page(I.whiten_corners(pixels(spark, image), step=4, size=3), 0, image.shape)
+    assert (out[0, :2] == 252).all() and out[56, 2] == 20 and (out[30] == 255).all()
