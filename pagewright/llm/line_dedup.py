@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import each_batch, raw_texts, table
+from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, raw_texts, table
 
 SITES = 10
 #: Base-2 logarithm of a sketch's registers, and the relative error that this gives.
@@ -34,15 +34,22 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "body", "source", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _few(lines: DataFrame) -> DataFrame:
+    """Lines to join others with: counted, and broadcast while they are few, so that a line that is everywhere needs no
+    task of its own; past the bound the join shuffles."""
+    lines = durable(lines)
+    return F.broadcast(lines) if lines.count() <= BROADCAST_ROWS else lines
+
+
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """h1, h2 and first (the smallest doc_id) of the lines in so many sites and distinct texts."""
     sketch = [F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_K))).alias(n) for c, n in (("source", "n_sites"), ("body", "n_texts"))]
     spread = lines.groupBy("h1", "h2").agg(*sketch, F.min("doc_id").alias("first"))
     slack = max(1, round(4 * ERROR * sites))
-    spread = spread.where((F.col("n_sites") >= sites - slack) & (F.col("n_texts") >= sites - slack))
+    spread = durable(spread.where((F.col("n_sites") >= sites - slack) & (F.col("n_texts") >= sites - slack)))
     sure = (F.col("n_sites") > sites + slack) & (F.col("n_texts") > sites + slack)
     near = spread.where(~sure).select("h1", "h2", "first")
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "first").agg(F.countDistinct("source").alias("n_sites"), F.countDistinct("body").alias("n_texts"))
+    exact = lines.join(_few(near), ["h1", "h2"]).groupBy("h1", "h2", "first").agg(F.countDistinct("source").alias("n_sites"), F.countDistinct("body").alias("n_texts"))
     exact = exact.where((F.col("n_sites") >= sites) & (F.col("n_texts") >= sites))
     return spread.where(sure).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
 
@@ -50,7 +57,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs without boilerplate lines, with n_lines, n_removed and kept_sha256 (of the text that is left)."""
     lines = line_rows(docs)
-    common = boilerplate(lines, sites)
+    common = _few(boilerplate(lines, sites))
     drop = lines.join(common, ["h1", "h2"]).where("doc_id is null or doc_id > first")
     drop = drop.groupBy("doc_id", "body").agg(F.collect_set("at").alias("drop"))
     kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed", "kept_sha256")]
