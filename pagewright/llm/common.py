@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import durable, shared_dir
+
+__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "durable", "each_batch", "flat_lists", "global_rank", "raw_texts", "shared_dir", "table"]
+
 #: Most rows of a side that is broadcast; the number is counted first.
 BROADCAST_ROWS = 100_000
 #: ASCII capitals to small letters.
@@ -20,25 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    sc = spark.sparkContext
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder, so that a lost executor loses none of them."""
-    root = shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return df.checkpoint()
-
-
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -32,7 +32,7 @@ END = 2
 #: Words whose ids a worker keeps; the rest are encoded whenever they come.
 CACHE = 400_000
 #: Pieces in one bucket of ranks, on average.
-BUCKET = 50_000
+BUCKET = 2_000
 
 _encoders: dict = {}
 
@@ -185,8 +185,8 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, bucket: int = BUCKET) -> Dat
     runs = best_fit_runs(histogram, capacity)
     fields = ["length", "from", "to", "first", "per", "base"]
     plan = spark.createDataFrame(runs, T.StructType([T.StructField(f, T.LongType()) for f in fields]))
-    buckets = max(1, sum(histogram.values()) // bucket)
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = F.lit([max(1, histogram.get(n, 0) // bucket) for n in range(capacity + 1)])  # a common length gets more
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int") + 1)))
     sizes = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
