@@ -6,6 +6,8 @@ ruling segments, parts are page sizes, events are job events, conversations are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from pagewright.operators import images as I
 from pagewright.operators import segments as G
 from pagewright.operators import warp as W
 from pagewright.plans import scan
+from pagewright.session import shared_dir
 from pagewright.streaming import jobs as J
 
 K = 5
@@ -563,8 +566,12 @@ EV = "ev AS (SELECT user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_jobs(table(spark, sf_dir, "events"))
+
+
+def _as_jobs(events: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in {"view": "page_done", "click": "scanning", "signup": "loading", "purchase": "done"}.items() for x in pair])
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.coalesce(kinds[F.col("event_type")], F.lit("error")).alias("type"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.coalesce(kinds[F.col("event_type")], F.lit("error")).alias("type"))
 
 
 _OPEN = f"{EV}, marked AS (SELECT *, coalesce(max(CAST(type IN ('done', 'error', '_eof') AS INT)) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM ev), open AS (SELECT job_id, ts, seq, type FROM marked WHERE over = 0)"
@@ -598,3 +605,16 @@ def misordered_events(spark, sf_dir):
 @query(f"WITH {_OPEN}, l AS (SELECT job_id, arg_max(type, seq_key) AS type, count(*) FILTER (WHERE type = 'page_done') AS pages FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS seq_key FROM open) GROUP BY 1) SELECT job_id, CASE type WHEN 'loading' THEN 'Loading PDF pages' WHEN 'done' THEN 'Scan complete!' WHEN 'error' THEN 'Scan failed' ELSE 'Scanning' END AS title, pages, type NOT IN ('done', 'error') AS running FROM l")
 def client_panels(spark, sf_dir):
     return J.panels(_events(spark, sf_dir))
+
+
+@query(f"""WITH {_OPEN}, n AS (SELECT job_id, type, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) - 1 AS seq, count(*) FILTER (WHERE type = 'page_done') OVER (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS page FROM open)
+SELECT job_id, seq, 'data: {{"type":"' || type || '"' || CASE WHEN type = 'page_done' THEN ',"page":' || page ELSE '' END || '}}' || chr(10) || chr(10) AS frame FROM n""")
+def job_stream(spark, sf_dir):
+    """The events as a stream with state per job, run until it has caught up; the frames it wrote."""
+    kinds = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(kinds.schema).parquet(f"{sf_dir}/events.parquet*")  # a glob: the stream takes a file as well as a folder
+    events = _as_jobs(stream).withWatermark("ts", "1 hour")
+    where = f"{shared_dir(spark)}/job-stream-{uuid.uuid4().hex}"
+    run = J.stream_frames(events, ttl=10 * 365 * 86_400).writeStream.format("parquet").option("path", f"{where}/frames").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("job_id long, seq long, frame string").parquet(f"{where}/frames")
