@@ -64,20 +64,21 @@ def _mirrored(at: str, n: str, r: int) -> Column:
     return F.expr(f"filter(array_distinct(concat({', '.join(spots)})), p -> p between -{r} and {n} - 1 + {r})")
 
 
-def box_sum(pixels: DataFrame, k: int, value: str, name: str) -> DataFrame:
-    """pixels with the sum of a k x k box around each, mirrored at the borders. Two sliding windows, whatever k is."""
+def box_sums(pixels: DataFrame, k: int, values: dict[str, str]) -> DataFrame:
+    """pixels with new columns (name: value) that hold the sums of a k x k box around each, mirrored at the borders. Two
+    sliding windows for all values together, whatever k is."""
     r = k // 2
     rows = _sized(pixels)
     for axis, n, other in (("x", "w", "y"), ("y", "h", "x")):
-        source = value if axis == "x" else name
         span = Window.partitionBy("page_id", other).orderBy("_at").rangeBetween(-r, r)
-        rows = rows.select("*", F.explode(_mirrored(axis, n, r)).alias("_at")).withColumn(name, F.sum(source).over(span)).where(F.col("_at") == F.col(axis)).drop("_at")
+        sums = {name: F.sum(value if axis == "x" else name).over(span) for name, value in values.items()}
+        rows = rows.select("*", F.explode(_mirrored(axis, n, r)).alias("_at")).withColumns(sums).where(F.col("_at") == F.col(axis)).drop("_at")
     return rows.drop("w", "h")
 
 
 def box_mean(pixels: DataFrame, k: int = P.FLATTEN_KERNEL, value: str = "v", name: str = "mean") -> DataFrame:
     """The rounded mean of the box (half to even)."""
-    return box_sum(pixels, k, value, name).withColumn(name, F.bround(F.col(name) / (k * k)).cast("int"))
+    return box_sums(pixels, k, {name: value}).withColumn(name, F.bround(F.col(name) / (k * k)).cast("int"))
 
 
 def gaussian(size: int, sigma: float | None = None) -> list[float]:
@@ -119,10 +120,8 @@ def high_pass(pixels: DataFrame, k: int = P.FLATTEN_KERNEL) -> DataFrame:
 
 def reference_look(pixels: DataFrame, k: int = P.FLATTEN_KERNEL, saturation: float = P.SATURATION) -> DataFrame:
     """Colour pixels flattened, saturated and stretched; one truncation at the end."""
-    rows = pixels
-    for c in "bgr":
-        rows = box_mean(rows, k, c, f"mean_{c}")
-    rows = rows.withColumns({c: flattened(F.col(c), F.col(f"mean_{c}")) for c in "bgr"})
+    rows = box_sums(pixels, k, {f"sum_{c}": c for c in "bgr"})
+    rows = rows.withColumns({c: flattened(F.col(c), F.bround(F.col(f"sum_{c}") / (k * k))) for c in "bgr"})
     b, g, r = (F.col(c) for c in "bgr")
     return rows.select("page_id", "y", "x", *[reference_tones(saturated(F.col(c), b, g, r, saturation)).alias(c) for c in "bgr"])
 
@@ -233,8 +232,7 @@ def structure_likeness(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
     """SSIM with box weights, averaged over the page."""
     both = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "y", "x"])
     both = both.withColumns({"aa": F.col("v") * F.col("v"), "bb": F.col("v2") * F.col("v2"), "ab": F.col("v") * F.col("v2")})
-    for c in ("v", "v2", "aa", "bb", "ab"):
-        both = box_sum(both, k, c, f"m_{c}")
+    both = box_sums(both, k, {f"m_{c}": c for c in ("v", "v2", "aa", "bb", "ab")})
     ma, mb, aa, bb, ab = (F.col(f"m_{c}") / (k * k) for c in ("v", "v2", "aa", "bb", "ab"))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     one = (2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2) / ((ma * ma + mb * mb + c1) * ((aa - ma * ma) + (bb - mb * mb) + c2))
