@@ -296,6 +296,25 @@ def whiten_border(pixels: DataFrame, ink: int = P.INK, depth: float = 0.12, whit
     return pixels.join(gone, ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("gone"), white).otherwise(F.col("v")).alias("v"))
 
 
+def horizontal_runs(mask: DataFrame, least: str) -> DataFrame:
+    """Mask pixels (page_id, y, x, width) that stand in horizontal runs of at least so many, an expression of width."""
+    island = F.col("x") - F.row_number().over(Window.partitionBy("page_id", "y").orderBy("x"))
+    rows = mask.withColumn("_run", island)
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("page_id", "y", "_run"))).where(F.col("_n") >= F.expr(least)).drop("_run", "_n")
+
+
+def ruling_segments(pixels: DataFrame, block: int = 21, run: str = "greatest(30, floor(width / 12))", length: str = "greatest(100, floor(w / 4))") -> DataFrame:
+    """page_id, seg_id, x1, y1, x2, y2, w, h: the long, nearly level strokes of each page. A stroke is a component of the
+    ink's horizontal runs, and its segment the least-squares line through its pixels."""
+    size = sizes(pixels)
+    mask = adaptive_ink(pixels, block).join(size.select("page_id", F.col("w").alias("width")), "page_id")
+    strokes = components(horizontal_runs(mask, run)).groupBy("page_id", F.col("label").alias("seg_id"))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    fits = strokes.agg(F.min(x).alias("x1"), F.max(x).alias("x2"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("start")).join(size, "page_id")
+    ends = {k: F.col("slope") * F.col(f"x{k[1]}") + F.col("start") for k in ("y1", "y2")}
+    return fits.where(F.col("x2") - F.col("x1") >= F.expr(length)).withColumns(ends).select("page_id", "seg_id", "x1", "y1", "x2", "y2", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"))
+
+
 def whiten_corners(pixels: DataFrame, bright: int = 150, step: int = 18, most: float = 0.06, size: int = 9, white: int = 252) -> DataFrame:
     """pixels with smears painted white: what a flood from a bright corner reaches over steps of the blurred page, if it
     is a small part of the page without strokes."""

@@ -40,8 +40,8 @@ def _lanczos(t: Column) -> list[tuple[int, Column]]:
 KERNELS = {"linear": _linear, "cubic": _cubic, "lanczos": _lanczos}
 
 
-def remap(pixels: DataFrame, targets: DataFrame, kernel: str = "cubic", beyond: int | None = 255) -> DataFrame:
-    """page_id, y, x, v of every target: the kernel's taps around its source, rounded half to even (after nine
+def remap(pixels: DataFrame, targets: DataFrame, kernel: str = "cubic", beyond: int | None = 255, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """page_id, y, x and values of every target: the kernel's taps around its source, rounded half to even (after nine
     decimals, so that the order of summing does not matter). Beyond the page is
     that value, or with None the nearest edge pixel."""
     taps = {}
@@ -50,14 +50,14 @@ def remap(pixels: DataFrame, targets: DataFrame, kernel: str = "cubic", beyond:
         taps[axis] = F.array(*[F.struct((F.floor(at).cast("int") + k).alias("at"), w.alias("w")) for k, w in KERNELS[kernel](at - F.floor(at))])
     rows = targets.select("page_id", "y", "x", taps["x"].alias("tx"), F.explode(taps["y"]).alias("ty")).select("page_id", "y", "x", "ty", F.explode("tx").alias("tx"))
     rows = rows.select("page_id", "y", "x", F.col("ty.at").alias("py"), F.col("tx.at").alias("px"), (F.col("ty.w") * F.col("tx.w")).alias("w"))
-    source = pixels.select("page_id", F.col("y").alias("py"), F.col("x").alias("px"), "v")
+    source = pixels.select("page_id", F.col("y").alias("py"), F.col("x").alias("px"), *values)
     if beyond is None:
         ends = pixels.groupBy("page_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
         inside = lambda c, most: F.least(F.greatest(F.col(c), F.lit(0)), F.col(most)).alias(c)
         rows = rows.join(ends, "page_id").select("page_id", "y", "x", inside("py", "my"), inside("px", "mx"), "w")
-    value = F.coalesce(F.col("v"), F.lit(255 if beyond is None else beyond))
-    summed = rows.join(source, ["page_id", "py", "px"], "left").groupBy("page_id", "y", "x").agg(F.sum(F.col("w") * value).alias("v"))
-    return summed.select("page_id", "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), F.bround(F.round("v", 9)).cast("int"))).alias("v"))
+    value = lambda c: F.coalesce(F.col(c), F.lit(255 if beyond is None else beyond))
+    summed = rows.join(source, ["page_id", "py", "px"], "left").groupBy("page_id", "y", "x").agg(*[F.sum(F.col("w") * value(c)).alias(c) for c in values])
+    return summed.select("page_id", "y", "x", *[F.least(F.lit(255), F.greatest(F.lit(0), F.bround(F.round(c, 9)).cast("int"))).alias(c) for c in values])
 
 
 def grid(sizes: DataFrame) -> DataFrame:

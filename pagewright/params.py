@@ -40,3 +40,6 @@ class ScanParams:
     aspect: float | None = 893 / 1263
     border_depth: float = 0.12
     noise_area: int = 15
+    ink_block: int = 21
+    ruling_run: str = "greatest(30, floor(width / 12))"
+    ruling_length: str = "greatest(100, floor(w / 4))"

@@ -297,6 +297,18 @@ def adaptive_ink(spark, sf_dir):
     return I.adaptive_ink(_pixels(spark, sf_dir), 7)
 
 
+@query(f"""WITH {PX}, ink AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS run FROM px WHERE v < 120),
+n AS (SELECT *, count(*) OVER (PARTITION BY page_id, y, run) AS n FROM ink) SELECT page_id, y, x FROM n WHERE n >= 3""")
+def horizontal_runs(spark, sf_dir):
+    return I.horizontal_runs(I.ink_mask(_pixels(spark, sf_dir), 120), "3").select("page_id", "y", "x")
+
+
+@query()
+def ruling_segments(spark, sf_dir):
+    """Long strokes of the pages with the lines through them."""
+    return I.ruling_segments(_pixels(spark, sf_dir), 7, "3", "3")
+
+
 _WEIGHTS = """w AS (SELECT *, CASE k WHEN -1 THEN ((-0.75::DOUBLE * (t + 1) + 3.75::DOUBLE) * (t + 1) - 6.0::DOUBLE) * (t + 1) + 3.0::DOUBLE WHEN 0 THEN (1.25::DOUBLE * t - 2.25::DOUBLE) * t * t + 1
     WHEN 1 THEN (1.25::DOUBLE * (1 - t) - 2.25::DOUBLE) * (1 - t) * (1 - t) + 1 ELSE ((-0.75::DOUBLE * (2 - t) + 3.75::DOUBLE) * (2 - t) - 6.0::DOUBLE) * (2 - t) + 3.0::DOUBLE END AS w FROM taps)"""
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import scalars as S
 from pagewright.operators import images as I
+from pagewright.operators import segments as G
+from pagewright.operators import warp as W
 from pagewright.params import ScanParams
 from pagewright.session import durable
 
@@ -26,6 +28,21 @@ def boxes(pixels: DataFrame) -> DataFrame:
     return box.select("page_id", F.greatest("x0", "left").alias("x0"), F.greatest("y0", "top").alias("y0"), "x1", "y1")
 
 
+def straighten(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
+    """Colour pages levelled by their rulings: row by row where enough bands have evidence, else by one turn; pages
+    without evidence stay as they are, and so do those that one turn would move too little or too much to trust."""
+    gray = I.by_page(I.gray(pixels))
+    segments = durable(G.rulings(I.ruling_segments(gray, params.ink_block, params.ruling_run, params.ruling_length)))
+    size = I.sizes(gray)
+    evident = size.join(segments.select("page_id").distinct(), "page_id")
+    rows = evident.select("page_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    bent = W.unbending(G.row_slopes(segments, rows).join(size.select("page_id", "w"), "page_id"))
+    turned = evident.join(G.skew(segments).where("angle <> 0"), "page_id").join(bent.select("page_id").distinct(), "page_id", "left_anti")
+    targets = durable(bent.unionByName(W.rotation(turned)))
+    moved = W.remap(pixels, targets, values=("b", "g", "r"))
+    return moved.unionByName(pixels.select("page_id", "y", "x", "b", "g", "r").join(targets.select("page_id").distinct(), "page_id", "left_anti"))
+
+
 def enhance(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
     return I.reference_look(pixels, params.kernel, params.saturation)
 
@@ -45,9 +62,9 @@ def reframe(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
 
 
 def scan(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
-    """page_id, canvas_w, canvas_h, y, x, v of every content pixel of every page after trims, enhancement, reframing and
+    """page_id, canvas_w, canvas_h, y, x, v of every content pixel of every page after levelling, trims, enhancement, reframing and
     the whitening of border specks; what a canvas does not list is white."""
-    pixels = durable(pixels)
+    pixels = durable(straighten(durable(pixels), params))
     trimmed = I.by_page(I.crop(pixels, boxes(I.by_page(I.gray(pixels)))))
     gray = durable(I.gray(enhance(trimmed, params)))
     clean = durable(I.whiten_border(I.by_page(gray), params.ink, params.border_depth))

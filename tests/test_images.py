@@ -105,3 +105,27 @@ def test_corner_smears(spark):
     image[56, 2] = 20  # a stroke within
     out = page(I.whiten_corners(pixels(spark, image), step=4, size=3), 0, image.shape)
     assert (out[0, :2] == 252).all() and out[56, 2] == 20 and (out[30] == 255).all()
+
+
+def test_tilted_pages_are_levelled(spark):
+    from pagewright.operators import segments as G
+    from pagewright.plans.scan import straighten
+
+    h, w, slope = 150, 170, 0.05
+    image = np.full((h, w), 225)
+    for start in range(25, 130, 13):
+        for x in range(20, 150):
+            y = round(start + slope * (x - w / 2))
+            image[y : y + 3, x] = 30
+    df = pixels(spark, image, np.full((20, 20), 240))
+    colour = df.select("page_id", "y", "x", *[df.v.alias(c) for c in "bgr"])
+    params = ScanParams(ink_block=15, ruling_run="12", ruling_length="60")
+
+    def tilt(rows):
+        segments = G.rulings(I.ruling_segments(I.by_page(rows), params.ink_block, params.ruling_run, params.ruling_length))
+        return {r.page_id: r.tilt for r in G.weighted_median_angle(segments).collect()}
+
+    assert abs(tilt(df)[0] - np.degrees(np.arctan(slope))) < 0.2
+    level = straighten(colour, params)
+    assert abs(tilt(I.gray(level))[0]) < 0.2
+    assert level.where("page_id = 1 and v = 240".replace("v", "b")).count() == 400
