@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,27 +244,27 @@ def components(mask: DataFrame) -> DataFrame:
     """Mask pixels (page_id, y, x) with label, the least y * w + x of those joined to it in eight directions. A task
     sees one page at a time."""
 
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(page["y"].max()) + 1, int(page["width"].iloc[0])
+    def label(page: pa.Table) -> pa.Table:
+        ys, xs = page["y"].to_numpy(), page["x"].to_numpy()
+        h, w = int(ys.max()) + 1, page["width"][0].as_py()
         none = h * w
         grid = np.full((h + 2, w + 2), none, np.int64)
-        on = np.zeros_like(grid, bool)
-        on[page["y"] + 1, page["x"] + 1] = True
-        grid[page["y"] + 1, page["x"] + 1] = page["y"] * w + page["x"]
+        grid[ys + 1, xs + 1] = ys.astype(np.int64) * w + xs
+        on = grid < none
         while True:
+            rows = np.minimum(np.minimum(grid[:-2], grid[1:-1]), grid[2:])
             best = grid.copy()
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    best[1:-1, 1:-1] = np.minimum(best[1:-1, 1:-1], grid[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx])
+            best[1:-1, 1:-1] = np.minimum(np.minimum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
             best[~on] = none
             flat = np.append(best[1:-1, 1:-1].ravel(), none)
             best[1:-1, 1:-1] = flat[best[1:-1, 1:-1]]  # jump to the label of the label
             if (best == grid).all():
                 break
             grid = best
-        return page.assign(label=grid[page["y"] + 1, page["x"] + 1])[["page_id", "y", "x", "label"]]
+        return pa.table({"page_id": page["page_id"], "y": page["y"], "x": page["x"], "label": pa.array(grid[ys + 1, xs + 1])})
 
-    return mask.select("page_id", "y", "x", "width").groupBy("page_id").applyInPandas(label, "page_id long, y int, x int, label long")
+    rows = mask.select(F.col("page_id").cast("long").alias("page_id"), "y", "x", "width")
+    return rows.groupBy("page_id").applyInArrow(label, "page_id long, y int, x int, label long")
 
 
 def ink_mask(pixels: DataFrame, ink: int = P.INK) -> DataFrame:
