@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm import line_dedup, mixing, packing, quality, simhash
+from pagewright.llm import line_dedup, mixing, near_dup, packing, quality
 from pagewright.llm.common import durable, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,8 +35,9 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; repeated rows once."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest doc_id of each group of near duplicates (similarity 0.8 of five-word shingles or
+    more); repeated rows once."""
+    found = near_dup.near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
 
@@ -60,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_good),
     ("line dedup", cut_boilerplate),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack),
 ]

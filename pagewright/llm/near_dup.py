@@ -1,0 +1,161 @@
+"""Near duplicates by the exact similarity of word shingles.
+
+Two texts are linked if their sets of five-word shingles (ASCII letters lowered) have a Jaccard similarity of 0.8 or
+more; groups are what links connect. Candidates share one of 32 bands of 5 minimum hashes, which at similarity 0.8 misses
+a pair with a chance of 3 in a million, and every candidate is verified on the shingles themselves, so no pair is linked
+by chance. Bands are rows, so they grow with the number of distinct texts and not with its square. A band value that many
+texts share is linked by a star around one of them first; then only its pairs that no link connects yet are verified.
+
+Defined results: null text counts as empty; texts without words are alike; a text of under five words is one shingle; a
+null id keeps its row and never names a component unless all ids of it are null; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import ASCII_LOWER, durable, each_batch, raw_texts
+from pagewright.llm.simhash import components
+
+SHINGLE, ALIKE = 5, 0.8
+BANDS, ROWS = 32, 5
+#: Into how many the pairs of one text are dealt when they are verified.
+SALTS = 16
+
+_random = np.random.default_rng(5)
+_factor = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_offset = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_fold = _random.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def normal(raw: bytes) -> bytes:
+    """The words that count, one space apart."""
+    return b" ".join(raw.translate(ASCII_LOWER).split())
+
+
+def shingles(joined: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a normal text, sorted."""
+    words = joined.split(b" ")
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """A signed value of each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _factor + _offset).min(0))
+    return (least.reshape(BANDS, ROWS) * _fold).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the normal text) and body (the normal text) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches):
+            bodies = [normal(raw or b"") for raw in raw_texts(batch.column("text"))]
+            keys = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "key", "body"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, body binary")
+
+
+def banded(bodies: DataFrame) -> DataFrame:
+    """key, size (the number of shingles), band and value of every text, for repeated ones again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches):
+            keys, sizes, values = batch.column("key").to_numpy(), [], []
+            for body in batch.column("body").to_pylist():
+                hashes = shingles(body)
+                sizes.append(len(hashes))
+                values.append(band_values(hashes))
+            n = batch.num_rows
+            columns = [np.repeat(keys, BANDS), np.repeat(np.array(sizes, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), n), np.concatenate(values) if n else np.empty(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "size", "band", "value"])
+
+    return bodies.select("key", "body").mapInArrow(run, "key long, size long, band int, value long")
+
+
+def _fits(a: str, b: str):
+    """Whether sets of these sizes can be alike."""
+    return F.least(F.col(a), F.col(b)) >= F.greatest(F.col(a), F.col(b)) * (ALIKE - 1e-9)
+
+
+def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose shingles are alike. A text that is in many pairs is dealt out in several copies."""
+    pairs = durable(pairs.distinct().withColumns({"sa": F.pmod(F.xxhash64("b"), F.lit(SALTS)), "sb": F.pmod(F.xxhash64("a"), F.lit(SALTS))}))
+    some = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    bodies = durable(bodies.select("key", "body").join(some, "key", "left_semi").groupBy("key").agg(F.first("body").alias("body")))
+
+    def texts(node: str, salt: str) -> DataFrame:
+        need = pairs.select(node, salt).distinct()
+        return need.join(bodies.select(F.col("key").alias(node), F.col("body").alias(f"body_{node}")), node)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(key: int, body: bytes) -> np.ndarray:
+            if key not in known:
+                if len(known) > 500:
+                    known.clear()
+                known[key] = shingles(body)
+            return known[key]
+
+        for batch in each_batch(batches, 500):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = []
+            for i, j, x, y in zip(a, b, batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
+                u, v = of(i, x), of(j, y)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= (ALIKE - 1e-9) * (len(u) + len(v) - both))
+            some = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in some], pa.int64()), pa.array([b[k] for k in some], pa.int64())], ["a", "b"])
+
+    rows = pairs.join(texts("a", "sa"), ["a", "sa"]).join(texts("b", "sb"), ["b", "sb"])
+    return durable(rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long"))
+
+
+def alike(bodies: DataFrame) -> DataFrame:
+    """Links (a, b) between the keys of texts (key, body) that connect all alike ones."""
+    bands = durable(banded(bodies))
+    centre = bands.groupBy("band", "value").agg(F.min(F.struct("key", "size")).alias("c"), F.max("key").alias("last")).where("c.key <> last")
+    centre = durable(centre.select("band", "value", F.col("c.key").alias("a"), F.col("c.size").alias("n")))
+    shared = durable(bands.join(centre.select("band", "value"), ["band", "value"]).distinct())
+    stars = shared.join(centre, ["band", "value"])
+    found = verified(stars.where((F.col("a") != F.col("key")) & _fits("n", "size")).select("a", F.col("key").alias("b")), bodies)
+    roots = None if found.isEmpty() else components(found)
+    node = shared.withColumn("node", F.xxhash64("key"))
+    node = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else node.withColumn("root", F.col("node"))
+    node = durable(node.select("band", "value", "key", "size", "root"))
+    # of each value, the members beyond its largest component meet all that no link connects them with
+    counts = node.groupBy("band", "value", "root").count()
+    most = counts.groupBy("band", "value").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    mixed = node.join(most.select("band", "value", F.col("most.root").alias("largest")), ["band", "value"])
+    few = mixed.where("root <> largest").select("band", "value", F.col("key").alias("a"), F.col("size").alias("n"), F.col("root").alias("own"))
+    pairs = few.join(mixed.drop("largest"), ["band", "value"]).where((F.col("own") != F.col("root")) & _fits("n", "size"))
+    pairs = pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    return found.unionByName(verified(pairs, bodies))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, key and component_id (the least doc_id that links reach) of every document."""
+    bodies = keyed(docs)
+    rows = durable(bodies.select("doc_id", "key"))
+    first = durable(rows.groupBy("key").agg(F.min("doc_id").alias("first")))
+    edges = alike(bodies)
+    rooted = first.select("key", "first", F.xxhash64("key").alias("node"))
+    if not edges.isEmpty():
+        rooted = rooted.join(components(edges), "node", "left").withColumn("node", F.coalesce("root", "node"))
+    rooted = durable(rooted.select("key", "first", "node"))
+    owner = rooted.join(rooted.groupBy("node").agg(F.min("first").alias("component_id")), "node")
+    return rows.join(owner.select("key", "component_id"), "key").select("doc_id", "key", "component_id")
