@@ -163,8 +163,11 @@ def smeared_top(pixels: DataFrame, within: float = 0.10, share: float = 0.50) ->
     return first.select("page_id", F.when(F.col("base") > 0, F.least(F.coalesce("first", "h"), F.floor(F.col("h") * within).cast("int"))).otherwise(0).cast("int").alias("cut"))
 
 
-def white_bands(pixels: DataFrame, ink: int = P.WHITE_FILL, within: float = 0.08) -> DataFrame:
-    """page_id and the box x0, y0, x1, y1 left when lines without ink go from each side; the whole page if that took half."""
+def white_bands(pixels: DataFrame, ink: int = P.WHITE_FILL, within: float | tuple[float, float, float, float] = 0.08) -> DataFrame:
+    """page_id and the box x0, y0, x1, y1 left when lines without ink go from each side; the whole page if that took half.
+    within is the share that may go from every side, or from the left, right, top and bottom."""
+    left, right, top, bottom = within if isinstance(within, tuple) else (within,) * 4
+
     def ends(axis: str, n: str) -> DataFrame:
         lines = pixels.groupBy("page_id", axis).agg(F.min("v").alias("least"))
         has = F.when(F.col("least") <= ink, F.col(axis))
@@ -172,10 +175,10 @@ def white_bands(pixels: DataFrame, ink: int = P.WHITE_FILL, within: float = 0.08
 
     both = ends("x", "w").join(ends("y", "h"), "page_id")
     box = {}
-    for axis, n in (("x", "w"), ("y", "h")):
-        cap = F.floor(F.col(n) * within).cast("int")
-        box[f"{axis}0"] = F.least(F.coalesce(f"first_{axis}", n), cap + 1)
-        box[f"{axis}1"] = F.greatest(F.coalesce(F.col(f"last_{axis}") + 1, F.lit(0)), F.col(n) - cap)
+    for axis, n, low, high in (("x", "w", left, right), ("y", "h", top, bottom)):
+        cap = lambda share, n=n: F.floor(F.col(n) * share).cast("int")
+        box[f"{axis}0"] = F.least(F.coalesce(f"first_{axis}", n), cap(low) + 1)
+        box[f"{axis}1"] = F.greatest(F.coalesce(F.col(f"last_{axis}") + 1, F.lit(0)), F.col(n) - cap(high))
     both = both.withColumns(box)
     whole = (F.col("x1") - F.col("x0") < F.floor(F.col("w") / 2)) | (F.col("y1") - F.col("y0") < F.floor(F.col("h") / 2))
     return both.select("page_id", *[F.when(whole, w).otherwise(F.col(c)).cast("int").alias(c) for c, w in (("x0", F.lit(0)), ("y0", F.lit(0)), ("x1", F.col("w")), ("y1", F.col("h")))])

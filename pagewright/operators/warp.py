@@ -110,3 +110,27 @@ def warping(quads: DataFrame) -> DataFrame:
     a, x, y = (lambda k: F.col("m")[k + 2]), F.col("x"), F.col("y")
     depth = a(6) * x + a(7) * y + 1.0
     return rows.select("page_id", "y", "x", ((a(3) * x + a(4) * y + a(5)) / depth).alias("sy"), ((a(0) * x + a(1) * y + a(2)) / depth).alias("sx"))
+
+
+def squaring(sides: DataFrame) -> DataFrame:
+    """Targets that make the trapezoid between each page's top and bottom line (page_id, w, h, top and bottom slopes,
+    y_top and y_bottom at mid width) a rectangle over the page's width."""
+
+    @F.pandas_udf("array<double>")
+    def solved(w: pd.Series, h: pd.Series, top: pd.Series, bottom: pd.Series, y_top: pd.Series, y_bottom: pd.Series) -> pd.Series:
+        """The eight coefficients of the map from the levelled page back to the page."""
+        out = []
+        for wide, high, mt, mb, yt, yb in zip(w, h, top, bottom, y_top, y_bottom, strict=True):
+            end = wide - 1
+            ends = [(y - m * wide / 2, y - m * wide / 2 + m * end) for m, y in ((mt, yt), (mb, yb))]
+            (tl, tr), (bl, br) = ends
+            yt, yb = np.clip((tl + tr) / 2, 0, high - 1), np.clip((bl + br) / 2, 0, high - 1)
+            pairs = [((0, yt), (0, tl)), ((end, yt), (end, tr)), ((end, yb), (end, br)), ((0, yb), (0, bl))]
+            rows = [r for (x, y), (u, v) in pairs for r in ([x, y, 1, 0, 0, 0, -x * u, -y * u], [0, 0, 0, x, y, 1, -x * v, -y * v])]
+            out.append(np.linalg.lstsq(np.array(rows, np.float64), np.array([q for _, q in pairs], np.float64).ravel(), rcond=None)[0].tolist())
+        return pd.Series(out)
+
+    maps = sides.select("page_id", "w", "h", solved("w", "h", "top", "bottom", "y_top", "y_bottom").alias("m"))
+    a, x, y = (lambda k: F.col("m")[k]), F.col("x"), F.col("y")
+    depth = a(6) * x + a(7) * y + 1.0
+    return grid(maps).select("page_id", "y", "x", ((a(3) * x + a(4) * y + a(5)) / depth).alias("sy"), ((a(0) * x + a(1) * y + a(2)) / depth).alias("sx"))

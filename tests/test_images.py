@@ -129,3 +129,32 @@ def test_tilted_pages_are_levelled(spark):
     level = straighten(colour, params)
     assert abs(tilt(I.gray(level))[0]) < 0.2
     assert level.where("page_id = 1 and v = 240".replace("v", "b")).count() == 400
+
+
+def test_small_pages_have_rulings_and_content_at_the_edge_survives(spark):
+    from pagewright.plans.scan import SMALL, scan
+
+    image = np.full((8, 8), 225)
+    image[1, 1:7] = image[4, 1:7] = image[6, 1:7] = 20
+    df = pixels(spark, image)
+    assert I.ruling_segments(I.by_page(df), SMALL.ink_block, SMALL.ruling_run, SMALL.ruling_length).count() >= 2
+    edge = np.full((60, 44), 225)
+    for y in range(10, 50, 8):
+        edge[y : y + 3, 8:36] = 35
+    edge[57:60, 10:34] = 35  # a line of writing that the page's edge cuts
+    rows = pixels(spark, edge)
+    colour = rows.select("page_id", "y", "x", *[rows.v.alias(c) for c in "bgr"])
+    out = scan(colour, ScanParams(kernel=9, aspect=None, margins=(0.2,) * 4))
+    inked = {r.y for r in out.where("v < 100").select("y").distinct().collect()}
+    # six lines, the last at the edge, stand apart
+    assert sum(y - 1 not in inked for y in inked) == 6
+
+
+def test_a_trapezoid_is_squared(spark):
+    from pagewright.operators import warp as W
+
+    sides = spark.createDataFrame([(0, 41, 41, 0.1, -0.1, 10.0, 30.0)], "page_id long, w int, h int, top double, bottom double, y_top double, y_bottom double")
+    at = {(r.y, r.x): (r.sy, r.sx) for r in W.squaring(sides).collect()}
+    mid = (10 - 2.05 + 10 - 2.05 + 4) / 2
+    rows = {y: at[(y, 40)][0] - at[(y, 0)][0] for y in (10, 30)}
+    assert abs(rows[10] - 4.0) < 0.3 and abs(rows[30] + 4.0) < 0.3 and abs(mid - 9.95) < 1e-9
