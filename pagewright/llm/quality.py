@@ -2,9 +2,12 @@
 
 Two views of a document are classified apart: the text's content (kinds of characters, word shapes, repetition) and the
 page's metadata (language, source, length, layout of lines). Both start from a bounded sample of labelled documents.
-In each round either view labels those documents of a bounded unlabelled sample that it is most sure of, and hands them
-to the other to learn from. Then each view's log-odds are calibrated on labelled documents held out from training, the
-two are combined there, and all documents are scored in one pass without a shuffle.
+In each round either view labels those of all other documents that it is most sure of, and hands them to the other to
+learn from. The features of all documents are kept once, in blocks; how sure a view must be follows from counts over
+them, and models are fitted from sums of gradients and Hessians over them, so nothing of the corpus comes to the driver.
+Which documents were handed over follows from the models and cuts of the rounds before, so no state is kept. Then each
+view's log-odds are calibrated on labelled documents held out from training, the two are combined there, and all
+documents are scored in one pass without a shuffle.
 
 Defined results: null text counts as empty; null language, source or length are values of their own; labels with a null
 quality are left out; without labels of both kinds every document scores 1 and is kept; repeated rows score alike;
@@ -24,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import each_batch, table
+from pagewright.llm.common import durable, each_batch, table
 
-#: Most labelled and unlabelled documents that training looks at. They are those with the least hashes of their ids.
-LABELLED, UNLABELLED = 6000, 3000
+#: Most labelled documents that training looks at. They are those with the least hashes of their ids.
+LABELLED = 6000
 ROUNDS = 4
-#: Share of the unlabelled sample that a view hands over per round, and how sure it must be.
+#: Share of the documents without a training label that a view hands over per round, and how sure it must be.
 HANDED, SURE = 0.05, 0.9
 #: Documents scoring below are rejected.
 KEEP = 0.5
+ADDED = ["content_score", "metadata_score", "score"]
 BUCKETS = 24
+#: Log-odds that count as sure are counted in so many bins, up to the most there are.
+BINS, MOST = 1024, 30.0
 
 _symbols = re.compile(r"[^\w\s.,;:!?'\"()-]")
 _words = re.compile(r"\S+")
@@ -115,80 +121,229 @@ class Logistic:
         return np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w[1:] + self.w[0], -30, 30)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> tuple[list[Logistic], Logistic]:
+def features(docs: DataFrame) -> DataFrame:
+    """ids, content and metadata (both views as bytes) of all documents, in blocks; kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches, 500):
+            if batch.num_rows:
+                ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([v.tobytes()], pa.binary()) for v in _views(batch))], ["ids", "content", "metadata"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text")
+    return durable(docs.mapInArrow(run, "ids array<long>, content binary, metadata binary"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, tuple[np.ndarray, np.ndarray]]]:
+    """The ids (None where null) and views of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids = batch.column("ids")[k].as_py()
+            yield ids, tuple(np.frombuffer(batch.column(c)[k].as_py()).reshape(len(ids), -1) for c in ("content", "metadata"))
+
+
+class Pool:
+    """The documents without a training label."""
+
+    def __init__(self, blocks: DataFrame, labelled: np.ndarray):
+        self.blocks, self.labelled = blocks, labelled
+        #: of each round: the models, and for each view and label the bin and share of it that are still handed over.
+        self.steps: list[tuple[list[Logistic], dict]] = []
+
+    def total(self, of) -> dict[tuple[int, int], float]:
+        """Sums by key and place of what `of` gives for the views, the dealing numbers and the labels handed to the
+        views (nan: none): a dict of key and array."""
+        steps, labelled = list(self.steps), self.labelled
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for ids, views in _blocks(batches):
+                known = np.array([0 if i is None else i for i in ids], np.int64)
+                free = np.array([i is None for i in ids]) | ~np.isin(known, labelled)
+                views, known = tuple(v[free] for v in views), known[free]
+                mixed = known.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                dealt = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / 2.0**53
+                for key, values in of(views, handed(views, dealt, steps)).items():
+                    sums[key] = sums.get(key, 0) + values
+            rows = [(k, at, float(v)) for k, values in sums.items() for at, v in enumerate(values) if v]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], ["key", "at", "value"])
+
+        rows = self.blocks.mapInArrow(run, "key int, at int, value double").groupBy("key", "at").agg(F.sum("value").alias("value")).collect()
+        return {(r["key"], r["at"]): r["value"] for r in rows}
+
+
+def _bin(surety: np.ndarray) -> np.ndarray:
+    """The bin of each log-odds; -1 is not sure."""
+    low = math.log(SURE / (1 - SURE))
+    return np.where(surety > low, np.minimum((surety - low) / (MOST - low) * BINS, BINS - 1).astype(np.int64), -1)
+
+
+def handed(views: tuple, dealt: np.ndarray, steps: list) -> list[np.ndarray]:
+    """The label that each document was handed with to each view in these rounds; nan where it was not."""
+    got = [np.full(len(dealt), np.nan) for _ in views]
+    for models, cuts in steps:
+        for me, other in ((0, 1), (1, 0)):
+            odds, free = models[me].log_odds(views[me]), np.isnan(got[other])
+            for label in (1, 0):
+                at, (cut, share) = _bin(odds if label else -odds), cuts[me, label]
+                got[other][free & (at >= 0) & ((at > cut) | ((at == cut) & (dealt < share)))] = label
+    return got
+
+
+def _cut(counts: np.ndarray, most: float) -> tuple[int, float]:
+    """The bin down to which documents are handed over, and the share of it, so that they are `most`."""
+    for at in range(BINS - 1, -1, -1):
+        if counts[at] >= most:
+            return at, most / counts[at] if counts[at] else 0.0
+        most -= counts[at]
+    return -1, 0.0
+
+
+def _array(sums: dict, key: int, n: int) -> np.ndarray:
+    return np.array([sums.get((key, at), 0.0) for at in range(n)])
+
+
+def _parts(model: Logistic, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The Hessian and gradient of the loss, and the loss, in one array."""
+    z = np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale])
+    odds = z @ model.w
+    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return np.concatenate([((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel(), z.T @ (p - y), [(np.logaddexp(0, odds) - y * odds).sum()]])
+
+
+def _refit(models: list[Logistic], xs: list[np.ndarray], ys: list[np.ndarray], pool: Pool, strength: float = 1.0) -> list[Logistic]:
+    """Models of both views fitted to the labelled rows and all that were handed over, starting from the given ones."""
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    sums = pool.total(lambda views, got: {k: moments(v[~np.isnan(g)]) for k, (v, g) in enumerate(zip(views, got, strict=True))})
+    new = []
+    for k, (old, x) in enumerate(zip(models, xs, strict=True)):
+        wide = x.shape[1]
+        total = _array(sums, k, 2 * wide + 1) + moments(x)
+        model = Logistic.__new__(Logistic)
+        model.mean = total[1 : wide + 1] / total[0]
+        model.scale = np.sqrt(np.maximum(0, total[wide + 1 :] / total[0] - model.mean**2)) + 1e-6
+        slope = old.w[1:] / old.scale
+        model.w = np.concatenate([[old.w[0] + slope @ (model.mean - old.mean)], slope * model.scale])
+        new.append(model)
+    going, least, steps = [0, 1], [math.inf] * 2, [np.zeros(len(m.w)) for m in new]
+    for _ in range(40):
+        sums = pool.total(lambda views, got: {k: _parts(new[k], views[k][~np.isnan(got[k])], got[k][~np.isnan(got[k])]) for k in going})
+        for k in list(going):
+            n, w = len(new[k].w), new[k].w
+            total = _array(sums, k, n * n + n + 1) + _parts(new[k], xs[k], ys[k])
+            ridge = np.full(n, strength)
+            ridge[0] = 1e-6
+            loss = total[-1] + ridge @ (w * w) / 2
+            if loss > least[k] * (1 + 1e-12):  # too far: half of the step back
+                steps[k] = steps[k] / 2
+                new[k].w = w + steps[k]
+            else:
+                least[k] = loss
+                steps[k] = np.linalg.solve(total[: n * n].reshape(n, n) + np.diag(ridge), total[n * n : -1] + ridge * w)
+                new[k].w = w - steps[k]
+            if np.abs(steps[k]).max() < 1e-5:
+                going.remove(k)
+        if not going:
+            break
+    return new
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> tuple[list[Logistic], Logistic]:
     """The two views' models after the rounds, and the model that combines their log-odds. A third of the labelled rows
     is held out for the latter."""
     held = np.arange(len(y)) % 3 == 0
-    xs, ys = [[v[~held]] for v in views], [[y[~held].astype(float)] for _ in views]
-    models = [Logistic(x[0], t[0]) for x, t in zip(xs, ys, strict=True)]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
+    xs, ys = [v[~held] for v in views], [y[~held].astype(float) for _ in views]
+    models = [Logistic(x, t) for x, t in zip(xs, ys, strict=True)]
     rate = float(np.clip(y.mean(), 0.02, 0.98))
-    quota = int(HANDED * len(pool[0]))
     for _ in range(rounds):
-        for me, other in ((0, 1), (1, 0)):
-            odds = models[me].log_odds(pool[me])
-            for label, most in ((1.0, round(quota * rate)), (0.0, round(quota * (1 - rate)))):
-                surety = odds if label else -odds
-                some = np.flatnonzero(free[other] & (surety > math.log(SURE / (1 - SURE))))
-                some = some[np.argsort(-surety[some], kind="stable")][:most]
-                free[other][some] = False
-                xs[other].append(pool[other][some])
-                ys[other].append(np.full(len(some), label))
-        models = [Logistic(np.concatenate(x), np.concatenate(t)) for x, t in zip(xs, ys, strict=True)]
+        now = models
+
+        def counted(some: tuple, got: list[np.ndarray]) -> dict[int, np.ndarray]:
+            out = {4: np.array([len(got[0])], float)}
+            for me in (0, 1):
+                odds, free = now[me].log_odds(some[me]), np.isnan(got[1 - me])
+                for label in (1, 0):
+                    at = _bin(odds if label else -odds)
+                    out[2 * me + label] = np.bincount(at[free & (at >= 0)], minlength=BINS).astype(float)
+            return out
+
+        sums = pool.total(counted)
+        quota = HANDED * sums.get((4, 0), 0.0)
+        if not quota:
+            break
+        cuts = {(me, label): _cut(_array(sums, 2 * me + label, BINS), quota * (rate if label else 1 - rate)) for me in (0, 1) for label in (1, 0)}
+        pool.steps.append((models, cuts))
+        models = _refit(models, xs, ys, pool)
     odds = np.column_stack([m.log_odds(v[held]) for m, v in zip(models, views, strict=True)])
     return models, Logistic(odds, y[held].astype(float))
 
 
-def _features_of(docs: DataFrame, ids: DataFrame) -> list:
-    """The views of the documents with these ids, of which there are at most LABELLED."""
+def _rows_of(blocks: DataFrame, quality: dict[int, int]) -> list[dict]:
+    """doc_id, quality and views of the documents with these ids, of which there are at most LABELLED."""
+    wanted = np.array(sorted(quality), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in each_batch(batches, 500):
-            content, metadata = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(content)), pa.array(list(metadata))], ["doc_id", "quality", "content", "metadata"])
+        for ids, views in _blocks(batches):
+            at = [k for k, i in enumerate(ids) if i is not None and wanted[min(len(wanted) - 1, np.searchsorted(wanted, i))] == i]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.int64()), *(pa.array(list(v[at]), pa.list_(pa.float64())) for v in views)], ["doc_id", "content", "metadata"])
 
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "lang", "source", "n_chars", "text")
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, content array<double>, metadata array<double>").collect()
-    return sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+    rows = blocks.mapInArrow(run, "doc_id long, content array<double>, metadata array<double>").collect() if quality else []
+    unique = {r["doc_id"]: {**r.asDict(), "quality": quality[r["doc_id"]]} for r in rows}
+    return sorted(unique.values(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple | None:
-    """Models for documents, or None if the labels are not of both kinds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text")
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, blocks: DataFrame | None = None) -> tuple | None:
+    """Models for documents, or None if the labels are not of both kinds. blocks are the features of docs, if there."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    sample = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = _features_of(docs, sample)
-    y = np.array([r["quality"] for r in rows]) > 0
-    if len(rows) < 12 or y.all() or not y.any():
+    sample = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    chosen = {r["doc_id"]: r["quality"] for r in sample.collect()}
+    kinds = np.array(list(chosen.values())) > 0
+    if len(chosen) < 12 or kinds.all() or not kinds.any():
         return None
-    rest = docs.select("doc_id").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).select("doc_id", F.lit(-1).alias("quality"))
-    pool = _features_of(docs, rest) or rows[:0]
-    views = tuple(np.array([r[c] for r in rows]) for c in ("content", "metadata"))
-    others = tuple(np.array([r[c] for r in pool]).reshape(len(pool), v.shape[1]) for c, v in zip(("content", "metadata"), views, strict=True))
-    return co_train(views, y, others)
+    blocks = features(docs) if blocks is None else blocks
+    rows = _rows_of(blocks, chosen)
+    y = np.array([r["quality"] for r in rows]) > 0
+    return co_train(tuple(np.array([r[c] for r in rows]) for c in ("content", "metadata")), y, Pool(blocks, np.array(list(chosen), np.int64)))
+
+
+def _scores(trained: tuple, views: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    models, joint = trained
+    odds = np.column_stack([m.log_odds(v) for m, v in zip(models, views, strict=True)])
+    return [1 / (1 + np.exp(-o)) for o in (odds[:, 0], odds[:, 1], joint.log_odds(odds))]
+
+
+def score_blocks(blocks: DataFrame, trained: tuple) -> DataFrame:
+    """doc_id and the scores of every document of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, views in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, _scores(trained, views))], ["doc_id", *ADDED])
+
+    return blocks.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} double" for c in ADDED)]))
 
 
 def score(docs: DataFrame, trained: tuple | None) -> DataFrame:
     """docs with content_score, metadata_score (each view's calibrated by itself) and score (both) from 0 to 1."""
-    added = ["content_score", "metadata_score", "score"]
     if trained is None:
-        return docs.withColumns({c: F.lit(1.0) for c in added})
-    models, joint = trained
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    chance = lambda odds: 1 / (1 + np.exp(-odds))
+        return docs.withColumns({c: F.lit(1.0) for c in ADDED})
+    kept = [f for f in docs.schema.fields if f.name not in ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches, 500):
-            odds = np.column_stack([m.log_odds(v) for m, v in zip(models, _views(batch), strict=True)]) if batch.num_rows else np.empty((0, 2))
-            scores = [chance(odds[:, 0]), chance(odds[:, 1]), chance(joint.log_odds(odds))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *map(pa.array, scores)], [*(f.name for f in kept), *added])
+            scores = _scores(trained, _views(batch)) if batch.num_rows else [np.empty(0)] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *map(pa.array, scores)], [*(f.name for f in kept), *ADDED])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} double" for c in added)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} double" for c in ADDED)])
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """doc_id, the scores, and keep, of every document."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    blocks = features(docs)
+    trained = train(docs, table(spark, sf_dir, "labels"), blocks=blocks)
+    scored = score(docs.select("doc_id"), None) if trained is None else score_blocks(blocks, trained)
     return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= KEEP).alias("keep"))

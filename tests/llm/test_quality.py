@@ -23,3 +23,23 @@ def test_odd_documents(spark, odd, clashing, nothing):
     assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
     assert Q.score(clashing, models).count() == len(rows)
     assert Q.train(nothing, labels) is None and Q.score(nothing, models).count() == 0
+
+
+def test_the_exchange_covers_all_documents_without_a_training_label(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.quality for r in labels.orderBy('doc_id').limit(200).collect()}
+    many = docs.drop("doc_id").selectExpr("*", "explode(sequence(1, 5)) as copy").selectExpr("monotonically_increasing_id() + 10000000 as doc_id", "lang", "source", "n_chars", "text")
+    every = docs.select("doc_id", "lang", "source", "n_chars", "text").union(many)
+    blocks = Q.features(every)
+    pool = Q.Pool(blocks, np.array(list(rows), np.int64))
+    chosen = Q._rows_of(blocks, rows)
+    views = tuple(np.array([r[c] for r in chosen]) for c in ("content", "metadata"))
+    Q.co_train(views, np.array([r["quality"] for r in chosen]) > 0, pool, 2)
+    sums = pool.total(lambda some, got: {0: np.array([len(got[0]), *((~np.isnan(g)).sum() for g in got)], float)})
+    n = every.count() - len(rows)
+    assert sums[0, 0] == n > 3000
+    # each view may hand over 5 % of all in each of two rounds; a pool of 3,000 would give 300 at most
+    assert max(sums[0, 1], sums[0, 2]) > 300 and max(sums[0, 1], sums[0, 2]) <= 0.1 * n * 1.1
