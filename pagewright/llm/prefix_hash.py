@@ -3,8 +3,9 @@
 The prefix array of a text holds the polynomial hash of every prefix, modulo the prime 2**31 - 1 for two bases. The
 difference of two entries is the hash of a span, so any two spans compare in constant time, and the longest common
 extension of two positions is found by binary search. The fingerprint of a text is its length and its whole-text
-residues for four bases; two fingerprints are as alike as the share of the longer text that the longest common prefix
-and the longest common suffix cover.
+residues for four bases; two texts are as alike as the share of the longer one that is found in both, wherever it stands:
+the longest common prefix and suffix, and all spans of 32 code points that the other text has too. A passage counts as
+often as the text that has it less often.
 
 Every document is compared with the next one by descending doc_id. The order is global, yet no task sees more than its
 range: ranges start at ids drawn from the data, and the first document of each range is copied to the end of the range
@@ -32,6 +33,9 @@ PRIME = (1 << 31) - 1
 #: The first two have prefix arrays.
 BASES = (1_000_003, 998_244_353, 1_234_567_891, 777_767_777)
 
+#: Code points that a passage within must have to count as shared.
+SPAN = 32
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -59,7 +63,7 @@ class Prefixes:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.n = len(codes)
+        self.n, self._spans = len(codes), None
         terms = [_reduced(codes * powers(base, self.n)) for base in BASES]
         self.hash = [np.concatenate((np.zeros(1, np.uint64), _reduced(np.cumsum(t)))) for t in terms[:2]]
         self.whole = [int(h[-1]) for h in self.hash] + [int(t.sum() % np.uint64(PRIME)) for t in terms[2:]]
@@ -77,6 +81,27 @@ class Prefixes:
                 return False
         return True
 
+    def spans(self) -> np.ndarray:
+        """A number for the span from each position on, equal for equal spans of any texts."""
+        if self._spans is None:
+            n, parts = max(0, self.n - SPAN + 1), []
+            for k, base in enumerate(BASES[:2]):
+                apart = self.hash[k][SPAN : SPAN + n] + np.uint64(PRIME) - self.hash[k][:n]
+                parts.append(_reduced(_reduced(apart) * powers(pow(base, -1, PRIME), n)))
+            self._spans = (parts[0] << np.uint64(31)) | parts[1]
+        return self._spans
+
+    def covered(self, other: Prefixes, head: int, tail: int) -> int:
+        """How many code points stand in the head, in the tail or in a span that the other text has too."""
+        ends = np.zeros(self.n + 1, np.int64)
+        shared = np.flatnonzero(np.isin(self.spans(), other.spans()))
+        ends[shared] += 1
+        ends[shared + SPAN] -= 1
+        inside = np.cumsum(ends[:-1]) > 0
+        inside[:head] = True
+        inside[self.n - tail :] = True
+        return int(inside.sum())
+
     def common_prefix(self, other: Prefixes) -> int:
         low, high = 0, min(self.n, other.n)
         while low < high:
@@ -100,14 +125,14 @@ class Prefixes:
         return low
 
     def likeness(self, other: Prefixes) -> float:
-        """The share of the longer text in the common prefix and suffix."""
-        longer, shorter = max(self.n, other.n), min(self.n, other.n)
+        """The share of the longer text that both have."""
+        longer = max(self.n, other.n)
         if not longer:
             return 1.0
         if self.whole == other.whole and self.n == other.n:
             return 1.0
-        head = self.common_prefix(other)
-        return min(shorter, head + self.common_suffix(other)) / longer
+        head, tail = self.common_prefix(other), self.common_suffix(other)
+        return min(self.covered(other, head, tail), other.covered(self, head, tail)) / longer
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:

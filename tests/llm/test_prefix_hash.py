@@ -43,3 +43,34 @@ def test_odd_documents(spark, odd, clashing, nothing):
     one = H.fingerprint_table(docs.where("doc_id = 9")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert H.fingerprint_table(spark.createDataFrame([(None, "ab"), (None, "cd")], "doc_id long, text string"), 4).count() == 2
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def cover(x, y):
+        spans, marked = {y[i : i + H.SPAN] for i in range(len(y) - H.SPAN + 1)}, set()
+        for i in range(len(x) - H.SPAN + 1):
+            if x[i : i + H.SPAN] in spans:
+                marked.update(range(i, i + H.SPAN))
+        for k in range(min(len(x), len(y))):
+            if x[: k + 1] == y[: k + 1]:
+                marked.add(k)
+            if x[len(x) - k - 1 :] == y[len(y) - k - 1 :]:
+                marked.add(len(x) - k - 1)
+        return len(marked)
+
+    return min(cover(a, b), cover(b, a)) / max(len(a), len(b))
+
+
+def test_likeness_is_that_of_a_plain_version():
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcd efg😀") for _ in range(900))
+    other = "".join(rng.choice("abcd efg😀") for _ in range(500))
+    texts = [base, other, "title " + base[5:-5] + " footer", base[:10] + "x" + base[11:880] + "y" + base[881:], other[:200] + base[300:600] + other[250:], base[100:140] * 12, base[:20], ""]
+    for a in texts:
+        for b in texts:
+            assert H.Prefixes(a).likeness(H.Prefixes(b)) == plain_likeness(a, b)
+    assert H.Prefixes(texts[0]).likeness(H.Prefixes(texts[2])) > 0.95 < H.Prefixes(texts[0]).likeness(H.Prefixes(texts[3]))
+    assert H.Prefixes(base).likeness(H.Prefixes(texts[4])) >= 300 / 900
