@@ -41,7 +41,8 @@ class _WordEncoder(dict):
     """Token ids, as little-endian bytes, of a word with the space before it.
 
     Byte-level BPE splits a text before every space but those with white space on both sides, so a text without such is
-    the concatenation of its space-separated words, and words come again and again.
+    the concatenation of its space-separated words, and words come again and again. The file's added tokens are cut out
+    of the text first, and each stands for its own id.
     """
 
     inside_run = re.compile(r"\s (?:\s|\Z)").search
@@ -54,8 +55,10 @@ class _WordEncoder(dict):
         import tiktoken
 
         units = {chr(c): b for b, c in _byte_units().items()}
-        vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        ranks = {bytes(units[c] for c in token): i for token, i in vocabulary.items() if all(c in units for c in token) and token != "<|endoftext|>"}
+        file = json.load(open(path, encoding="utf-8"))
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in file["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
+        ranks = {bytes(units[c] for c in token): i for token, i in file["model"]["vocab"].items() if all(c in units for c in token) and token not in self.added}
         self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
@@ -65,6 +68,9 @@ class _WordEncoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.cut(text))
+
+    def _plain(self, text: str) -> bytes:
         if self.inside_run(text):
             return np.array(self.encode(text), "<u4").tobytes()
         head, *rest = text.split(" ")

@@ -14,14 +14,14 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_tokenizer():
     ids, plain, rng = packing.encoder(PATH).ids, reference(), random.Random(5)
     texts = ["".join(rng.choice(" \n\ta'sb1.,é  <|") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    texts += ["<|endoftext|>", "a <|endoftext|> b", "\n \n", "a   b", " ", "日本語 テスト", *(r[1] or "" for r in odd_rows())]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "\n", "a", "b'll", "<|", "  "]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "\n \n", "a   b", " ", "日本語 テスト", *(r[1] or "" for r in odd_rows())]
     for t in texts:
         assert np.frombuffer(ids(t), "<u4").tolist() == plain(t), repr(t)
 
