@@ -4,9 +4,11 @@ Validated values (payment cards by Luhn, IBANs by their check digits, social sec
 international phone numbers, IPv4 addresses, calendar dates, mail addresses, cloud access keys) are replaced by another
 value of the same format: the value is numbered within the set of valid values of its format, and a keyed Feistel
 network with cycle walking permutes that set. So equal values get equal pseudonyms in every document, different ones
-different ones, card and IBAN checks still hold, dates are dates, and separators stay where they were.
+different ones, card and IBAN checks still hold, dates are dates, and separators stay where they were. A mail address
+is the same in capitals. The key comes from the session's setting `spark.pagewright.pseudonym.key`; where that is unset,
+a key is drawn for the run, so nobody can undo its pseudonyms, nor link them with those of another run.
 
-Defined results: null text stays null with nothing found; numbers that fail their check stay as they are; very long
+Defined results: a mail name is looked at for 64 characters at most; null text stays null with nothing found; numbers that fail their check stay as they are; very long
 texts are searched whole; repeated rows get equal results; other columns are kept.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -22,14 +25,14 @@ from pyspark.sql import DataFrame
 
 from pagewright.llm.common import each_batch, table
 
-KEY = b"a key of the deployment"
+KEY_SETTING = "spark.pagewright.pseudonym.key"
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 #: In order of precedence where two would start at one place.
 PATTERNS = {
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
+    "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -99,14 +102,15 @@ def _walk(digits: str, key: bytes, tweak: str, valid) -> str:
     return f"{x:0{len(digits)}d}"
 
 
-def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """What replaces the value, or None if it is not a valid one of its kind."""
     digits = re.sub(r"[^0-9]", "", value)
     if kind == "access_key":
         return value[:4] + spelled(value[4:], key, kind)
     if kind == "email":
         name, _, host = value.rpartition("@")
-        return f"{spelled(name, key, 'email ' + host.lower())}@{host}"
+        new = spelled(name.lower(), key, "email " + host.lower())
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(name, new, strict=True)) + "@" + host
     if kind == "iban":
         whole = value.replace(" ", "")
         if not 15 <= len(whole) <= 34 or iban_digits(whole[:2], whole[4:]) != whole[2:4]:
@@ -157,10 +161,11 @@ _last_group = re.compile(r"[ .-][^ .-]*$")
 _needs = {"access_key": re.compile("A[KS]IA").search, "email": lambda t: "@" in t}
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and kind, start, end (in the text given) and pseudonym of each."""
     digit = re.search("[0-9]", text)
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))  # 1 where a value was found
     for kind, finder in _finders.items():
         if not _needs.get(kind, lambda t: digit)(text):
             continue
@@ -171,8 +176,9 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int
                 value = _last_group.sub("", value)  # what follows may be no part of it
             start, end = m.start(), m.start() + len(value)
             at = end if new else start + 1
-            if new and not any(a < end and start < b for a, b, _, _ in found):
+            if new and taken.find(1, start, end) < 0:
                 found.append((start, end, kind, new))
+                taken[start:end] = b"\1" * (end - start)
     found.sort()
     out, last = [], 0
     for a, b, _, new in found:
@@ -181,7 +187,13 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int
     return "".join([*out, text[last:]]), [(kind, a, b, new) for a, b, kind, new in found]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark) -> bytes:
+    """The key that the session is set to use, or one drawn for this run."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return hashlib.sha256(key.encode()).digest() if key else secrets.token_bytes(32)
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in the text, and found: kind, start, end and pseudonym of each value that was replaced."""
     kept = [f for f in docs.schema.fields if f.name != "found"]
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pseudonym", pa.string())]))
@@ -199,4 +211,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, the text with pseudonyms, and what was found, of every document."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

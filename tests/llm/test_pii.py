@@ -5,6 +5,7 @@ import pytest
 from pagewright.llm import pii
 from tests.llm.conftest import odd_rows
 
+KEY = b"the key of these tests"
 VALID = {
     "card": ["4041894974608795", "4041 8949 7460 8795"],
     "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
@@ -21,18 +22,18 @@ VALID = {
 @pytest.mark.parametrize("kind", VALID)
 def test_pseudonyms_keep_the_format_and_the_check(kind):
     for value in VALID[kind]:
-        new = pii.pseudonym(kind, value)
-        assert new and new != value and new == pii.pseudonym(kind, value)
+        new = pii.pseudonym(kind, value, KEY)
+        assert new and new != value and new == pii.pseudonym(kind, value, KEY)
         assert new != pii.pseudonym(kind, value, b"another key")
         if kind != "ip":
             assert [(c.isdigit(), c.isalpha()) for c in new] == [(c.isdigit(), c.isalpha()) for c in value]
-        text, found = pii.replaced(f"see {value}, then")
+        text, found = pii.replaced(f"see {value}, then", KEY)
         assert text == f"see {new}, then" and [f[0] for f in found] == [kind]
-        assert pii.pseudonym(kind, new) is not None
+        assert pii.pseudonym(kind, new, KEY) is not None
 
 
 def test_spaced_and_plain_numbers_stay_linked():
-    plain, spaced = (pii.pseudonym("card", v) for v in VALID["card"])
+    plain, spaced = (pii.pseudonym("card", v, KEY) for v in VALID["card"])
     assert spaced.replace(" ", "") == plain
 
 
@@ -41,12 +42,12 @@ def test_neighbours_do_not_hide_a_value(kind):
     for value in VALID[kind]:
         for other in ("53.121.55.90", "+1 (935) 555-6637", "4046587241604630", "NEXT WORD 12", "12 3456"):
             for text in (f"{value} {other}", f"{other} {value}", f"({value}). {other}"):
-                assert value not in pii.replaced(text)[0], text
+                assert value not in pii.replaced(text, KEY)[0], text
 
 
 def test_invalid_numbers_stay():
     for text in ("4041894974608796", "DE88370400440532013000", "000-12-3456", "300.1.2.3", "2023-02-30", "version 2.0 of 1999", "v1.2.3.4.5"):
-        assert pii.replaced(text) == (text, [])
+        assert pii.replaced(text, KEY) == (text, [])
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 26, 1000, 4097])
@@ -63,11 +64,55 @@ def test_luhn_against_the_plain_rule():
 
 
 def test_odd_documents(odd, clashing, nothing, spark):
-    rows = pii.pseudonymise(odd).collect()
+    rows = pii.pseudonymise(odd, KEY).collect()
     assert sorted(str(r.text) for r in rows) == sorted(str(r[1]) for r in odd_rows()) and not any(r.found for r in rows)
-    kept = pii.pseudonymise(clashing)
+    kept = pii.pseudonymise(clashing, KEY)
     assert kept.count() == len(rows) and "body" in kept.columns
-    assert pii.pseudonymise(nothing).count() == 0
+    assert pii.pseudonymise(nothing, KEY).count() == 0
     long = "x " * 50_000 + "4041894974608795"
-    one = pii.pseudonymise(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
-    assert one.text.endswith(pii.pseudonym("card", "4041894974608795")) and one.found[0].start == 100_000
+    one = pii.pseudonymise(spark.createDataFrame([(1, long)], "doc_id long, text string"), KEY).first()
+    assert one.text.endswith(pii.pseudonym("card", "4041894974608795", KEY)) and one.found[0].start == 100_000
+
+
+def test_against_a_plain_finder():
+    """Values are dealt into filler that holds none: exactly those must be found, in place and in order."""
+    rng, filler = random.Random(7), ["word", "and", "no. 12", "3.5", "x-ray", "(see)", "1999", "a@b", "AB12"]
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randint(0, 30)):
+            if rng.random() < 0.4:
+                kind = rng.choice(list(VALID))
+                value = rng.choice(VALID[kind])
+                want.append((kind, len(text), len(text) + len(value), pii.pseudonym(kind, value, KEY)))
+                text += value
+            else:
+                text += rng.choice(filler)
+            text += rng.choice([", ", " ; ", "\n"])
+        new, found = pii.replaced(text, KEY)
+        assert found == want
+        at, out = 0, ""
+        for _, a, b, value in want:
+            out, at = out + text[at:a] + value, b
+        assert new == out + text[at:]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        pii.replaced(text, KEY)
+        return time.perf_counter() - began
+
+    for piece in ("2024-02-29, ", "a.b-c.", "12 3456 "):
+        small, large = (took(piece * n + " x@y ") for n in (4000, 32000))
+        assert large < 24 * small + 0.5, piece
+
+
+def test_spellings_of_an_address_and_the_key_of_a_session(spark):
+    one, two = (pii.pseudonym("email", v, KEY) for v in ("Ann.Lee@Example.com", "ann.lee@example.com"))
+    assert one.lower() == two and one.split("@")[0].istitle()
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "k")
+    assert pii.session_key(spark) == pii.session_key(spark)
+    spark.conf.unset(pii.KEY_SETTING)
