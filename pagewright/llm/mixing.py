@@ -5,9 +5,9 @@ source leaves is shared again by weight. A source's documents are then taken tar
 for certain, the fraction by pivotal rounding. Two fractional documents play against each other: one gains and the other
 loses the same number of words, in a direction drawn so that expectations stay, until one of them is decided. So a
 source's words stay exactly at the target until one document is left, which is rounded to the nearer side; long documents play
-first, so that it is mostly a short one. The games are a reduction tree: blocks of some 64 documents of one source are folded to one undecided document each, blocks of those
-are folded again, and so on to one per source; no block grows with the source, so a hot source makes more blocks, not
-larger ones. Draws are hashes of the documents and the seed, so a rerun agrees.
+first, so that it is mostly a short one. The games are a reduction tree: blocks of some 64 documents of one source are
+folded to one undecided document each, blocks of those are folded again, and so on to one per source; no block grows
+with the source or with the repeats of a row, so a hot one makes more blocks, not larger ones. Draws are hashes of the documents and the seed, so a rerun agrees.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, last in order; a
 source without words has target 0; repeated rows are separate documents; other columns are ignored.
@@ -32,6 +32,12 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "source", "text").alias("body"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with nth, which tells equal rows apart: they are counted, and dealt out again by number."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_n"))
+    return counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> tuple[DataFrame, int]:
     """source, source_size, documents, target of every source, and the number of sources."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("documents"))
@@ -57,10 +63,10 @@ def _fold(draw: str) -> str:
         ELSE CASE WHEN a.open.p * a.open.size <= (1 - x.p) * x.size THEN 'left' ELSE 'new taken' END END"""
 
     def still_open(row: str, p: str) -> str:
-        return f"named_struct('doc_id', {row}.doc_id, 'body', {row}.body, 'size', {row}.size, 'p', {p})"
+        return f"named_struct('doc_id', {row}.doc_id, 'body', {row}.body, 'nth', {row}.nth, 'size', {row}.size, 'p', {p})"
 
     def decided(row: str, pick: str) -> str:
-        return f"named_struct('doc_id', {row}.doc_id, 'body', {row}.body, 'size', {row}.size, 'pick', {pick})"
+        return f"named_struct('doc_id', {row}.doc_id, 'body', {row}.body, 'nth', {row}.nth, 'size', {row}.size, 'pick', {pick})"
 
     game = f"""transform(array({outcome}), won -> named_struct(
         'open', CASE won
@@ -69,7 +75,7 @@ def _fold(draw: str) -> str:
             WHEN 'left' THEN {still_open("x", "x.p + a.open.p * a.open.size / x.size")}
             ELSE {still_open("a.open", "a.open.p - (1 - x.p) * x.size / a.open.size")} END,
         'done', array_append(a.done, CASE WHEN won IN ('taken', 'left') THEN {decided("a.open", "int(won = 'taken')")} ELSE {decided("x", "int(won = 'new taken')")} END)))[0]"""
-    row = "doc_id: BIGINT, body: BIGINT, size: DOUBLE"
+    row = "doc_id: BIGINT, body: BIGINT, nth: INT, size: DOUBLE"
     return f"""aggregate(items,
         CAST(named_struct('open', NULL, 'done', array()) AS STRUCT<open: STRUCT<{row}, p: DOUBLE>, done: ARRAY<STRUCT<{row}, pick: INT>>>),
         (a, x) -> CASE WHEN a.open IS NULL THEN named_struct('open', {still_open("x", "x.p")}, 'done', a.done) ELSE {game} END)"""
@@ -82,14 +88,14 @@ def _draw(seed: int, *columns: str) -> str:
 
 def pivotal(parts: DataFrame, blocks: int, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, body, source, size and pick (0 or 1) of every row of parts: source, block (of the `blocks` at most that
-    a source has), doc_id, body, size, p (how likely it is picked)."""
-    rows, decided = parts.select("source", "block", "doc_id", "body", F.col("size").cast("double").alias("size"), "p"), None
+    a source has), doc_id, body, nth (among equal rows), size, p (how likely it is picked)."""
+    rows, decided = parts.select("source", "block", "doc_id", "body", "nth", F.col("size").cast("double").alias("size"), "p"), None
     while True:
         seed += 1
-        items = f"sort_array(collect_list(named_struct('small', -size, 'order', xxhash64({seed}L, body, doc_id), 'doc_id', doc_id, 'body', body, 'size', size, 'p', p)))"
+        items = f"sort_array(collect_list(named_struct('small', -size, 'order', xxhash64({seed}L, body, doc_id, nth), 'doc_id', doc_id, 'body', body, 'nth', nth, 'size', size, 'p', p)))"
         folded = rows.groupBy("source", "block").agg(F.expr(items).alias("items"))
-        folded = durable(folded.select("source", "block", F.expr(_fold(_draw(seed, "x.body", "x.doc_id"))).alias("f")).select("source", "block", "f.open", "f.done"))
-        done = folded.select("source", F.inline("done"))
+        folded = durable(folded.select("source", "block", F.expr(_fold(_draw(seed, "x.body", "x.doc_id", "x.nth"))).alias("f")).select("source", "block", "f.open", "f.done"))
+        done = folded.select("source", F.inline("done")).drop("nth")
         decided = done if decided is None else decided.unionByName(done)
         if blocks <= 1:
             last = folded.select("source", "open.doc_id", "open.body", "open.size", F.expr("int(open.p >= 0.5)").alias("pick"))
@@ -100,7 +106,7 @@ def pivotal(parts: DataFrame, blocks: int, seed: int = SEED, block: int = BLOCK)
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, body, source, size, source_size, target and copies (how often it is taken) of every document."""
-    sized = durable(sizes(docs))
+    sized = durable(numbered(sizes(docs)))
     sources, n = targets(sized, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / block))
@@ -114,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int =
 
     rows = per_source(sized).withColumn("p", F.col("rate") - F.floor("rate"))
     playing = (F.col("size") > 0) & (F.col("p") > 0)
-    games = rows.where(playing).select("source", F.pmod(F.xxhash64(F.lit(seed), "body"), "blocks").alias("block"), "doc_id", "body", "size", "p")
+    games = rows.where(playing).select("source", F.pmod(F.xxhash64(F.lit(seed), "body", "nth"), "blocks").alias("block"), "doc_id", "body", "nth", "size", "p")
     sure = rows.where(~playing).select("source", "doc_id", "body", "size", F.lit(0).alias("pick"))
     picked = per_source(pivotal(games, most_blocks, seed, block).unionByName(sure))
     return picked.select("doc_id", "body", "source", F.col("size").cast("long").alias("size"), "source_size", "target", (F.floor("rate") + F.col("pick")).cast("long").alias("copies"))

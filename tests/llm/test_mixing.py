@@ -61,3 +61,17 @@ def test_odd_documents(odd, clashing, nothing):
     assert sorted((str(r.doc_id), r.copies) for r in same) == sorted((str(r.doc_id), r.copies) for r in rows)
     assert mixing.mix(nothing).count() == 0
 
+
+
+def test_repeats_of_a_row_are_dealt_over_blocks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    sized = mixing.numbered(mixing.sizes(docs))
+    blocks = sized.groupBy(F.pmod(F.xxhash64(F.lit(mixing.SEED), "body", "nth"), F.lit(47)).alias("block")).count().agg(F.max("count"), F.count("*")).first()
+    assert blocks[0] < 150 and blocks[1] == 47
+    more = docs.union(spark.createDataFrame([(1, "w " * 30_000, "b")], docs.schema))
+    rows = mixing.mix(more).collect()
+    assert len(rows) == 3001
+    own = [r for r in rows if r.source == "a"]
+    assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 1.5 + 1e-6
