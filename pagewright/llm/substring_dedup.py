@@ -4,8 +4,9 @@ A word is dropped if a window of `window` words that covers it also starts in a
 window of a text is hashed by rolling (two 64-bit polynomial hashes over word hashes). Windows that cannot repeat are
 left out before the count, without losing any: a window is keyed by its minimiser, the least hash of the word grams
 within it, so equal windows have equal minimisers, and only windows whose minimiser also occurs in another document go
-on to be counted. Exact copies of a smaller document need no windows at all: all their words go. Overlapping repeated
-windows merge into maximal intervals, which are cut out.
+on to be counted. Exact copies of a smaller document need no windows at all: all their words go. Both are exact filters
+before the count: what they leave out cannot repeat, or is decided already. Overlapping repeated windows merge into
+maximal intervals, which are cut out.
 
 Defined results: null text has no words; texts shorter than the window keep all; rows with a null doc_id keep all and
 remove nothing elsewhere; rows that share a doc_id do not remove from each other; other columns are ignored.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, each_batch, flat_lists, raw_texts, table
+from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, flat_lists, raw_texts, table
 
 WINDOW = 50
 #: Words in a gram of which a window's least hash is its minimiser.
@@ -154,12 +155,21 @@ def _cuts(flagged: DataFrame, window: int, with_text: bool) -> DataFrame:
     return flagged.select("doc_id", "body", "text", "gone").mapInArrow(run, "doc_id long, body long, n_removed long, digest binary, kept string")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, profiles: DataFrame | None = None) -> DataFrame:
+def _copies(profiles: DataFrame) -> DataFrame:
+    """doc_id and body of the documents whose words a smaller document has too. Only texts that occur more than once
+    are joined, and no keys with them; while such texts are few they are broadcast, so that one with very many copies
+    needs no task of its own."""
+    first = durable(profiles.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"))
+    side = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    return profiles.select("doc_id", "body", "digest").join(side, "digest").where("doc_id > first").select("doc_id", "body").distinct()
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, profiles: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """doc_id, body and h1 (the hash) of every distinct window that also starts in a document with a smaller doc_id, for
     documents that are not exact copies of a smaller one."""
     profiles = durable(_profiles(docs, window, gram)) if profiles is None else profiles
-    first = profiles.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    own = profiles.join(first, "digest").where(F.col("doc_id") == F.col("first")).select("doc_id", "body", F.explode("keys").alias("key"))
+    copies = _copies(profiles) if copies is None else copies
+    own = profiles.where("doc_id is not null").join(copies, ["doc_id", "body"], "left_anti").select("doc_id", "body", F.explode("keys").alias("key"))
     spread = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     later = F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.col("key")))
     shared = own.join(spread, "key").groupBy("doc_id", "body").agg(F.collect_set("key").alias("shared"), later.alias("later"))
@@ -173,12 +183,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     """doc_id, n_words, n_removed, kept_sha256 of every document, whether it is a copy of a smaller one, and (if wanted,
     where words were cut out of it) kept, its text without them."""
     profiles = durable(_profiles(docs, window, gram))
-    gone = repeated_windows(docs, window, gram, profiles).groupBy("doc_id", "body").agg(F.collect_set("h1").alias("gone"))
+    copies = durable(_copies(profiles))
+    gone = repeated_windows(docs, window, gram, profiles, copies).groupBy("doc_id", "body").agg(F.collect_set("h1").alias("gone"))
     cut = _cuts(_bodies(docs).join(gone, ["doc_id", "body"]), window, with_text)
     cut = cut.dropDuplicates(["doc_id", "body"]).select("doc_id", "body", F.col("n_removed").alias("cut"), F.col("digest").alias("left"), "kept")
-    first = profiles.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    base = profiles.select("doc_id", "body", "n_words", "digest").join(first, "digest")
-    copy = F.coalesce((F.col("n_words") >= window) & (F.col("doc_id") > F.col("first")), F.lit(False))
+    base = profiles.select("doc_id", "body", "n_words", "digest").join(copies.withColumn("_copy", F.lit(True)), ["doc_id", "body"], "left")
+    copy = F.coalesce((F.col("n_words") >= window) & F.col("_copy"), F.lit(False))
     empty = F.lit(hashlib.sha256(b"").digest())
     return base.join(cut, ["doc_id", "body"], "left").select(
         "doc_id",
