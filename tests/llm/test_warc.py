@@ -48,14 +48,29 @@ PAGES = [
 def test_round_trip(spark):
     _, rows = round_trip(spark, PAGES, chunk=1000)
     assert rows == sorted(map(str, plain(PAGES)))
+    _, rows = round_trip(spark, PAGES, chunk=3)
+    assert rows == sorted(map(str, plain(PAGES)))
     _, rows = round_trip(spark, PAGES, revisit_bytes=6)
     assert rows == sorted(map(str, plain(PAGES, 6)))
 
 
-def test_chunks_never_hold_a_record_start():
-    for text in ("", TRICKY * 3, "x" * 100, "WARC/1.1\r\n" * 4):
-        pieces = warc.chunks(text, 17)
-        assert "".join(pieces) == text and all("WARC/1.1\r\n" not in p and len(p) <= 17 for p in pieces)
+def test_pieces_never_hold_a_record_start():
+    for raw in (b"", TRICKY.encode() * 3, b"x" * 100, b"WARC/1.1\r\n" * 4):
+        cut = warc.pieces(raw)
+        assert b"".join(cut) == raw and all(b"WARC/1.1\r\n" not in p for p in cut)
+
+
+def test_payloads_become_chunk_rows(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    for size in (1, 7, 1000):
+        rows = {}
+        for r in warc.chunk_rows(pages, size).collect():
+            assert len(r.piece) <= size and 0 <= r["at"] < r["of"]
+            rows.setdefault((r.page_id, r.body), {}).setdefault(r["at"], bytes(r.piece))
+        whole = {(page, (html or "").encode()) for page, _, html in PAGES}
+        assert {(page, b"".join(parts[k] for k in sorted(parts))) for (page, _), parts in rows.items()} == whole
+        found = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.digests(pages, size).collect()}
+        assert found == {x[:3] for x in plain(PAGES)}
 
 
 def test_archives_are_plain_records(spark):
