@@ -1,3 +1,4 @@
+import os
 import random
 
 from pagewright.llm import prefix_hash as H
@@ -19,14 +20,20 @@ def test_spans_and_extensions():
                 k += 1
             assert x.common_extension(i, y, j) == k
         assert (x.fingerprint() == y.fingerprint()) == (a == b)
-        assert 0 <= x.likeness(y) <= 1 and x.likeness(x) == 1
+        assert 0 <= H.likeness(x.fingerprint(), y.fingerprint()) <= 1 == H.likeness(x.fingerprint(), x.fingerprint())
 
 
 def check(rows, docs):
     want = brute.edits(docs)
     assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in rows} == {d: v[:2] for d, v in want.items()}
+    text = {d: t or "" for d, t in docs}
+    order = sorted(text, reverse=True)
     for r in rows:
         assert r.edited_fingerprint == H.Prefixes(want[r.doc_id][2]).fingerprint()
+        own, other = text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]]
+        for found, known in ((r.near_edited, want[r.doc_id][2]), (r.near_next, other)):
+            assert abs(found - plain_likeness(own, known)) <= (0.3 if max(len(own), len(known)) > 95 else 1e-12)
+        assert r.head_next == len(os.path.commonprefix([own, other])) and r.tail_next == len(os.path.commonprefix([own[::-1], other[::-1]]))
 
 
 def test_sample_and_ranges(spark, sf):
@@ -45,32 +52,48 @@ def test_odd_documents(spark, odd, clashing, nothing):
     assert H.fingerprint_table(spark.createDataFrame([(None, "ab"), (None, "cd")], "doc_id long, text string"), 4).count() == 2
 
 
+def spans(text):
+    n = min(H.SPAN, len(text))
+    return {text[i : i + n] for i in range(len(text) - n + 1)} if text else set()
+
+
 def plain_likeness(a, b):
+    """The shared share of the spans, on the texts themselves."""
     if a == b:
         return 1.0
-
-    def cover(x, y):
-        spans, marked = {y[i : i + H.SPAN] for i in range(len(y) - H.SPAN + 1)}, set()
-        for i in range(len(x) - H.SPAN + 1):
-            if x[i : i + H.SPAN] in spans:
-                marked.update(range(i, i + H.SPAN))
-        for k in range(min(len(x), len(y))):
-            if x[: k + 1] == y[: k + 1]:
-                marked.add(k)
-            if x[len(x) - k - 1 :] == y[len(y) - k - 1 :]:
-                marked.add(len(x) - k - 1)
-        return len(marked)
-
-    return min(cover(a, b), cover(b, a)) / max(len(a), len(b))
+    x, y = spans(a), spans(b)
+    return len(x & y) / max(len(x), len(y)) if x and y else 0.0
 
 
-def test_likeness_is_that_of_a_plain_version():
+def test_likeness_is_near_that_of_a_plain_version():
     rng = random.Random(2)
     base = "".join(rng.choice("abcd efg😀") for _ in range(900))
     other = "".join(rng.choice("abcd efg😀") for _ in range(500))
-    texts = [base, other, "title " + base[5:-5] + " footer", base[:10] + "x" + base[11:880] + "y" + base[881:], other[:200] + base[300:600] + other[250:], base[100:140] * 12, base[:20], ""]
+    texts = [base, other, "title " + base[5:-5] + " footer", base[:10] + "x" + base[11:880] + "y" + base[881:], other[:200] + base[300:600] + other[250:], base[100:140] * 12, base[:90], base[10:95], base[:20], base[:20] + "z", ""]
+    off = []
     for a in texts:
         for b in texts:
-            assert H.Prefixes(a).likeness(H.Prefixes(b)) == plain_likeness(a, b)
-    assert H.Prefixes(texts[0]).likeness(H.Prefixes(texts[2])) > 0.95 < H.Prefixes(texts[0]).likeness(H.Prefixes(texts[3]))
-    assert H.Prefixes(base).likeness(H.Prefixes(texts[4])) >= 300 / 900
+            found, want = H.likeness(H.Prefixes(a).fingerprint(), H.Prefixes(b).fingerprint()), plain_likeness(a, b)
+            assert abs(found - want) < (0.25 if max(len(a), len(b)) > 95 else 1e-12)
+            off.append(found - want)
+    assert abs(sum(off) / len(off)) < 0.02
+    assert H.likeness(*(H.Prefixes(texts[k]).fingerprint() for k in (0, 2))) > 0.9
+
+
+def plain_fingerprint(text):
+    """By whole numbers, span by span."""
+    n, length = len(text), min(H.SPAN, len(text))
+    of = lambda part, base: sum((ord(c) + 1) * base**i for i, c in enumerate(part)) % H.PRIME
+    marks = set()
+    for i in range(n - length + 1 if n else 0):
+        x, y = (of(text[i : i + length], base) for base in H.BASES[:2])
+        mixed = ((x << 31) | y) * 0x9E3779B97F4A7C15 % 2**64
+        marks.add((mixed ^ mixed >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 16)
+    return f"{n:x}-" + "".join(f"{of(text, base):08x}" for base in H.BASES) + f"-{len(marks):x}-" + "".join(f"{m:012x}" for m in sorted(marks)[: H.KEPT])
+
+
+def test_fingerprints_are_those_of_a_plain_version():
+    rng = random.Random(6)
+    for n in (0, 1, 5, 31, 32, 33, 95, 300):
+        text = "".join(rng.choice("ab é😀") for _ in range(n))
+        assert H.Prefixes(text).fingerprint() == plain_fingerprint(text)
