@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import ann
 
@@ -22,12 +24,17 @@ def test_within_is_every_code_of_the_radius():
         assert index.within(codes[0], radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[0]) <= radius).tolist()
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("shard, block", [(ann.SHARD, ann.QUERIES), (150, 7)])
+def test_recall(spark, monkeypatch, shard, block):
+    """In one shard and block, and in many."""
+    monkeypatch.setattr(ann, "SHARD", shard)
+    monkeypatch.setattr(ann, "QUERIES", block)
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     found = {}
     for r in ann.op4_nearest(spark, sf).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score == float((np.array(dict(rows)[r.query_id]) * np.array(dict(rows)[r.vec_id])).sum())
     queries = [i for i, _ in rows if i % 20 == 0]
     assert sorted(found) == queries and all(len(v) == 20 for v in found.values())
     hits = sum(len(set(found[q]) & set(plain(rows, q, 20))) for q in queries)
@@ -38,9 +45,10 @@ def test_odd_vectors(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(12)]
     rows += [(20, rows[3][1]), (21, rows[3][1]), (22, rows[3][1])]
-    bad = [(40, None), (60, [0.0] * 8), (80, [math.nan] + [1.0] * 7), (100, [math.inf] + [1.0] * 7), (120, [None] + [1.0] * 7), (140, [1.0, 2.0]), (None, rows[0][1])]
+    rows += [(30, [1.0, 2.0]), (31, [9.0] * 7)]  # as if filled up with zeros
+    bad = [(40, None), (60, [0.0] * 8), (80, [math.nan] + [1.0] * 7), (100, [math.inf] + [1.0] * 7), (120, [None] + [1.0] * 7), (140, []), (None, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    kept = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect() if r.vec_id is not None and r.vec_id < 40]
+    kept = [(r.vec_id, [float(x) for x in r.embedding] + [0.0] * (8 - len(r.embedding))) for r in df.collect() if r.vec_id is not None and r.vec_id < 40]
     out = ann.nearest_neighbours(df, "vec_id % 20 = 0", k=5).orderBy("query_id", "rank").collect()
     for q in (0, 20):
         own = [r for r in out if r.query_id == q]
@@ -50,5 +58,10 @@ def test_odd_vectors(spark):
     assert [r.vec_id for r in out if r.query_id == 20][:3] == [3, 21, 22] or len(kept) > 5
     every = ann.nearest_neighbours(df, "vec_id % 20 = 0", k=50).collect()
     assert len(every) == 2 * (len(kept) - 1)
+    assert all(abs(r.score - float((np.array(dict(kept)[r.query_id]) * np.array(dict(kept)[r.vec_id])).sum())) < 1e-12 for r in every)
+    clashing = df.withColumns({c: F.lit(f"own {c}") for c in ("code", "vector", "shard", "block", "asked", "query_id", "bits", "rank", "score")})
+    assert sorted(ann.nearest_neighbours(clashing, "vec_id % 20 = 0", k=50).collect()) == sorted(every)
+    twice = ann.nearest_neighbours(df.union(df.where("vec_id in (3, 20)")), "vec_id % 20 = 0", k=50).where("query_id = 0").collect()
+    assert len(twice) == len(kept) - 1 + 2 and sum(r.vec_id == 3 for r in twice) == 2
     assert ann.nearest_neighbours(df.where("vec_id = 40"), "true").count() == 0
     assert ann.nearest_neighbours(df.limit(0), "true").count() == 0
