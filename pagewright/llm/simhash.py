@@ -8,6 +8,11 @@ within its threshold, and pairs are verified on all 64 bits inside the join. Par
 fingerprints share are linked without pairs: fingerprints within radius // 2 flips of one midpoint are within the radius
 of each other, and two within the radius share a midpoint, so a star around each midpoint keeps every connection.
 
+similar_documents() is the same with a wide radius, where fingerprints are candidates only: five-word shingles, 12 bits
+of 64 (four fifths of the bits agree), and every pair is verified on its texts, whose shingles must have a similarity of
+0.8 or more. Only texts of fitting sizes meet. Values that many texts share first get stars around two of their texts
+and then only meet what no link connects them with.
+
 Defined results: null text counts as empty; no words gives fingerprint 0, linked like any other; equal documents
 share a fingerprint; a null id keeps its row and never names a component unless all ids of it are null; other columns
 are ignored.
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import ASCII_LOWER, durable, each_batch, raw_texts, table
+from pagewright.llm.common import ASCII_LOWER, BROADCAST_ROWS, durable, each_batch, raw_texts, table
+from pagewright.llm.shingles import ALIKE, SHINGLE, fits, keyed, normal, shingles, verified
 
 BITS = 64
 #: Fingerprints in the sample that costs are estimated on. Any choice of partitions is exact.
@@ -34,6 +40,8 @@ SAMPLE = 4096
 HOT = 2000
 #: What a shuffled probe costs, in verified pairs.
 PROBE_COST = 20
+#: Bits that may differ where texts are verified, and texts that share a value beyond which stars come first.
+WIDE, CROWD = 12, 64
 
 
 def text_fingerprint(raw: bytes, shingle: int = 4) -> int:
@@ -85,8 +93,9 @@ def bit_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int) -> tuple[float, list[int]]:
-    """The cheapest thresholds that add up to radius - partitions + 1, and their cost. -1 leaves a partition out."""
+def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int, fit: float = 1.0) -> tuple[float, list[int]]:
+    """The cheapest thresholds that add up to radius - partitions + 1, and their cost, where only a share `fit` of pairs
+    can meet. -1 leaves a partition out."""
     some = sample[: SAMPLE // 4]
     costs = []
     for group in groups:
@@ -98,7 +107,7 @@ def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int)
         for t in range(radius + 1):
             ball = sum(comb(width, k) for k in range(t + 1))
             share = max(near[t] / max(1, len(some) * (len(some) - 1)), ball / 2.0**width)
-            cost.append(PROBE_COST * n * (ball + 1) + share * n * n / 2)
+            cost.append(PROBE_COST * n * (ball + 1) + share * fit * n * n / 2)
         costs.append(cost)
     goal = radius - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -113,12 +122,12 @@ def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int)
     return best[goal]
 
 
-def plan_probes(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
+def plan_probes(sample: np.ndarray, n: int, radius: int, fit: float = 1.0) -> list[tuple[list[int], int]]:
     """Bits and threshold of each partition, for the number of partitions that costs least."""
     options = []
     for parts in range(2, radius + 2):
         groups = bit_groups(sample, parts)
-        cost, chosen = thresholds(sample, groups, radius, n)
+        cost, chosen = thresholds(sample, groups, radius, n, fit)
         options.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[0])[1]
 
@@ -133,10 +142,10 @@ def _flips(bits: list[int], most: int) -> list[int]:
 
 
 def _keys(fps: DataFrame, cells: list[tuple[int, int, int]]) -> DataFrame:
-    """For each fingerprint a row per cell: the partition, and its bits after the flip."""
+    """For each fingerprint a row per cell with part, the partition, and key, its bits after the flip."""
     cell = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip")) for p, mask, flip in cells])
     key = F.transform(cell, lambda c: F.struct(c["part"].alias("part"), F.col("fp").bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]).alias("key")))
-    return fps.select("fp", F.inline(key))
+    return fps.select(*fps.columns, F.inline(key))
 
 
 def links(fps: DataFrame, n: int, radius: int = 4, hot: int = HOT) -> DataFrame:
@@ -207,6 +216,101 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, hot: int
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
+def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, key (a hash of the words), fp and size (the number of distinct shingles) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches):
+            bodies = [normal(raw or b"") for raw in raw_texts(batch.column("text"))]
+            prints = np.array([text_fingerprint(b, shingle) for b in bodies], np.uint64).view(np.int64)
+            keys = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
+            sizes = np.array([len(shingles(b, shingle)) for b in bodies], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (keys, prints, sizes))], ["doc_id", "key", "fp", "size"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, fp long, size long")
+
+
+def _few(side: DataFrame) -> DataFrame:
+    """A side that is broadcast while it is counted to be few."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def _centres(crowd: DataFrame) -> DataFrame:
+    """a, a_fp and a_size of the text of each crowded value (part, value, slot) that is nearest to what most bits of its
+    texts are, and of the one with the least key."""
+    of = ["part", "value", "slot"]
+    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{k}") for k in range(BITS)]
+    most = crowd.groupBy(*of).agg(F.count("*").alias("n"), *ones)
+    bits = [F.when(F.col(f"b{k}") * 2 > F.col("n"), F.lit(_signed(1 << k)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(BITS)]
+    middle = bits[0]
+    for bit in bits[1:]:
+        middle = middle.bitwiseOR(bit)
+    middle = durable(most.select(*of, middle.alias("middle")))
+    near = crowd.join(_few(middle), of).withColumn("off", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
+    both = near.groupBy(*of).agg(F.min(F.struct("off", "key", "fp", "size")).alias("c"), F.min(F.struct("key", "fp", "size")).alias("d"))
+    one = lambda c: both.select(*of, F.col(f"{c}.key").alias("a"), F.col(f"{c}.fp").alias("a_fp"), F.col(f"{c}.size").alias("a_size"))
+    return durable(one("c").union(one("d")).distinct())
+
+
+def candidates(texts: DataFrame, bodies: DataFrame, n: int, radius: int, alike: float, crowd: int = CROWD, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the keys of texts (key, fp, size) that connect all those within the radius that are alike."""
+    drawn = texts.orderBy(F.xxhash64("key")).limit(SAMPLE).collect()
+    slots = np.array([int(log(r["size"]) / -log(alike)) for r in drawn])
+    fit = float(np.mean(np.isin(slots[:1000, None] - slots[None, :1000], (0, 1)))) / 2 + 0.5 / len(slots)
+    plan = plan_probes(np.array([r.fp for r in drawn], np.int64).view(np.uint64), n, radius, fit)
+    masks = [sum(1 << b for b in bits) for bits, _ in plan]
+    of = ["part", "value", "slot"]
+    texts = texts.select("key", "fp", "size", F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int").alias("own")).withColumnRenamed("key", "_key")
+
+    def spread(rows: DataFrame, cells: list) -> DataFrame:
+        return _keys(rows, cells).withColumnsRenamed({"key": "value", "_key": "key"})
+
+    index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
+    close = lambda fp, size: (F.bit_count(F.col("fp").bitwiseXOR(F.col(fp))) <= radius) & fits("size", size, alike)
+    crowded = durable(index.groupBy(*of).count().where(F.col("count") > crowd).select(*of))
+    found, big = None, None
+    texts = texts.withColumn("root", F.col("_key"))
+    if not crowded.isEmpty():
+        members = durable(index.join(_few(crowded), of, "left_semi"))
+        stars = members.join(_few(_centres(members)), of).where((F.col("a") != F.col("key")) & close("a_fp", "a_size"))
+        found = verified(stars.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")), bodies, shingle, alike)
+        if not found.isEmpty():
+            roots = components(found).withColumnRenamed("root", "_root")
+            texts = durable(texts.join(_few(roots), F.xxhash64("_key") == F.col("node"), "left").withColumn("root", F.coalesce("_root", "_key")).select(*texts.columns))
+            rooted = members.join(_few(roots), F.xxhash64("key") == F.col("node")).groupBy(*of, F.col("_root").alias("big")).count()
+            big = durable(rooted.where(F.col("count") > crowd).select(*of, "big"))
+    index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1))).withColumn("sub", F.lit(None).cast("long"))
+    probes = spread(texts, [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]).withColumn("slot", F.col("own")).withColumn("sub", F.lit(0).cast("long"))
+    if big is not None and not big.isEmpty():
+        # of a crowded value, texts that links connect already are a group of their own, which only others probe
+        some = _few(big)
+        index = index.join(some, [*(index[c] == big[c] for c in of), index["root"] == big["big"]], "left").select(*(index[c] for c in index.columns if c != "sub"), big["big"].alias("sub"))
+        more = probes.drop("sub").join(some, of).where(F.col("root") != F.col("big")).withColumnRenamed("big", "sub")
+        probes = probes.unionByName(more)
+    a = probes.select(*of, "sub", F.col("key").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("own").alias("a_own"), F.col("root").alias("a_root"))
+    b = index.select(*of, F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), F.col("key").alias("b"), "fp", "size", "own", "root")
+    once = (F.col("own") > F.col("a_own")) | (F.col("a") < F.col("b"))
+    met = a.join(b, [*of, "sub"]).where(close("a_fp", "a_size") & once & (F.col("root") != F.col("a_root")))
+    rest = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bodies, shingle, alike)
+    return rest if found is None else found.unionByName(rest)
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
+    """doc_id, key, fp and component_id (the least doc_id that links reach) of every document. Texts are linked whose
+    fingerprints differ in `radius` bits at most and whose shingles are alike."""
+    rows = durable(profiles(docs, shingle))
+    texts = durable(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")))
+    n = texts.count()
+    rooted = texts.select("key", "first", F.xxhash64("key").alias("node"))
+    if n > 1:
+        edges = durable(candidates(texts.select("key", "fp", "size"), keyed(docs), n, radius, alike, crowd, shingle))
+        if not edges.isEmpty():
+            rooted = rooted.join(components(edges), "node", "left").withColumn("node", F.coalesce("root", "node"))
+    rooted = durable(rooted.select("key", "first", "node"))
+    owner = rooted.join(rooted.groupBy("node").agg(F.min("first").alias("component_id")), "node")
+    return rows.join(owner.select("key", "component_id"), "key").select("doc_id", "key", "fp", "component_id")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from pagewright.llm import near_dup as N
+from pagewright.llm import simhash as N
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
@@ -13,8 +13,8 @@ def plain(docs):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-    sets = {d: parts(t) for d, t in docs}
-    return brute.classes(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    sets, prints = {d: parts(t) for d, t in docs}, {d: brute.simhash(t, 5) for d, t in docs}
+    return brute.classes(list(sets), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= N.WIDE and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
 
 
 def edited(text, rng, edits):
@@ -31,7 +31,7 @@ def test_edited_copies_are_grouped_as_a_plain_version_does(spark):
         base = prose(100 + k, 400)
         rows += [base, *(edited(base, rng, n) for n in (1, 3, 5, 6, 7, 8, 9, 12))]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(rows)] + [(2000 + r[0], r[1]) for r in odd_rows()[:16]]
-    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == plain(rows) and len(found) == len(rows)
 
 
@@ -39,9 +39,12 @@ def test_a_large_group_and_no_rows(spark, nothing):
     rng = random.Random(4)
     base = prose(9, 300)
     rows = [(i, edited(base, rng, rng.randint(2, 6))) for i in range(150)] + [(900, prose(10, 300))]
-    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == plain(rows)
-    assert N.near_duplicates(nothing).count() == 0
+    for crowd in (3, 20):  # stars first, nearly everywhere
+        found = N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+        assert {r.doc_id: r.component_id for r in found} == plain(rows)
+    assert N.similar_documents(nothing).count() == 0
 
 
 def test_the_stage_drops_copies_with_a_few_per_cent_of_edits(spark):
