@@ -11,19 +11,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import line_dedup, mixing, near_dup, packing, quality
+from pagewright.llm import line_dedup, mixing, packing, quality, simhash
 from pagewright.llm.common import durable, shared_dir, table
+from pagewright.session import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    docs = docs.select(*COLUMNS)
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= quality.KEEP).select(*COLUMNS)
+    return quality.good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (similarity 0.8 of five-word shingles or
-    more); repeated rows once."""
-    found = near_dup.near_duplicates(docs)
+    """The document with the smallest doc_id of each group of near duplicates (SimHash of five-word shingles, verified
+    at a similarity of 0.8 or more); repeated rows once."""
+    found = simhash.similar_documents(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
 
@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs).groupBy("body").agg(F.sum("copies").alias("copies")).where("copies > 0")
     rows = docs.withColumn("body", F.xxhash64(F.col("doc_id").cast("long"), "source", "text"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("body").orderBy("body"))).where("nth = 1")
+    rows = rows.dropDuplicates(["body"])
     return rows.join(taken, "body").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth")).select(*COLUMNS)
 
 
@@ -61,8 +61,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_good),
     ("line dedup", cut_boilerplate),
-    ("near-dedup", drop_near_duplicates),
-    ("mixing sources", mix_sources),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack),
 ]
 
@@ -71,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage leaves is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage leaves is written to the shared folder, read by the next, and removed when
+    that has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name.replace(' ', '-').lower()}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

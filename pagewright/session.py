@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, name: str = "pagewr
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PAGEWRIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -37,15 +38,24 @@ def importable_on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in a local session one of our own where it is
+    unset. On a cluster it must be set, as no folder of one machine will do."""
     sc = spark.sparkContext
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the shared folder, so that a lost executor loses none of them."""
     root = shared_dir(df.sparkSession)
