@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the sharpness of the cubic kernel that results are compared with.
-CUBIC = -0.75
+from pagewright.params import CUBIC
 
 
 def _linear(t: Column) -> list[tuple[int, Column]]:
@@ -112,9 +111,9 @@ def warping(quads: DataFrame) -> DataFrame:
     return rows.select("page_id", "y", "x", ((a(3) * x + a(4) * y + a(5)) / depth).alias("sy"), ((a(0) * x + a(1) * y + a(2)) / depth).alias("sx"))
 
 
-def squaring(sides: DataFrame) -> DataFrame:
-    """Targets that make the trapezoid between each page's top and bottom line (page_id, w, h, top and bottom slopes,
-    y_top and y_bottom at mid width) a rectangle over the page's width."""
+def square_maps(sides: DataFrame) -> DataFrame:
+    """page_id, w, h and m, the eight coefficients of the map from the page with its trapezoid squared back to the page.
+    sides: page_id, w, h, top and bottom slopes, y_top and y_bottom at mid width."""
 
     @F.pandas_udf("array<double>")
     def solved(w: pd.Series, h: pd.Series, top: pd.Series, bottom: pd.Series, y_top: pd.Series, y_bottom: pd.Series) -> pd.Series:
@@ -130,7 +129,12 @@ def squaring(sides: DataFrame) -> DataFrame:
             out.append(np.linalg.lstsq(np.array(rows, np.float64), np.array([q for _, q in pairs], np.float64).ravel(), rcond=None)[0].tolist())
         return pd.Series(out)
 
-    maps = sides.select("page_id", "w", "h", solved("w", "h", "top", "bottom", "y_top", "y_bottom").alias("m"))
+    return sides.select("page_id", "w", "h", solved("w", "h", "top", "bottom", "y_top", "y_bottom").alias("m"))
+
+
+def squaring(sides: DataFrame) -> DataFrame:
+    """Targets that make the trapezoid between each page's top and bottom line a rectangle over the page's width."""
+    maps = square_maps(sides)
     a, x, y = (lambda k: F.col("m")[k]), F.col("x"), F.col("y")
     depth = a(6) * x + a(7) * y + 1.0
     return grid(maps).select("page_id", "y", "x", ((a(3) * x + a(4) * y + a(5)) / depth).alias("sy"), ((a(0) * x + a(1) * y + a(2)) / depth).alias("sx"))

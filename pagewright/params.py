@@ -17,6 +17,13 @@ BANDS = 6
 BAND_OVERLAP = 0.25
 BAND_RANGE = (0.06, 0.98)
 CANVAS_PIXELS = 16_000_000
+MARGINS = (0.069, 0.071, 0.070, 0.040)
+ASPECT = 893 / 1263
+FRINGE = 0.015
+CUBIC = -0.75
+PROBE_WIDTH = 1000
+AUTO_TRIM = (0.008, 0.02, 0.01, 0.02)
+TOP_TRIM = 0.12
 PAGE_SIZES = {"A4": (595, 842), "Letter": (612, 792)}
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
 JOB_TTL = 600
@@ -36,10 +43,13 @@ class ScanParams:
     blacks: tuple[int, int] = BLACK_POINTS
     saturation: float = SATURATION
     ink: int = INK
-    margins: tuple[float, float, float, float] = (0.05, 0.05, 0.05, 0.05)
-    aspect: float | None = 893 / 1263
+    margins: tuple[float, float, float, float] = MARGINS
+    aspect: float | None = ASPECT
+    budget: int = CANVAS_PIXELS
     border_depth: float = 0.12
     noise_area: int = 15
+    output_scale: float = 1.0
+    preserve_borders: bool = False
     ink_block: int = 21
     ruling_run: str = "greatest(30, floor(width / 12))"
     ruling_length: str = "greatest(100, floor(w / 4))"

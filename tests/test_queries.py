@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from pagewright.plans import queries
+from pagewright.plans import image_queries as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
