@@ -180,7 +180,8 @@ def white_bands(pixels: DataFrame, ink: int = P.WHITE_FILL, within: float | tupl
         box[f"{axis}0"] = F.least(F.coalesce(f"first_{axis}", n), cap(low) + 1)
         box[f"{axis}1"] = F.greatest(F.coalesce(F.col(f"last_{axis}") + 1, F.lit(0)), F.col(n) - cap(high))
     both = both.withColumns(box)
-    whole = (F.col("x1") - F.col("x0") < F.floor(F.col("w") / 2)) | (F.col("y1") - F.col("y0") < F.floor(F.col("h") / 2))
+    half = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / 2))
+    whole = (F.col("x1") - F.col("x0") < half("w")) | (F.col("y1") - F.col("y0") < half("h"))
     return both.select("page_id", *[F.when(whole, w).otherwise(F.col(c)).cast("int").alias(c) for c, w in (("x0", F.lit(0)), ("y0", F.lit(0)), ("x1", F.col("w")), ("y1", F.col("h")))])
 
 
@@ -202,7 +203,7 @@ def dark_left(pixels: DataFrame, most: float = 0.25, within: float = 0.06, smoot
     clean = pixels.groupBy("page_id").agg(F.avg("v").alias("mean"), (F.max("x") + 1).alias("w"))
     first = edge_darkness(pixels, smooth=smooth).groupBy("page_id").agg(F.min(F.when(F.col("darkness") <= most, F.col("x"))).alias("first"))
     cut = F.least(F.coalesce("first", "w"), F.floor(F.col("w") * within).cast("int") + 1)
-    keep = (F.col("mean") > P.CLEAN) | (F.col("w") - cut < F.floor(F.col("w") / 2))
+    keep = (F.col("mean") > P.CLEAN) | (F.col("w") - cut < F.greatest(F.lit(1), F.floor(F.col("w") / 2)))
     return clean.join(first, "page_id").select("page_id", F.when(keep, 0).otherwise(cut).cast("int").alias("cut"))
 
 

@@ -147,7 +147,7 @@ def ink_free(g: np.ndarray, ink: int = P.WHITE_FILL, within: tuple[float, float,
         first, last = (int(has[0]), int(has[-1]) + 1) if len(has) else (n, 0)
         ends.append((min(first, int(n * low) + 1), max(last, n - int(n * high)), n))
     (x0, x1, w), (y0, y1, h) = ends
-    return (0, 0, w, h) if x1 - x0 < w // 2 or y1 - y0 < h // 2 else (x0, y0, x1, y1)
+    return (0, 0, w, h) if x1 - x0 < max(1, w // 2) or y1 - y0 < max(1, h // 2) else (x0, y0, x1, y1)
 
 
 def smeared_top(g: np.ndarray, within: float = 0.10, share: float = 0.50) -> int:
@@ -173,7 +173,7 @@ def dark_left(g: np.ndarray, most: float = 0.25, within: float = 0.06, smooth: i
     darkness = np.convolve(np.pad(top, smooth // 2), np.ones(smooth) / smooth, mode="valid")
     light = np.flatnonzero(darkness <= most)
     cut = min(int(light[0]) if len(light) else w, int(w * within) + 1)
-    return 0 if w - cut < w // 2 else cut
+    return 0 if w - cut < max(1, w // 2) else cut
 
 
 class Runs:

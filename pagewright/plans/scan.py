@@ -85,16 +85,22 @@ def enhance(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
 
 def reframe(pixels: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
     """Gray pages with their ink box on a white canvas: page_id, canvas_w, canvas_h and the content's pixels moved to
-    their place. Pages without ink stay as they are."""
+    their place, made smaller with the canvas where that has more pixels than the budget. Pages without ink stay as they
+    are."""
     box = I.ink_box(pixels, params.ink, params.noise_area)
     size = I.sizes(pixels).join(box, "page_id", "left")
     bw, bh = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     usable = F.coalesce((bw >= F.floor(F.col("w") / 4)) & (bh >= F.floor(F.col("h") / 4)), F.lit(False))
-    canvas = S.reframe_canvas(bw, bh, params.margins, params.aspect)
-    plan = size.select("page_id", "w", "h", usable.alias("usable"), "x0", "y0", "x1", "y1", canvas.alias("c"))
-    rows = pixels.join(plan, "page_id").where(~F.col("usable") | (F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("y").between(F.col("y0"), F.col("y1") - 1)))
-    moved = lambda at, start, o: F.when(F.col("usable"), F.col(at) - F.col(start) + F.col(f"c.{o}")).otherwise(F.col(at)).cast("int").alias(at)
-    return rows.select("page_id", F.when(F.col("usable"), F.col("c.canvas_w")).otherwise(F.col("w")).cast("int").alias("canvas_w"), F.when(F.col("usable"), F.col("c.canvas_h")).otherwise(F.col("h")).cast("int").alias("canvas_h"), moved("y", "y0", "oy"), moved("x", "x0", "ox"), "v")
+    canvas = S.reframe_canvas(bw, bh, params.margins, params.aspect, params.budget)
+    plan = durable(size.select("page_id", "w", "h", usable.alias("usable"), "x0", "y0", "x1", "y1", bw.alias("bw"), bh.alias("bh"), canvas.alias("c")))
+    whole = pixels.join(plan.where("not usable"), "page_id").select("page_id", F.col("w").alias("canvas_w"), F.col("h").alias("canvas_h"), "y", "x", "v")
+    framed = plan.where("usable").select("page_id", "x0", "y0", "x1", "y1", "bw", "bh", "c.*")
+    content = I.crop(pixels.select("page_id", "y", "x", "v"), framed.select("page_id", "x0", "y0", "x1", "y1"))
+    smaller = framed.where("content_w <> bw or content_h <> bh").select("page_id", F.col("bw").alias("w"), F.col("bh").alias("h"), F.col("content_w").cast("int").alias("new_w"), F.col("content_h").cast("int").alias("new_h"))
+    resized = W.remap(content.join(smaller.select("page_id"), "page_id", "left_semi"), W.resizing(smaller), "lanczos", None)
+    content = content.join(smaller.select("page_id"), "page_id", "left_anti").select("page_id", "y", "x", "v").unionByName(resized)
+    placed = content.join(framed, "page_id").select("page_id", F.col("canvas_w").cast("int").alias("canvas_w"), F.col("canvas_h").cast("int").alias("canvas_h"), (F.col("y") + F.col("oy")).cast("int").alias("y"), (F.col("x") + F.col("ox")).cast("int").alias("x"), "v")
+    return whole.unionByName(placed)
 
 
 def filled(rows: DataFrame) -> DataFrame:

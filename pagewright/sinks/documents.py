@@ -1,4 +1,4 @@
-"""Pages as PNG, documents as PDF, and an artifact store.
+"""Pages as PNG or JPEG, documents as PDF, thumbnails, and an artifact store.
 
 Artifacts are rows of name and content, so they can be kept as a table by Spark's own writers; export puts them into a
 folder, each file complete or absent.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,10 +16,13 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright import params as P
 from pagewright.functions.scalars import frame_thickness, page_layout, sanitize_name
+from pagewright.operators import rasters as R
+from pagewright.sinks.jpeg import jpeg
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
@@ -53,18 +57,41 @@ def png(width: int, height: int, channels: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + block(b"IHDR", head) + block(b"IDAT", zlib.compress(raw)) + block(b"IEND", b"")
 
 
-def page_artifacts(images: DataFrame, prefix: str = "page_") -> DataFrame:
-    """images (page_no, width, height, channels, data) as PNG artifacts numbered from 1."""
+def encoded(width: int, height: int, channels: int, data: bytes, kind: str = "png", quality: int = 95) -> bytes | None:
+    """An image file; None for what is no image."""
+    try:
+        return png(width, height, channels, data) if kind == "png" else jpeg(np.frombuffer(data, np.uint8).reshape(height, width, channels), quality)
+    except (ValueError, TypeError):
+        return None
+
+
+def page_artifacts(images: DataFrame, prefix: str = "page_", kind: str = "png", quality: int = 95) -> DataFrame:
+    """images (page_no, width, height, channels, data) as PNG or JPEG artifacts numbered from 1; pages without data give
+    none."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [png(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "channels", "data")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(files, pa.binary())], ["name", "content"])
+            for k in range(batch.num_rows):  # one page at a time
+                file = encoded(*(batch.column(c)[k].as_py() for c in ("width", "height", "channels", "data")), kind, quality)
+                if file is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("name")[k].as_py()]), pa.array([file], pa.binary())], ["name", "content"])
 
-    named = images.select(F.format_string(f"{prefix}%04d.png", F.col("page_no") + 1).alias("name"), "width", "height", "channels", "data")
+    named = images.select(F.format_string(f"{prefix}%04d.{kind}", F.col("page_no") + 1).alias("name"), "width", "height", "channels", "data")
     return named.mapInArrow(encode, "name string, content binary")
 
 
+def thumbnails(images: DataFrame, side: int = P.THUMBNAIL) -> DataFrame:
+    """images with a long side of at most so many pixels, never enlarged; each pixel is the mean of its area."""
+
+    def small(image: np.ndarray) -> np.ndarray:
+        h, w = image.shape[:2]
+        scale = min(1.0, side / max(w, h))
+        size = max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5))
+        return image if scale == 1.0 else np.dstack([R.shrunk(image[:, :, k], *size) for k in range(image.shape[2])])
+
+    return R.each_page(images, small)
+
+
 def _pdf(pages: list[tuple], border: bool) -> bytes:
     """A PDF of one image per page. pages: width, height, channels, data, thickness, page box and image box."""
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
@@ -112,7 +139,7 @@ def export(artifacts: DataFrame, folder: str) -> None:
 
     def save(rows) -> None:
         for row in rows:
-            part = Path(root, f".{row.name}.{os.getpid()}.part")
+            part = Path(root, f".{row.name}.{uuid.uuid4().hex}.part")  # no two hosts share this name
             part.write_bytes(row.content)
             os.replace(part, Path(root, row.name))
 
@@ -120,6 +147,39 @@ def export(artifacts: DataFrame, folder: str) -> None:
     named.foreachPartition(save)
 
 
+class Artifacts:
+    """Artifacts kept as a table of name and content under a path of any store that Spark writes: saved, read, looked
+    up and deleted by name. Content is written once; a deletion is a row of its own, so nothing is rewritten."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.select("name", "content", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+
+    def save(self, artifacts: DataFrame) -> None:
+        """Keep artifacts (name, content); a name that is there already gets the new content."""
+        named = F.coalesce(sanitize_name(F.col("name")), F.raise_error(F.lit("an artifact without a name")))
+        self._append(artifacts.select(named.alias("name"), F.coalesce("content", F.lit(b"")).alias("content")))
+
+    def delete(self, names: DataFrame) -> None:
+        """Forget the artifacts with these names (a column name); unknown ones are no error."""
+        self._append(names.select("name", F.lit(None).cast("binary").alias("content")))
+
+    def read(self) -> DataFrame:
+        """name and content of every artifact."""
+        last = self._table().groupBy("name").agg(F.max_by("content", "at").alias("content"))
+        return last.where("content is not null")
+
+    def exists(self, names: DataFrame) -> DataFrame:
+        """names with found: whether there is such an artifact. Contents are not read."""
+        there = self._table().select("name", "at", F.col("content").isNotNull().alias("kept")).groupBy("name").agg(F.max_by("kept", "at").alias("found"))
+        return names.select("name").join(there, "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema("name string, content binary, at timestamp").parquet(self.path)
+
+
 def downloadable(names: DataFrame) -> DataFrame:
     """Artifact names that a client may fetch as a document: flat, and made by assemble."""
     name = F.col("name")

@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from pagewright import params as P
 from pagewright.functions.scalars import is_image_name
 
-GLOB = "*.{jpg,jpeg,png,bmp,tif,tiff,webp,JPG,JPEG,PNG,BMP,TIF,TIFF,WEBP}"
+
+
+def suffix_glob(suffixes: tuple[str, ...]) -> str:
+    """A glob for file names with these suffixes in any spelling."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s.removeprefix(".")) for s in suffixes) + "}"
+
+
+GLOB = suffix_glob(P.IMAGE_SUFFIXES)
 PAGE_SCHEMA = "name string, page_no int, width int, height int, channels int, data binary, error string"
 
 
@@ -49,7 +56,8 @@ def exif_orientation(data: bytes) -> int:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder of images: name, page_no (by name, from 0), image, orientation, error."""
+    """A file or folder of images: name, page_no (by name, from 0), image, orientation, error. Only names and the heads
+    of files are ranked and searched; the decoded images are joined to those."""
 
     def orient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,11 +66,21 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(path)
     heads = files.select("path", F.substring("content", 1, 1 << 17).alias("head")).mapInArrow(orient, "path string, orientation int")
-    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", GLOB).load(path).select(F.col("image.origin").alias("origin"), "image")
-    rows = heads.join(decoded, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("origin", "^file:/+", "/"), "left")
     folder = F.regexp_replace("path", "[^/]*$", "")
     nth = F.row_number().over(Window.partitionBy(folder).orderBy(_name("path"))) - 1
-    return rows.select(_name("path").alias("name"), nth.alias("page_no"), "image", "orientation", F.when(F.col("image").isNull(), "not a readable image").alias("error"))
+    heads = heads.select("path", "orientation", nth.alias("page_no"))
+    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", GLOB).load(path).select(F.col("image.origin").alias("origin"), "image")
+    rows = heads.join(decoded, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("origin", "^file:/+", "/"), "left")
+    return rows.select(_name("path").alias("name"), "page_no", "image", "orientation", F.when(F.col("image").isNull(), "not a readable image").alias("error"))
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned and mirrored as its orientation tag says."""
+    if orientation >= 5:
+        image = image.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    return image[::-1] if orientation in (3, 4, 7, 8) else image
 
 
 def oriented(pixels: DataFrame) -> DataFrame:
@@ -82,7 +100,8 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(_name("path").alias("name"), kind.alias("content_type"), F.col("length").alias("size"), "content").where(is_image_name(F.col("name")))
 
 
-_OBJECT = re.compile(rb"(\d+) 0 obj\s*<<(.*?)>>\s*stream\r?\n", re.S)
+_OBJECT = re.compile(rb"(?:^|\s)(\d+) 0 obj\s*(<<.*?>>)\s*(stream\r?\n|endobj)", re.S)
+_COMPONENTS = {b"DeviceGray": 1, b"DeviceRGB": 3, b"DeviceCMYK": 4}
 
 
 def _number(key: bytes, head: bytes) -> int:
@@ -90,24 +109,55 @@ def _number(key: bytes, head: bytes) -> int:
     return int(found[1]) if found else 0
 
 
-def pdf_images(data: bytes, limit: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
-    """Width, height, channels and BGR bytes of the image of each page of a PDF whose pages are single images."""
-    pages = 0
-    for m in _OBJECT.finditer(data):
-        head = m[2]
-        if b"/Subtype /Image" not in head:
+def _references(key: bytes, head: bytes) -> list[int]:
+    """The objects that an entry of a dictionary refers to, one or a list."""
+    found = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+ 0 R)", head)
+    return [int(n) for n in re.findall(rb"(\d+) 0 R", found[1])] if found else []
+
+
+def _leaves(objects: dict[int, tuple[bytes, int]]) -> Iterator[bytes]:
+    """The page dictionaries in the order of the page tree."""
+    roots = [n for head, _ in objects.values() if b"/Catalog" in head for n in _references(b"Pages", head)]
+    todo, seen = list(reversed(roots)), set()
+    while todo:
+        n = todo.pop()
+        if n in seen or n not in objects:
             continue
-        if limit is not None and pages >= limit:
+        seen.add(n)
+        head = objects[n][0]
+        if re.search(rb"/Type\s*/Pages\b", head):
+            todo += reversed(_references(b"Kids", head))
+        else:
+            yield head
+
+
+def as_bgr(raw: np.ndarray, components: int) -> np.ndarray:
+    """Pixels of one, three or more components as BGR: gray three times; of four and more the inverse of three."""
+    if components == 1:
+        return np.repeat(raw.reshape(-1, 1), 3, axis=1)
+    rgb = raw.reshape(-1, components)[:, :3]
+    return (255 - rgb if components >= 4 else rgb)[:, ::-1]
+
+
+def pdf_images(data: bytes, limit: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """Width, height, channels and BGR bytes of the image of each page of a PDF whose pages are single images, in the
+    order of its pages."""
+    objects = {int(m[1]): (m[2], m.end()) for m in _OBJECT.finditer(data)}
+    for page, leaf in enumerate(_leaves(objects)):
+        if limit is not None and page >= limit:
             return
-        w, h, n = _number(b"Width", head), _number(b"Height", head), 3 if b"/DeviceRGB" in head else 1
-        body = data[m.end() : m.end() + _number(b"Length", head)]
-        if b"/FlateDecode" not in head or _number(b"BitsPerComponent", head) != 8:
+        shown = [n for n in map(int, re.findall(rb"(\d+) 0 R", b"".join(re.findall(rb"/XObject\s*<<(.*?)>>", leaf, re.S)))) if n in objects and re.search(rb"/Subtype\s*/Image\b", objects[n][0])]
+        if len(shown) != 1:
+            raise ValueError("a page that is not a plain image")
+        head, start = objects[shown[0]]
+        w, h = _number(b"Width", head), _number(b"Height", head)
+        n = next((k for name, k in _COMPONENTS.items() if name in head), 0)
+        if b"/FlateDecode" not in head or _number(b"BitsPerComponent", head) != 8 or not n:
             raise ValueError("a page that is not a plain image")
-        raw = np.frombuffer(zlib.decompress(body), np.uint8)
+        raw = np.frombuffer(zlib.decompress(data[start : start + _number(b"Length", head)]), np.uint8)
         if len(raw) != w * h * n:
             raise ValueError("image bytes do not match the page's size")
-        pages += 1
-        yield w, h, n, raw.reshape(-1, n)[:, ::-1].tobytes()
+        yield w, h, 3, as_bgr(raw, n).tobytes()
 
 
 def read_pdfs(spark: SparkSession, path: str, page_limit: int | None = None) -> DataFrame:
@@ -130,7 +180,7 @@ def read_pdfs(spark: SparkSession, path: str, page_limit: int | None = None) ->
                 except (ValueError, zlib.error) as error:
                     yield _rows([(name, no + 1, None, None, None, None, str(error))])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix_glob((".pdf",))).load(path)
     return files.select("path", "length", "content").mapInArrow(pages, PAGE_SCHEMA)
 
 
@@ -140,11 +190,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def collect_pages(spark: SparkSession, path: str, page_limit: int | None = None) -> DataFrame:
-    """Pages of a PDF, an image or a folder of images, in PAGE_SCHEMA."""
+    """Pages of a PDF, an image or a folder of images, in PAGE_SCHEMA; images stand upright, whatever way they were stored."""
     if path.lower().endswith(".pdf"):
         return read_pdfs(spark, path, page_limit)
     if "." in path.rsplit("/", 1)[-1] and not path.lower().endswith(P.IMAGE_SUFFIXES):
         raise ValueError(f"no page source: {path}")
     rows = read_images(spark, path)
     rows = rows if page_limit is None else rows.where(F.col("page_no") < page_limit)
-    return rows.select("name", "page_no", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), "error")
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, no, w, h, n, orientation, error = (batch.column(c)[k].as_py() for c in ("name", "page_no", "width", "height", "channels", "orientation", "error"))
+                if error is not None:
+                    yield _rows([(name, no, None, None, None, None, error)])
+                    continue
+                image = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(h, w, n)[:, :, : 3 if n > 3 else n]
+                image = upright(image, orientation)
+                yield _rows([(name, no, image.shape[1], image.shape[0], image.shape[2], np.ascontiguousarray(image).tobytes(), None)])
+
+    flat = rows.select("name", "page_no", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), "orientation", "error")
+    return flat.mapInArrow(turned, PAGE_SCHEMA)

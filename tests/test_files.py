@@ -51,6 +51,77 @@ def test_pdf_round_trip(spark, drawn, tmp_path):
     assert b"/MediaBox [0 0 595 842]" in text and b"/MediaBox [0 0 842 595]" in text and b"/Count 2" in text
 
 
+def test_pages_of_a_pdf_come_in_the_order_of_its_tree():
+    def image(n, w, h, space, raw):
+        body = zlib.compress(raw)
+        return f"{n} 0 obj\n<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{space} /BitsPerComponent 8 /Filter /FlateDecode /Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream\nendobj\n"
+
+    def leaf(n, shown):
+        return f"{n} 0 obj\n<< /Type /Page /Parent 2 0 R /Resources << /XObject << /I {shown} 0 R >> >> >>\nendobj\n".encode()
+
+    data = b"%PDF-1.4\n" + image(3, 2, 1, "DeviceCMYK", bytes([10, 20, 30, 0, 255, 0, 5, 9])) + leaf(4, 3) + image(5, 1, 1, "DeviceGray", b"\x07") + leaf(6, 5)
+    data += image(7, 1, 1, "DeviceRGB", bytes([1, 2, 3])) + leaf(8, 7) + b"9 0 obj\n<< /Type /Pages /Kids [8 0 R 4 0 R] /Count 2 >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [6 0 R 9 0 R] /Count 3 >>\nendobj\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"
+    assert list(S.pdf_images(data)) == [(1, 1, 3, b"\7\7\7"), (1, 1, 3, bytes([3, 2, 1])), (2, 1, 3, bytes([225, 235, 245, 250, 255, 0]))]
+    assert len(list(S.pdf_images(data, 1))) == 1
+
+
+@pytest.mark.parametrize("shape", [(40, 61, 3), (8, 8, 1), (1, 1, 3), (120, 97, 3), (17, 9, 1)])
+def test_jpeg_is_what_sparks_reader_decodes(spark, shape, tmp_path):
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    page = np.dstack([(128 + 80 * np.sin(x / (7 + c)) + 30 * np.cos(y / 5)).clip(0, 255) for c in range(shape[2])]).astype(np.uint8)
+    pages = spark.createDataFrame([*rows([page]), ("d", 1, None, None, None, None)], SCHEMA)
+    D.export(D.page_artifacts(pages, kind="jpg"), str(tmp_path))
+    (got,) = S.collect_pages(spark, str(tmp_path)).collect()
+    assert (got["name"], got.width, got.height, got.channels, got.error) == ("page_0001.jpg", shape[1], shape[0], shape[2], None)
+    assert np.abs(np.frombuffer(got.data, np.uint8).astype(int) - page.ravel()).mean() < 1.5
+    assert len(D.encoded(*rows([page])[0][2:], "jpg", 30)) <= len(D.encoded(*rows([page])[0][2:], "jpg", 95))
+    assert D.encoded(3, 3, 3, b"short", "jpg") is None
+
+
+def test_huffman_codes_fit_and_are_complete_but_for_one():
+    from pagewright.sinks.jpeg import code_lengths
+
+    counts = np.zeros(256, np.int64)
+    counts[:40] = [int(1.6**k) for k in range(40)]  # unlimited codes would be longer
+    lengths = code_lengths(counts)
+    assert len(lengths) == 40 and max(lengths.values()) <= 16
+    assert sum(2 ** (16 - n) for n in lengths.values()) < 2**16
+
+
+def test_images_are_turned_upright(spark, tmp_path):
+    page = np.arange(24, dtype=np.uint8).reshape(4, 6).repeat(8, 0).repeat(8, 1)[:, :, None].repeat(3, 2) * 10
+    for o in range(1, 9):
+        tiff = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHIHH", 0x0112, 3, 1, o, 0)
+        app1 = b"Exif\0\0" + tiff
+        file = D.encoded(page.shape[1], page.shape[0], 3, page.tobytes(), "jpg", 100)
+        (tmp_path / f"p{o}.JpG").write_bytes(file[:2] + b"\xff\xe1" + struct.pack(">H", len(app1) + 2) + app1 + file[2:])
+    want = {1: page, 2: page[:, ::-1], 3: page[::-1, ::-1], 4: page[::-1], 5: page.swapaxes(0, 1), 6: np.rot90(page, -1), 7: np.rot90(page, -1)[:, ::-1].swapaxes(0, 1)[::-1, ::-1].swapaxes(0, 1), 8: np.rot90(page)}
+    want[7] = page[::-1, ::-1].swapaxes(0, 1)
+    got = S.collect_pages(spark, str(tmp_path)).collect()
+    assert len(got) == 8
+    for r in got:
+        image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+        expected = want[int(r["name"][1])]
+        assert image.shape == expected.shape and np.abs(image.astype(int) - expected).mean() < 2, r["name"]
+
+
+def test_artifacts_are_saved_read_found_and_deleted(spark, tmp_path):
+    store = D.Artifacts(spark, str(tmp_path / "store"))
+    store.save(spark.createDataFrame([("a.pdf", bytearray(b"1")), ("../b c.png", bytearray(b"2")), ("e", None)], "name string, content binary"))
+    store.save(spark.createDataFrame([("a.pdf", bytearray(b"3"))], "name string, content binary"))
+    store.delete(spark.createDataFrame([("e",), ("never",)], "name string"))
+    assert {r["name"]: bytes(r.content) for r in store.read().collect()} == {"a.pdf": b"3", "_b_c.png": b"2"}
+    asked = spark.createDataFrame([("a.pdf",), ("e",), ("x",)], "name string")
+    assert {r["name"]: r.found for r in store.exists(asked).collect()} == {"a.pdf": True, "e": False, "x": False}
+
+
+def test_thumbnails(spark, drawn):
+    wide = np.full((30, 2000, 3), 9, np.uint8)
+    pages = spark.createDataFrame([(k, p.shape[1], p.shape[0], 3, p.tobytes(), None) for k, p in enumerate([wide, drawn[0]])], D.R.SCHEMA)
+    got = {r.page_id: r for r in D.thumbnails(pages).collect()}
+    assert (got[0].width, got[0].height) == (960, 14) and set(got[0].data) == {9} and bytes(got[1].data) == drawn[0].tobytes()
+
+
 def test_frame(drawn):
     out = D.framed(np.full((40, 30), 255, np.uint8), 3)
     assert (out[0] == 255).all() and (out[3, 3:27] == 0).all() and (out[6:34, 6:24] == 255).all()
