@@ -103,11 +103,11 @@ def pool_reason(pages: Column, cores: Column, cap: int = 6, small_screen: bool =
     workers, usable = pool_workers(pages, cores, cap), usable_cores(cores)
     counted = lambda n, noun: F.concat(n.cast("string"), F.lit(noun), F.when(n == 1, "").otherwise("s"))
     return (
-        F.when(pages < 2, "only one page to scan")
-        .when((workers == 1) & (usable == 1), "single CPU core")
-        .when(workers >= pages, F.concat(F.lit("only "), counted(pages, " page")))
+        F.when(pages < 2, "a single page")
+        .when((workers == 1) & (usable == 1), "a single core")
+        .when(workers >= pages, counted(pages, " page"))
         .when(workers == usable, counted(usable, " core"))
-        .otherwise("small screen" if small_screen else "memory cap")
+        .otherwise("a small device" if small_screen else "the cap")
     )
 
 

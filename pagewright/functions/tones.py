@@ -66,3 +66,26 @@ def light_enhanced(c: Column, b: Column, g: Column, r: Column) -> Column:
     amount = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(220.0) - lum) / 150.0))
     mixed = c * (F.lit(1.0) - amount) + F.least(F.lit(255.0), paper * 0.9 + ink * 0.1) * amount
     return F.floor(clipped(mixed) + 0.5).cast("int")
+
+
+def _curved(x: Column) -> Column:
+    return F.when(x > 216.0 / 24389, F.cbrt(x)).otherwise(x * (24389.0 / 27 / 116) + 16.0 / 116)
+
+
+def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
+    """Lightness and the two colour axes of an sRGB pixel under daylight, each from 0 to 255 as bytes."""
+    linear = lambda c: F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92)
+    lb, lg, lr = linear(b), linear(g), linear(r)
+    fx = _curved((lr * 0.412453 + lg * 0.357580 + lb * 0.180423) / 0.950456)
+    y = lr * 0.212671 + lg * 0.715160 + lb * 0.072169
+    fz = _curved((lr * 0.019334 + lg * 0.119193 + lb * 0.950227) / 1.088754)
+    light = F.when(y > 216.0 / 24389, 116.0 * F.cbrt(y) - 16.0).otherwise(y * (24389.0 / 27))
+    byte = lambda x: F.bround(F.round(clipped(x), 6)).cast("int")
+    return byte(light * 2.55), byte((fx - _curved(y)) * 500.0 + 128.0), byte((_curved(y) - fz) * 200.0 + 128.0)
+
+
+def legacy_black_white(b: Column, g: Column, r: Column) -> Column:
+    """Gray of a colour page for printing: how much lighter a pixel is than it is coloured, after the legacy tones."""
+    light, across, along = lab(*(legacy_tones(c) for c in (b, g, r)))
+    over = lambda x: F.greatest(F.lit(0), light - x)
+    return F.least(F.lit(255), over(along) + over(across))

@@ -224,26 +224,48 @@ def auto_black_point(pixels: DataFrame, share: float = 0.08) -> DataFrame:
     return pixels.groupBy("page_id").agg(F.least(F.lit(120.0), F.greatest(F.lit(10.0), F.percentile("v", share))).alias("black"))
 
 
-def difference(a: DataFrame, b: DataFrame, ink: int = P.INK) -> DataFrame:
-    """Mean absolute difference of two pages and PSNR over pixels that are ink in either."""
-    both = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "y", "x"])
-    gap = F.col("v") - F.col("v2")
+def shared_region(a: DataFrame, b: DataFrame, ink: int = P.SHARED_INK, grown: int = 2, pad: int = 5, least: int = 100) -> DataFrame:
+    """page_id, y, x, v, v2 of the part of two pages around what is ink in either: the box of the ink grown by some
+    pixels and padded by some more, within the page; moved to its corner. Pages with that little ink or less are left
+    out."""
+    both = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "y", "x"]).select("page_id", "y", "x", "v", "v2")
     inked = (F.col("v") < ink) | (F.col("v2") < ink)
-    mse = F.greatest(F.avg(F.when(inked, gap * gap)), F.lit(1e-9))
+    spot = lambda of, c: of(F.when(inked, F.col(c))).alias(f"{of.__name__}_{c}")
+    found = both.groupBy("page_id").agg(F.count(F.when(inked, 1)).alias("n"), spot(F.min, "y"), spot(F.max, "y"), spot(F.min, "x"), spot(F.max, "x"), F.max("y").alias("h"), F.max("x").alias("w"))
+    out = {}
+    for c, most in (("y", "h"), ("x", "w")):
+        out[f"{c}0"] = F.greatest(F.lit(0), F.greatest(F.lit(0), F.col(f"min_{c}") - grown) - pad)
+        out[f"{c}1"] = F.least(F.col(most) + 1, F.least(F.col(most), F.col(f"max_{c}") + grown) + pad + 1)
+    return crop(both, found.where(F.col("n") > least).withColumns(out).select("page_id", *out))
+
+
+def difference(a: DataFrame, b: DataFrame, **region) -> DataFrame:
+    """page_id, mad and psnr: mean absolute difference and peak signal-to-noise ratio of two pages around their ink."""
+    both = shared_region(a, b, **region)
+    gap = F.col("v") - F.col("v2")
+    mse = F.greatest(F.avg(gap * gap), F.lit(1e-9))
     return both.groupBy("page_id").agg(F.avg(F.abs(gap)).alias("mad"), (10 * F.log10(F.lit(65025.0) / mse)).alias("psnr"))
 
 
-def structure_likeness(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
-    """SSIM with box weights, averaged over the page."""
-    both = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "y", "x"])
+def structure_likeness(a: DataFrame, b: DataFrame, size: int = 11, sigma: float = 1.5, **region) -> DataFrame:
+    """SSIM with Gaussian weights, averaged over the part of two pages around their ink."""
+    both = shared_region(a, b, **region)
     both = both.withColumns({"aa": F.col("v") * F.col("v"), "bb": F.col("v2") * F.col("v2"), "ab": F.col("v") * F.col("v2")})
-    both = box_sums(both, k, {f"m_{c}": c for c in ("v", "v2", "aa", "bb", "ab")})
-    ma, mb, aa, bb, ab = (F.col(f"m_{c}") / (k * k) for c in ("v", "v2", "aa", "bb", "ab"))
+    for c in ("v", "v2", "aa", "bb", "ab"):
+        both = convolved(both, gaussian(size, sigma), c, f"m_{c}")
+    ma, mb, aa, bb, ab = (F.col(f"m_{c}") for c in ("v", "v2", "aa", "bb", "ab"))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     one = (2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2) / ((ma * ma + mb * mb + c1) * ((aa - ma * ma) + (bb - mb * mb) + c2))
     return both.groupBy("page_id").agg(F.avg(one).alias("ssim"))
 
 
+def normal_ink_box(pixels: DataFrame, ink: int = P.DARK) -> DataFrame:
+    """page_id, top, bottom, left, right: the first and last rows and columns with ink, as shares of the page."""
+    inked = F.col("v") < ink
+    size = pixels.groupBy("page_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), *[of(F.when(inked, F.col(c))).alias(f"{of.__name__}_{c}") for c in "yx" for of in (F.min, F.max)])
+    return size.where("min_y is not null").select("page_id", (F.col("min_y") / F.col("h")).alias("top"), (F.col("max_y") / F.col("h")).alias("bottom"), (F.col("min_x") / F.col("w")).alias("left"), (F.col("max_x") / F.col("w")).alias("right"))
+
+
 def components(mask: DataFrame) -> DataFrame:
     """Mask pixels (page_id, y, x) with label, the least y * w + x of those joined to it in eight directions. A task
     sees one page at a time."""

@@ -95,7 +95,7 @@ def _mirrored(a: np.ndarray, r: int, axis: int) -> np.ndarray:
 
 def box_mean(channel: np.ndarray, k: int) -> np.ndarray:
     """The rounded mean of the k x k box around each value, mirrored at the borders: running sums, whatever k is."""
-    total = channel.astype(np.int64 if k > 1000 else np.int32)
+    total = channel.astype(np.int32 if 255 * k * (max(channel.shape) + k) < 1 << 31 else np.int64)
     for axis in (1, 0):
         run = np.cumsum(_mirrored(total, k // 2, axis), axis=axis, dtype=total.dtype)
         run = np.concatenate((np.zeros_like(run.take([0], axis)), run), axis=axis)
@@ -132,6 +132,17 @@ def reference_look(image: np.ndarray, k: int = P.FLATTEN_KERNEL, saturation: flo
     return np.dstack(out)
 
 
+def legacy_gray(image: np.ndarray, k: int = 51, white: int = P.WHITE_POINT, black: int = P.BLACK_POINTS[0]) -> np.ndarray:
+    """Flattened and stretched channel by channel, truncated after each step."""
+    out = []
+    for n in range(image.shape[2]):
+        c = image[:, :, n]
+        flat = np.floor(np.clip(c - box_mean(c, k) + 127.0, 0, 255))
+        flat = np.floor(np.clip(np.minimum(flat, white) * 255.0 / white, 0, 255))
+        out.append(np.floor(np.clip((flat - float(black)) * 255.0 / (255.0 - black), 0, 255)).astype(np.uint8))
+    return np.dstack(out)
+
+
 def unsharp(image: np.ndarray, amount: float = 1.3, kernel: list[float] | None = None) -> np.ndarray:
     kernel = kernel or gaussian(7, 0.8)
     sharp = lambda c: np.clip(np.rint(c * amount + blurred(c, kernel) * (1.0 - amount)), 0, 255).astype(np.uint8)

@@ -12,6 +12,8 @@ SATURATION = 1.25
 LEGACY_WHITE_POINT = 160
 INK, FAINT, DARK, CLEAN = 160, 200, 100, 200
 WHITE_FILL = 240
+SHARED_INK = 180
+QUIET = 30
 MAX_TILT = 12.0
 BANDS = 6
 BAND_OVERLAP = 0.25

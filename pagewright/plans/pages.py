@@ -177,3 +177,12 @@ def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: d
     pages = durable(images.select(*R.NAMES))
     level = durable(R.each_page(straighten(pages, strokes), enhanced))
     return R.each_page(settle(level, strokes), last)
+
+
+def scan_auto(images: DataFrame, params: ScanParams = ScanParams(), strokes: dict = STROKES) -> DataFrame:
+    """scan_images, but pages on which it fails are only flattened and stretched. Pages that cannot be read keep their
+    error."""
+    done = durable(scan_images(images, params, strokes))
+    failed = done.where("error is not null").select("page_id")
+    plain = R.each_page(images.join(failed, "page_id", "left_semi"), R.legacy_gray)
+    return done.where("error is null").unionByName(plain)

@@ -223,22 +223,50 @@ def auto_black_point(spark, sf_dir):
     return I.auto_black_point(_pixels(spark, sf_dir)).select("page_id", F.round("black", 6).alias("black"))
 
 
-@query(f"""WITH {PX} SELECT p.page_id, round(avg(abs(p.v - q.v)), 6) AS mad, round(10 * log10(65025.0::DOUBLE / greatest(avg((p.v - q.v) * (p.v - q.v)) FILTER (WHERE p.v < 160 OR q.v < 160), 1e-9::DOUBLE)), 6) AS psnr
-FROM px p JOIN px q ON q.page_id = p.page_id + 1 AND q.y = p.y AND q.x = p.x GROUP BY 1""")
+_PAIR = """pair AS (SELECT p.page_id, p.y, p.x, p.v AS a, q.v AS b FROM px p JOIN px q ON q.page_id = p.page_id + 1 AND q.y = p.y AND q.x = p.x),
+region AS (SELECT page_id, greatest(0, greatest(0, min(y) - 1) - 1) AS y0, least(8, least(7, max(y) + 1) + 2) AS y1, greatest(0, greatest(0, min(x) - 1) - 1) AS x0, least(8, least(7, max(x) + 1) + 2) AS x1
+    FROM pair WHERE a < 90 OR b < 90 GROUP BY 1 HAVING count(*) > 2),
+roi AS (SELECT page_id, y - y0 AS y, x - x0 AS x, y1 - y0 AS h, x1 - x0 AS w, a, b FROM pair JOIN region USING (page_id) WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1)"""
+REGION = {"ink": 90, "grown": 1, "pad": 1, "least": 2}
+
+
+@query(f"WITH {PX}, {_PAIR} SELECT page_id, round(avg(abs(a - b)), 6) AS mad, round(10 * log10(65025.0::DOUBLE / greatest(avg((a - b) * (a - b)), 1e-9::DOUBLE)), 6) AS psnr FROM roi GROUP BY 1")
 def psnr_mad(spark, sf_dir):
     a = _pixels(spark, sf_dir)
-    return I.difference(a, a.withColumn("page_id", F.col("page_id") - 1)).select("page_id", F.round("mad", 6).alias("mad"), F.round("psnr", 6).alias("psnr"))
+    return I.difference(a, a.withColumn("page_id", F.col("page_id") - 1), **REGION).select("page_id", F.round("mad", 6).alias("mad"), F.round("psnr", 6).alias("psnr"))
 
 
-_PAIR = "pair AS (SELECT p.page_id, p.y, p.x, p.v AS a, q.v AS b, p.v * p.v AS aa, q.v * q.v AS bb, p.v * q.v AS ab FROM px p JOIN px q ON q.page_id = p.page_id + 1 AND q.y = p.y AND q.x = p.x)"
+_FOLD = "least((({a}) % greatest(1, 2 * ({n} - 1)) + greatest(1, 2 * ({n} - 1))) % greatest(1, 2 * ({n} - 1)), greatest(1, 2 * ({n} - 1)) - (({a}) % greatest(1, 2 * ({n} - 1)) + greatest(1, 2 * ({n} - 1))) % greatest(1, 2 * ({n} - 1)))"
 _SSIM = "(2 * ma * mb + 6.5025::DOUBLE) * (2 * (mab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * ((maa - ma * ma) + (mbb - mb * mb) + 58.5225::DOUBLE))"
 
 
-@query(f"""WITH {PX}, {_PAIR}, m AS (SELECT p.page_id, {', '.join(f't{c}.s / 9.0::DOUBLE AS m{c}' for c in ('a', 'b', 'aa', 'bb', 'ab'))} FROM pair p {' '.join(f'JOIN {_box("pair", c, 3)} t{c} USING (page_id, y, x)' for c in ('a', 'b', 'aa', 'bb', 'ab'))})
+@query(f"""WITH {PX}, {_PAIR}, g AS (SELECT d, exp(-d * d / 4.5::DOUBLE) / (SELECT sum(exp(-e * e / 4.5::DOUBLE)) FROM range(-5, 6) u(e)) AS k FROM range(-5, 6) t(d)),
+m AS (SELECT p.page_id, p.y, p.x, sum(gy.k * gx.k * q.a) AS ma, sum(gy.k * gx.k * q.b) AS mb, sum(gy.k * gx.k * q.a * q.a) AS maa, sum(gy.k * gx.k * q.b * q.b) AS mbb, sum(gy.k * gx.k * q.a * q.b) AS mab
+    FROM roi p, g gy, g gx, roi q WHERE q.page_id = p.page_id AND q.y = {_FOLD.format(a="p.y + gy.d", n="p.h")} AND q.x = {_FOLD.format(a="p.x + gx.d", n="p.w")} GROUP BY 1, 2, 3)
 SELECT page_id, round(avg({_SSIM}), 6) AS ssim FROM m GROUP BY 1""")
 def ssim(spark, sf_dir):
     a = _pixels(spark, sf_dir)
-    return I.structure_likeness(a, a.withColumn("page_id", F.col("page_id") - 1)).select("page_id", F.round("ssim", 6).alias("ssim"))
+    return I.structure_likeness(a, a.withColumn("page_id", F.col("page_id") - 1), **REGION).select("page_id", F.round("ssim", 6).alias("ssim"))
+
+
+@query(f"WITH {PX} SELECT page_id, min(y) / 8.0::DOUBLE AS top, max(y) / 8.0::DOUBLE AS bottom, min(x) / 8.0::DOUBLE AS left, max(x) / 8.0::DOUBLE AS right FROM px WHERE v < 100 GROUP BY 1")
+def normal_ink_box(spark, sf_dir):
+    return I.normal_ink_box(_pixels(spark, sf_dir))
+
+
+_LINEAR = ", ".join(f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045::DOUBLE THEN pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) ELSE {c} / 255.0::DOUBLE / 12.92::DOUBLE END AS l{c}" for c in "bgr")
+_CURVE = "CASE WHEN {x} > 216.0::DOUBLE / 24389 THEN cbrt({x}) ELSE {x} * (24389.0::DOUBLE / 27 / 116) + 16.0::DOUBLE / 116 END"
+_BYTE = "CAST(round_even(round(least(255.0::DOUBLE, greatest(0.0::DOUBLE, {})), 6), 0) AS INT)"
+
+
+@query(f"""WITH {RGB}, toned AS (SELECT page_id, y, x, {", ".join(f"CAST(floor({CLIP.format(f'least({_LEGACY.replace(chr(118), c)}, 160) * 255.0::DOUBLE / 160')}) AS INT) AS {c}" for c in "bgr")} FROM rgb),
+lin AS (SELECT page_id, y, x, {_LINEAR} FROM toned),
+xyz AS (SELECT page_id, y, x, (lr * 0.412453::DOUBLE + lg * 0.357580::DOUBLE + lb * 0.180423::DOUBLE) / 0.950456::DOUBLE AS cx, lr * 0.212671::DOUBLE + lg * 0.715160::DOUBLE + lb * 0.072169::DOUBLE AS cy, (lr * 0.019334::DOUBLE + lg * 0.119193::DOUBLE + lb * 0.950227::DOUBLE) / 1.088754::DOUBLE AS cz FROM lin),
+f AS (SELECT page_id, y, x, {_CURVE.format(x='cx')} AS fx, {_CURVE.format(x='cy')} AS fy, {_CURVE.format(x='cz')} AS fz, CASE WHEN cy > 216.0::DOUBLE / 24389 THEN 116 * cbrt(cy) - 16 ELSE cy * (24389.0::DOUBLE / 27) END AS l FROM xyz),
+lab AS (SELECT page_id, y, x, {_BYTE.format('l * 2.55::DOUBLE')} AS l, {_BYTE.format('(fx - fy) * 500 + 128')} AS a, {_BYTE.format('(fy - fz) * 200 + 128')} AS b FROM f)
+SELECT page_id, y, x, least(255, greatest(0, l - b) + greatest(0, l - a)) AS v FROM lab""")
+def legacy_black_white(spark, sf_dir):
+    return I.colour_from_vectors(table(spark, sf_dir, "embeddings")).select("page_id", "y", "x", T.legacy_black_white(F.col("b"), F.col("g"), F.col("r")).alias("v"))
 
 
 _REACH = """RECURSIVE {PX}, ink AS (SELECT page_id, y, x, y * 8 + x AS pos FROM px WHERE v < {ink}),
@@ -510,7 +538,7 @@ _USABLE = "greatest(1, cores - CASE WHEN cores >= 8 THEN 1 ELSE 0 END)"
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS id, p_size AS pages, p_partkey % 12 + 1 AS cores FROM part), q AS (SELECT *, {_USABLE} AS usable FROM p), r AS (SELECT *, CASE WHEN pages < 2 THEN 1 ELSE greatest(1, least(pages, 6, usable)) END AS workers FROM q)
-SELECT id, CAST(workers AS BIGINT) AS workers, CASE WHEN pages < 2 THEN 'only one page to scan' WHEN workers = 1 AND usable = 1 THEN 'single CPU core' WHEN workers >= pages THEN 'only ' || pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END WHEN workers = usable THEN usable || CASE WHEN usable = 1 THEN ' core' ELSE ' cores' END ELSE 'memory cap' END AS reason FROM r""")
+SELECT id, CAST(workers AS BIGINT) AS workers, CASE WHEN pages < 2 THEN 'a single page' WHEN workers = 1 AND usable = 1 THEN 'a single core' WHEN workers >= pages THEN pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END WHEN workers = usable THEN usable || CASE WHEN usable = 1 THEN ' core' ELSE ' cores' END ELSE 'the cap' END AS reason FROM r""")
 def pool_plan(spark, sf_dir):
     pages, cores = F.col("p_size"), F.col("p_partkey") % 12 + 1
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.pool_workers(pages, cores).cast("long").alias("workers"), S.pool_reason(pages, cores).alias("reason"))
@@ -609,6 +637,15 @@ def event_frames(spark, sf_dir):
     return _events(spark, sf_dir).select("seq", J.frame(J.as_json(["job_id", "type"])).alias("frame"))
 
 
+@query(f"""WITH {_OPEN}, n AS (SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS following FROM open),
+g AS (SELECT job_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, CAST(floor(epoch(following)) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS gap FROM n WHERE following IS NOT NULL),
+k AS (SELECT job_id, second, unnest(range(1, CAST(floor((gap - 1) / 3600) AS BIGINT) + 1)) AS nth FROM g WHERE gap > 3600)
+SELECT job_id, second + nth * 3600 AS second, ': keepalive' || chr(10) || chr(10) AS frame FROM k""")
+def keepalives(spark, sf_dir):
+    """Comment frames for every hour without an event."""
+    return J.keepalives(_events(spark, sf_dir), 3600).select("job_id", F.unix_timestamp("ts").alias("second"), "frame")
+
+
 @query(f"WITH {EV}, st AS (SELECT *, CASE type WHEN 'loading' THEN 1 WHEN 'detected' THEN 2 WHEN 'scanning' THEN 3 WHEN 'page_done' THEN 4 WHEN 'assembling' THEN 5 WHEN 'done' THEN 6 END AS stage FROM ev WHERE type <> 'error'), m AS (SELECT *, max(stage) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) SELECT job_id, seq, type FROM m WHERE stage < reached")
 def misordered_events(spark, sf_dir):
     return J.misordered(_events(spark, sf_dir)).select("job_id", "seq", "type")

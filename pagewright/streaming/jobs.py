@@ -52,6 +52,17 @@ def frame(json: Column) -> Column:
     return F.concat(F.lit("data: "), json, F.lit("\n\n"))
 
 
+def keepalives(events: DataFrame, quiet: int = P.QUIET) -> DataFrame:
+    """job_id, ts, frame: the comment frames that keep a connection open, one for every so many seconds without an event
+    of a job that has not ended."""
+    line = Window.partitionBy("job_id").orderBy("ts", "seq")
+    rows = until_terminal(events).withColumn("next", F.lead("ts").over(line))
+    gap = F.unix_timestamp("next") - F.unix_timestamp("ts")
+    times = F.when(gap > quiet, F.sequence(F.lit(1).cast("long"), F.floor((gap - 1) / quiet)))
+    rows = rows.select("job_id", "ts", F.explode(times).alias("nth"))
+    return rows.select("job_id", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("nth") * quiet).alias("ts"), F.lit(": keepalive\n\n").alias("frame"))
+
+
 def misordered(events: DataFrame) -> DataFrame:
     """Events of a job that come after a later stage of its life has begun."""
     stage = F.array_position(F.array(*map(F.lit, LIFECYCLE)), F.col("type"))
@@ -61,9 +72,10 @@ def misordered(events: DataFrame) -> DataFrame:
 
 
 def panels(events: DataFrame) -> DataFrame:
-    """What a client shows of each job after its last event: title, percent and whether it goes on."""
+    """What a client shows of each job after its last event: title, pages scanned and whether it goes on."""
     rows = until_terminal(events)
     last = rows.groupBy("job_id").agg(F.max_by("type", F.struct("ts", "seq")).alias("type"), F.count(F.when(F.col("type") == "page_done", 1)).alias("pages"))
+    # What is shown while a job is in each state.
     titles = {"loading": "Loading PDF pages", "detected": "Scanning", "scanning": "Scanning", "page_done": "Scanning", "assembling": "Assembling scanned PDF", "done": "Scan complete!", "error": "Scan failed", "_eof": "Scan failed"}
     pairs = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
     return last.select("job_id", pairs[F.col("type")].alias("title"), "pages", (~F.col("type").isin(*TERMINAL)).alias("running"))

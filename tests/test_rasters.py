@@ -94,6 +94,22 @@ def test_bad_pages_become_error_rows(spark):
     assert {r.error for r in R.each_page(images(spark, page, page), fails).collect()} == {"fails: no"}
 
 
+def test_pages_that_cannot_be_scanned_are_flattened(spark):
+    page = ruled(200, 260)
+    two = page[:, :, :2]  # the scan has no rule for two channels
+    rows = [(0, 200, 260, 3, page.tobytes(), None), (1, 200, 260, 2, two.tobytes(), None), (2, 1, 1, 3, None, None)]
+    df = spark.createDataFrame(rows, R.SCHEMA)
+    assert [r.error is None for r in P.scan_images(df).orderBy("page_id").collect()] == [True, False, False]
+    done = P.scan_auto(df)
+    out = arrays(done)
+    assert set(out) == {0, 1} and (out[1] == R.legacy_gray(two)).all() and done.where("page_id = 2").first().error == "not a whole image"
+    flat = R.legacy_gray(page, 9)
+    from pagewright.functions import tones as T
+
+    rows = I.box_mean(I.gray(R.to_pixels(images(spark, page))), 9).select("y", "x", T.legacy_gray(F.col("v"), F.col("mean")).alias("v")).collect()
+    assert all(flat[r.y, r.x, 0] == r.v for r in rows)
+
+
 @pytest.mark.parametrize("shape", [(9, 14, 3), (1, 6, 3), (40, 31, 3), (25, 3, 3)])
 def test_steps_are_those_on_pixel_rows(spark, shape):
     rng = np.random.default_rng(4)
