@@ -21,10 +21,11 @@ from pagewright.operators.images import gaussian
 
 SCHEMA = "page_id long, width int, height int, channels int, data binary, error string"
 NAMES = ["page_id", "width", "height", "channels", "data", "error"]
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
 
-def _batch(page_id, image: np.ndarray | None, error: str | None) -> pa.RecordBatch:
+def page_row(page_id, image: np.ndarray | None, error: str | None) -> pa.RecordBatch:
     h, w = image.shape[:2] if image is not None else (None, None)
     values = (page_id, w, h, image.shape[2] if image is not None else None, None if image is None else np.ascontiguousarray(image).tobytes(), error)
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], NAMES)
@@ -55,7 +56,7 @@ def each_page(images: DataFrame, step: Callable, *columns: str) -> DataFrame:
                     image = step(image, *(row[c] for c in columns))
                 except (ValueError, IndexError, ArithmeticError, MemoryError) as problem:
                     image, error = None, f"{getattr(step, '__name__', 'step')}: {problem}"
-            yield _batch(row["page_id"], image if error is None else None, error)
+            yield page_row(row["page_id"], image if error is None else None, error)
 
     return images.select(*NAMES, *columns).mapInArrow(run, SCHEMA)
 
@@ -72,8 +73,10 @@ def measured(images: DataFrame, measure: Callable, schema: str) -> DataFrame:
                 found = []
             if found:
                 columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(found), pa.int64()), *(pa.array(list(c)) for c in columns)], ["page_id", *(part.split()[0] for part in schema.split(", "))])
+                arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]] * len(found), pa.int64()), *arrays], ["page_id", *names])
 
+    names, kinds = zip(*((part.split()[0], _TYPES[part.split()[1]]) for part in schema.split(", ")), strict=True)
     return images.select(*NAMES).mapInArrow(run, f"page_id long, {schema}")
 
 
@@ -399,7 +402,40 @@ def strokes(image: np.ndarray, block: int | None = None, run: int | None = None,
     all_runs = Runs(ink)
     for k in np.flatnonzero(long):
         kept[all_runs.y[k], all_runs.x0[k] : all_runs.x1[k]] = True
-    runs = Runs(kept)
+    out = []
+    for k, (x0, y0, x1, y1) in enumerate(lines(Runs(kept), length or max(100, w // 4))):
+        out.append((k, x0 / scale, y0 / scale, x1 / scale, y1 / scale, w / scale, h / scale))
+    return out
+
+
+def pink_strokes(image: np.ndarray, above: int = 25, gap: int = 15) -> list[tuple]:
+    """seg_id, x1, y1, x2, y2, w, h of long strokes of reddish ink: gray ink does not show where red is compared with
+    green. Gaps within a stroke are closed; each component has the least-squares line through it."""
+    if image.shape[2] < 3:
+        return []
+    h0, w0 = image.shape[:2]
+    pink = np.clip(image[:, :, 2].astype(np.int16) - image[:, :, 1], 0, 255).astype(np.uint8)
+    small, scale = probe(pink)
+    mask = closed(small > above, gap)
+    h, w = mask.shape
+    out = []
+    for k, (x0, y0, x1, y1) in enumerate(lines(Runs(mask), int(min(h, w) * 0.3))):
+        out.append((k, x0 / scale, y0 / scale, x1 / scale, y1 / scale, float(w0), float(h0)))
+    return out
+
+
+def closed(mask: np.ndarray, gap: int) -> np.ndarray:
+    """The mask with horizontal gaps of fewer pixels filled."""
+    runs = Runs(mask)
+    out = mask.copy()
+    near = np.flatnonzero((np.diff(runs.y) == 0) & (runs.x0[1:] - runs.x1[:-1] < gap))
+    for k in near:
+        out[runs.y[k], runs.x1[k] : runs.x0[k + 1]] = True
+    return out
+
+
+def lines(runs: Runs, length: float) -> list[tuple[float, float, float, float]]:
+    """The ends of the least-squares lines through the components that are at least so long."""
     n = runs.length.astype(np.float64)
     sx = (runs.x0 + runs.x1 - 1) / 2.0 * n
     sxx = (runs.x1 - 1.0) * runs.x1 * (2 * runs.x1 - 1) / 6 - (runs.x0 - 1.0) * runs.x0 * (2 * runs.x0 - 1) / 6
@@ -408,13 +444,115 @@ def strokes(image: np.ndarray, block: int | None = None, run: int | None = None,
     out = []
     for k in np.unique(runs.label).tolist():
         m, a, b, aa, ab = (s[k] for s in sums)
-        if x1[k] - 1 - x0[k] < (length or max(100, w // 4)):
+        if x1[k] - 1 - x0[k] >= max(1, length):
+            slope = (m * ab - a * b) / (m * aa - a * a)
+            start = (b - slope * a) / m
+            out.append((float(x0[k]), float(slope * x0[k] + start), float(x1[k] - 1), float(slope * (x1[k] - 1) + start)))
+    return out
+
+
+def edges(g: np.ndarray, low: int = 30, high: int = 120) -> np.ndarray:
+    """Thin edges of a gray page: where the gradient is a ridge, strong or joined with what is strong."""
+    a = blurred(g, gaussian(5))
+    wide, tall = _mirrored(a, 1, 1), _mirrored(a, 1, 0)
+    dx, dy = wide[:, 2:] - wide[:, :-2], tall[2:] - tall[:-2]
+    dx, dy = _mirrored(dx, 1, 0), _mirrored(dy, 1, 1)
+    gx, gy = dx[:-2] + 2 * dx[1:-1] + dx[2:], dy[:, :-2] + 2 * dy[:, 1:-1] + dy[:, 2:]
+    size = np.abs(gx) + np.abs(gy)
+    around = np.pad(size, 1)
+    h, w = size.shape
+    at = lambda y, x: around[1 + y : 1 + y + h, 1 + x : 1 + x + w]
+    flat, steep = np.abs(gy) <= np.abs(gx) * 0.4142, np.abs(gy) >= np.abs(gx) * 2.4142
+    falling = gx * gy > 0
+    before = np.where(flat, at(0, -1), np.where(steep, at(-1, 0), np.where(falling, at(-1, -1), at(-1, 1))))
+    after = np.where(flat, at(0, 1), np.where(steep, at(1, 0), np.where(falling, at(1, 1), at(1, -1))))
+    ridge = (size > before) & (size >= after) & (size > low)
+    runs = Runs(ridge)
+    count = np.concatenate(([0], np.cumsum((size > high).ravel())))
+    strong = count[runs.y * w + runs.x1] - count[runs.y * w + runs.x0]
+    kept = np.bincount(runs.label, strong, len(runs.label))[runs.label] > 0
+    out = np.zeros((h, w), bool)
+    for k in np.flatnonzero(kept):
+        out[runs.y[k], runs.x0[k] : runs.x1[k]] = True
+    return out
+
+
+def grown(mask: np.ndarray) -> np.ndarray:
+    """The mask and all pixels beside it."""
+    m = np.pad(mask, 1)
+    m = m[:-2] | m[1:-1] | m[2:]
+    return m[:, :-2] | m[:, 1:-1] | m[:, 2:]
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of points (x, y), in order."""
+
+    def half(some: np.ndarray) -> list:
+        out: list = []
+        for p in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    some = points[np.lexsort((points[:, 1], points[:, 0]))].astype(np.float64)
+    return np.array(half(some) + half(some[::-1])) if len(some) > 2 else some
+
+
+def simplified(polygon: np.ndarray, tolerance: float) -> np.ndarray:
+    """The corners of a closed polygon that are further than the tolerance from the sides that the others make."""
+    far = lambda p: int(np.argmax(((polygon - p) ** 2).sum(1)))
+    one = far(polygon[0])
+    two = far(polygon[one])
+    keep, todo = {one, two}, [tuple(sorted((one, two))), (max(one, two), min(one, two) + len(polygon))]
+    while todo:
+        a, b = todo.pop()
+        p, q = polygon[a % len(polygon)], polygon[b % len(polygon)]
+        some = np.arange(a + 1, b)
+        if not len(some):
+            continue
+        d = polygon[some % len(polygon)] - p
+        away = np.abs(d[:, 0] * (q - p)[1] - d[:, 1] * (q - p)[0]) / max(1e-9, float(np.hypot(*(q - p))))
+        k = int(np.argmax(away))
+        if away[k] > tolerance:
+            keep.add(int(some[k]) % len(polygon))
+            todo += [(a, int(some[k])), (int(some[k]), b)]
+    return polygon[sorted(keep)]
+
+
+def outlines(image: np.ndarray, most: int = 7) -> list[tuple]:
+    """idx, area, w, h and points (x and y of four corners; null if it has no four) of the largest closed edges of a
+    page: what they enclose is measured, and their hull simplified until four corners are left."""
+    g, scale = probe(gray(image))
+    mask = grown(edges(g))
+    runs = Runs(mask)
+    h, w = mask.shape
+    out = []
+    if not len(runs.label):
+        return out
+    x0, y0, x1, y1 = runs.box()
+    first = np.unique(runs.label)
+    span = (x1 - x0)[first] * (y1 - y0)[first]
+    for k in first[np.argsort(-span, kind="stable")][:most].tolist():
+        if (x1[k] - x0[k]) * (y1[k] - y0[k]) < 0.2 * h * w:
             continue
-        slope = (m * ab - a * b) / (m * aa - a * a)
-        start = (b - slope * a) / m
-        place = lambda x: (x / scale, (slope * x + start) / scale)  # noqa: B023, E731
-        (u, v), (s, t) = place(float(x0[k])), place(float(x1[k] - 1))
-        out.append((int(runs.y[k]) * w + int(runs.x0[k]), u, v, s, t, w / scale, h / scale))
+        own = np.zeros((h + 2, w + 2), bool)
+        for j in np.flatnonzero(runs.label == k):
+            own[runs.y[j] + 1, runs.x0[j] + 1 : runs.x1[j] + 1] = True
+        outer = Runs(~own)
+        area = float((h + 2) * (w + 2) - outer.length[outer.label == outer.label[0]].sum())
+        mine = runs.label == k
+        ring = hull(np.vstack([np.column_stack([runs.x0[mine], runs.y[mine]]), np.column_stack([runs.x1[mine] - 1, runs.y[mine]])]))
+        sides = np.roll(ring, -1, 0) - ring
+        full = abs(float((ring[:, 0] * np.roll(ring[:, 1], -1) - ring[:, 1] * np.roll(ring[:, 0], -1)).sum())) / 2
+        around, points = float(np.hypot(sides[:, 0], sides[:, 1]).sum()), None
+        if full and area >= 0.9 * full:  # not dented
+            for share in (0.02, 0.03, 0.05):
+                corners = simplified(ring, share * around)
+                if len(corners) == 4:
+                    points = (corners / scale).ravel().tolist()
+                    break
+        out.append((k, area / scale**2, w / scale, h / scale, points))
     return out
 
 
@@ -431,7 +569,7 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
         image = np.full((int(y.max()) + 1, int(x.max()) + 1, len(values)), 255, np.uint8)
         for k, c in enumerate(values):
             image[y, x, k] = page[c].to_numpy()
-        return pa.Table.from_batches([_batch(page["page_id"][0].as_py(), image, None)])
+        return pa.Table.from_batches([page_row(page["page_id"][0].as_py(), image, None)])
 
     return pixels.select("page_id", "y", "x", *values).groupBy("page_id").applyInArrow(draw, SCHEMA)
 
@@ -452,10 +590,23 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return images.select(*NAMES).mapInArrow(run, "page_id long, y int, x int, b int, g int, r int")
 
 
+_SEGMENT = "seg_id long, x1 double, y1 double, x2 double, y2 double, w double, h double"
+
+
 def segments(images: DataFrame, **options) -> DataFrame:
     """page_id, seg_id, x1, y1, x2, y2, w, h of the strokes of every page."""
 
     def measure(image: np.ndarray) -> list[tuple]:
         return strokes(image, **options)
 
-    return measured(images, measure, "seg_id long, x1 double, y1 double, x2 double, y2 double, w double, h double")
+    return measured(images, measure, _SEGMENT)
+
+
+def pink_segments(images: DataFrame) -> DataFrame:
+    """The same of reddish strokes."""
+    return measured(images, pink_strokes, _SEGMENT)
+
+
+def contours(images: DataFrame) -> DataFrame:
+    """page_id, idx, area, w, h, points of the largest closed edges of every page."""
+    return measured(images, outlines, "idx long, area double, w double, h double, points array<double>")

@@ -85,9 +85,10 @@ def resizing(sizes: DataFrame) -> DataFrame:
     return new.select("page_id", "y", "x", at("y", "h0", "h").alias("sy"), at("x", "w0", "w").alias("sx"))
 
 
-def warping(quads: DataFrame) -> DataFrame:
-    """Targets that make each page's quadrilateral a rectangle. quads: page_id, w, h, and corners, an array of the x and
-    y of the top left, top right, bottom right and bottom left, which is grown by a hundredth first."""
+def quad_maps(quads: DataFrame) -> DataFrame:
+    """page_id and m: the width and height of the rectangle that each page's quadrilateral becomes, and the eight
+    coefficients of the map from it back to the page. quads: page_id, w, h, and corners, an array of the x and y of the
+    top left, top right, bottom right and bottom left, which is grown by a hundredth first."""
 
     @F.pandas_udf("array<double>")
     def solved(corners: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
@@ -104,7 +105,12 @@ def warping(quads: DataFrame) -> DataFrame:
             out.append([nw, nh, *np.linalg.lstsq(np.array(rows, np.float64), q.ravel(), rcond=None)[0].tolist()])
         return pd.Series(out)
 
-    maps = quads.select("page_id", solved("corners", "w", "h").alias("m"))
+    return quads.select("page_id", solved("corners", "w", "h").alias("m"))
+
+
+def warping(quads: DataFrame) -> DataFrame:
+    """Targets that make each page's quadrilateral a rectangle."""
+    maps = quad_maps(quads)
     rows = grid(maps.select("page_id", "m", F.col("m")[0].cast("int").alias("w"), F.col("m")[1].cast("int").alias("h")))
     a, x, y = (lambda k: F.col("m")[k + 2]), F.col("x"), F.col("y")
     depth = a(6) * x + a(7) * y + 1.0

@@ -51,9 +51,31 @@ def _square_moves(segments: DataFrame) -> DataFrame:
     return W.square_maps(size.join(G.keystone(segments), "page_id")).select("page_id", F.lit("square").alias("kind"), F.col("m").alias("numbers"))
 
 
+def _pink_moves(images: DataFrame) -> DataFrame:
+    """A turn by the tilt of reddish rulings, which gray pages do not show; at least three of them, and a tilt that is
+    neither too small nor too large to trust."""
+    level = R.pink_segments(images).where(F.abs(F.col("y2") - F.col("y1")) <= G.TANGENT * (F.col("x2") - F.col("x1")))
+    tilt = G.weighted_median_angle(durable(level), 3).where(F.abs("tilt").between(0.3, 10.0))
+    return tilt.select("page_id", F.lit("turn").alias("kind"), F.array("tilt").alias("numbers"))
+
+
+def _quad_moves(images: DataFrame) -> DataFrame:
+    """page_id, kind and numbers (the map that makes it a rectangle) of the pages whose largest outlines have four
+    corners: of the seven largest, each between a quarter and nearly all of the page, the first with four."""
+    found = G.largest_contours(durable(R.contours(images))).where("points is not null")
+    best = found.groupBy("page_id").agg(F.min_by(F.struct("points", "w", "h"), "rank").alias("q"))
+    corner = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(k.cast("long").alias("idx"), F.element_at("q.points", 2 * k + 1).alias("px"), F.element_at("q.points", 2 * k + 2).alias("py")))
+    named = G.ordered_corners(best.select("page_id", F.inline(corner)))
+    places = F.array(*[F.array(f"{c}.px", f"{c}.py") for c in ("top_left", "top_right", "bottom_right", "bottom_left")])
+    quads = named.join(best.select("page_id", F.round("q.w").cast("int").alias("w"), F.round("q.h").cast("int").alias("h")), "page_id").select("page_id", "w", "h", places.alias("corners"))
+    return W.quad_maps(quads).select("page_id", F.lit("quad").alias("kind"), F.col("m").alias("numbers"))
+
+
 def move(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np.ndarray:
-    """A page levelled row by row, squared by a map, turned by an angle, or as it is."""
+    """A page made of its quadrilateral, levelled row by row, squared by a map, turned by an angle, or as it is."""
     h, w = image.shape[:2]
+    if kind == "quad":
+        w, h, kind, numbers = int(numbers[0]), int(numbers[1]), "square", numbers[2:]
     if kind == "rows":
         centres, slopes = numbers[::2], numbers[1::2]
         source = lambda y, x: (y + np.interp(y, centres, slopes) * (x - w / 2.0), x)
@@ -69,22 +91,28 @@ def move(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np
     return R.remapped(image, source, (h, w))
 
 
-def _moved(images: DataFrame, moves: DataFrame, how: str = "left") -> DataFrame:
+def _moved(images: DataFrame, moves: DataFrame, how: str = "left", step=move) -> DataFrame:
     moves = durable(moves)
     few = F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves
-    return R.each_page(images.join(few, "page_id", how), move, "kind", "numbers")
+    return R.each_page(images.join(few, "page_id", how), step, "kind", "numbers")
 
 
-def straighten(images: DataFrame, strokes: dict = STROKES) -> DataFrame:
-    """Pages levelled by their rulings: row by row where enough bands have evidence, else by making the trapezoid of the
-    top and bottom rulings a rectangle, else by one turn, if it is neither too small nor too large to trust."""
+def level_moves(images: DataFrame, strokes: dict = STROKES) -> DataFrame:
+    """page_id, kind and numbers of what each page needs: its outline made a rectangle where it shows one; else to be
+    levelled by its rulings, row by row where enough bands have evidence, else by making the trapezoid of the top and
+    bottom rulings a rectangle, else by one turn, if that is neither too small nor too large to trust, by the rulings or
+    by reddish ones."""
     segments = _rulings(images, strokes)
     ranked = None
-    for rank, moves in enumerate((_rows_moves(segments), _square_moves(segments), _turn_moves(segments))):
+    for rank, moves in enumerate((_quad_moves(images), _rows_moves(segments), _square_moves(segments), _turn_moves(segments), _pink_moves(images))):
         moves = moves.withColumn("rank", F.lit(rank))
         ranked = moves if ranked is None else ranked.unionByName(moves)
-    best = ranked.groupBy("page_id").agg(F.min_by(F.struct("kind", "numbers"), "rank").alias("m")).select("page_id", "m.*")
-    return _moved(images, best)
+    return ranked.groupBy("page_id").agg(F.min_by(F.struct("kind", "numbers"), "rank").alias("m")).select("page_id", "m.*")
+
+
+def straighten(images: DataFrame, strokes: dict = STROKES) -> DataFrame:
+    """Pages with what level_moves finds done to them."""
+    return _moved(images, level_moves(images, strokes))
 
 
 def settle(images: DataFrame, strokes: dict = STROKES, tolerance: float = 0.25) -> DataFrame:
@@ -167,15 +195,17 @@ def finished(image: np.ndarray, params: ScanParams = ScanParams()) -> np.ndarray
 def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: dict = STROKES) -> DataFrame:
     """page_id, width, height, channels, data and error of every page, scanned."""
 
-    def enhanced(image: np.ndarray) -> np.ndarray:
-        page = image if params.preserve_borders else trimmed(image)
+    def enhanced(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np.ndarray:
+        page = move(image, kind, numbers)
+        if kind != "quad" and not params.preserve_borders:  # what has an outline has no rims
+            page = trimmed(page)
         return reframed(R.reference_look(page, params.kernel, params.saturation, params.white, params.blacks), params)
 
     def last(image: np.ndarray) -> np.ndarray:
         return finished(image, params)
 
     pages = durable(images.select(*R.NAMES))
-    level = durable(R.each_page(straighten(pages, strokes), enhanced))
+    level = durable(_moved(pages, level_moves(pages, strokes), step=enhanced))
     return R.each_page(settle(level, strokes), last)
 
 

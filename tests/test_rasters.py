@@ -145,6 +145,46 @@ def test_steps_are_those_on_pixel_rows(spark, shape):
         assert (None if box is None else (box.x0, box.y0, box.x1, box.y1)) == R.ink_box(g, 60, noise)
 
 
+def photographed(corners, w=900, h=700):
+    """A light page with lines, seen on a dark desk."""
+    y, x = np.mgrid[:h, :w]
+    inside = np.ones((h, w), bool)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+    image = np.where(inside, 225, 50).astype(np.uint8)
+    return np.dstack([image] * 3)
+
+
+def test_a_photographed_page_is_made_a_rectangle(spark):
+    corners = [(150, 80), (760, 130), (800, 620), (110, 560)]
+    page = photographed(corners)
+    (found,) = [x for x in R.outlines(page) if x[4]]
+    got = sorted(zip(found[4][::2], found[4][1::2]))
+    assert all(abs(a - c) < 4 and abs(b - d) < 4 for (a, b), (c, d) in zip(got, sorted(corners)))
+    dented = [(150, 80), (760, 130), (800, 620)]
+    pages = images(spark, page, photographed(dented), ruled())
+    moves = {r.page_id: r.kind for r in P.level_moves(pages).collect()}
+    assert moves == {0: "quad", 2: "rows"}
+    flat = arrays(P.straighten(pages))
+    h, w = flat[0].shape[:2]
+    assert abs(w - 698) < 15 and abs(h - 500) < 15 and (flat[0] == 225).mean() > 0.96
+    assert arrays(P.scan_images(pages))[0].min() >= 0
+
+
+def test_reddish_rulings_tilt_a_page_that_shows_no_others(spark):
+    page = np.full((700, 600, 3), 235, np.uint8)
+    x = np.arange(30, 570)
+    for start in range(100, 600, 90):
+        for k in range(4):
+            page[np.round(start + 0.04 * (x - 300)).astype(int) + k, x] = (225, 190, 225)
+    gray_ruled = ruled(600, 700, slope=0.0)
+    moves = {r.page_id: (r.kind, r.numbers) for r in P._pink_moves(images(spark, page, gray_ruled)).collect()}
+    assert set(moves) == {0} and moves[0][0] == "turn" and abs(moves[0][1][0] - 2.29) < 0.1
+    turned = P.move(page, *moves[0])
+    left = [abs(s[4] - s[2]) for s in R.pink_strokes(turned)]
+    assert len(left) >= 5 and max(left) < 3
+
+
 def test_components_of_runs():
     rng = np.random.default_rng(7)
     for share in (0.3, 0.5, 0.7):
