@@ -3,7 +3,8 @@
 Every line hash gets HyperLogLog sketches of the sites and of the distinct texts it stands in, merged by aggregation. A
 line far above or below the threshold is decided by its sketches; one near it gets exact distinct counts. A line in
 `sites` sites or more (and as many distinct texts, so that copies of one text do not make its lines boilerplate) is
-boilerplate: it goes from every document but that with the smallest doc_id.
+boilerplate: it goes from every document but that with the smallest doc_id. Unless it is given, `sites` is 10, or half
+of all sites where there are fewer than 20, but 2 at least.
 
 Defined results: null text has no lines and stays null; blank lines are never counted nor removed; a null source is no
 site; rows with a null doc_id lose their boilerplate lines; rows are told apart by doc_id and text, so repeated rows are
@@ -54,9 +55,14 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(sure).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
 
 
-def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def enough_sites(docs: DataFrame) -> int:
+    """How many sites make a line boilerplate."""
+    return min(SITES, max(2, -(-docs.agg(F.countDistinct("source")).first()[0] // 2)))
+
+
+def dedup_lines(docs: DataFrame, sites: int | None = None) -> DataFrame:
     """docs without boilerplate lines, with n_lines, n_removed and kept_sha256 (of the text that is left)."""
-    lines = line_rows(docs)
+    lines, sites = line_rows(docs), sites or enough_sites(docs)
     common = _few(boilerplate(lines, sites))
     drop = lines.join(common, ["h1", "h2"]).where("doc_id is null or doc_id > first")
     drop = drop.groupBy("doc_id", "body").agg(F.collect_set("at").alias("drop"))
@@ -90,13 +96,15 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH lines AS (
+WITH enough AS (
+    SELECT least({SITES}, greatest(2, (count(DISTINCT source) + 1) // 2)) AS n FROM documents
+), lines AS (
     SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
     FROM documents
 ), spread AS (
     SELECT trim(line) AS line, min(doc_id) AS first_id
     FROM lines WHERE trim(line) <> ''
-    GROUP BY 1 HAVING count(DISTINCT source) >= {SITES} AND count(DISTINCT md5(text)) >= {SITES}
+    GROUP BY 1 HAVING count(DISTINCT source) >= (SELECT n FROM enough) AND count(DISTINCT md5(text)) >= (SELECT n FROM enough)
 ), kept AS (
     SELECT doc_id, count(*) AS n_lines, count(s.line) FILTER (WHERE doc_id > first_id) AS n_removed,
         string_agg(l.line, chr(10) ORDER BY n) FILTER (WHERE s.line IS NULL OR NOT doc_id > first_id) AS text

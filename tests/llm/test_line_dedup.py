@@ -40,3 +40,13 @@ def test_odd_documents(odd, clashing, nothing):
     kept = L.dedup_lines(clashing, 2)
     assert kept.count() == len(rows) and {"body", "found", "text"} <= set(kept.columns)
     assert L.dedup_lines(nothing).count() == 0
+
+
+def test_few_sites_need_half_of_them(spark):
+    rows = [(i, f"own line {i}\nfooter", f"site{i % 3}") for i in range(9)] + [(20, "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert L.enough_sites(docs) == 2
+    got = L.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert brute.counted(got) == brute.counted(plain(rows, 2)) and sum(r.n_removed for r in got) == 8
+    many = docs.unionByName(spark.range(40).selectExpr("100 + id as doc_id", "'x' as text", "concat('s', id) as source"))
+    assert L.enough_sites(many) == L.SITES and L.enough_sites(docs.limit(0)) == 2
