@@ -68,6 +68,8 @@ class _WordEncoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self._plain(text)
         return b"".join(self.added.get(part) or self._plain(part) for part in self.cut(text))
 
     def _plain(self, text: str) -> bytes:
