@@ -26,6 +26,7 @@ CUBIC = -0.75
 PROBE_WIDTH = 1000
 AUTO_TRIM = (0.008, 0.02, 0.01, 0.02)
 TOP_TRIM = 0.12
+RING_ZONE = 0.78
 PAGE_SIZES = {"A4": (595, 842), "Letter": (612, 792)}
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
 JOB_TTL = 600

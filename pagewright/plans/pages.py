@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import rasters as R
 from pagewright.operators import segments as G
 from pagewright.operators import warp as W
+from pagewright.operators.rings import without_rings
 from pagewright.params import AUTO_TRIM, INK, TOP_TRIM, ScanParams
 from pagewright.session import durable
 
@@ -199,7 +200,8 @@ def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: d
         page = move(image, kind, numbers)
         if kind != "quad" and not params.preserve_borders:  # what has an outline has no rims
             page = trimmed(page)
-        return reframed(R.reference_look(page, params.kernel, params.saturation, params.white, params.blacks), params)
+        look = R.reference_look(page, params.kernel, params.saturation, params.white, params.blacks)
+        return look if params.preserve_borders else without_rings(reframed(look, params))
 
     def last(image: np.ndarray) -> np.ndarray:
         return finished(image, params)

@@ -185,6 +185,52 @@ def test_reddish_rulings_tilt_a_page_that_shows_no_others(spark):
     assert len(left) >= 5 and max(left) < 3
 
 
+def test_binding_rings_are_filled_and_text_is_not():
+    from pagewright.operators import rings
+
+    page = np.full((900, 700, 3), 255, np.uint8)
+    for y in range(100, 800, 40):
+        page[y : y + 3, 60:600] = 30  # rulings
+        page[y + 10 : y + 24, 80:500:9] = 20  # strokes
+    clean = page.copy()
+    assert (rings.without_rings(page) == page).all()
+    for y in range(120, 780, 60):
+        for k in range(28):
+            page[y + k, 640 + k // 3 : 650 + k // 3] = 10  # thick and tall
+    out = rings.without_rings(page)
+    ring = np.zeros(page.shape[:2], bool)
+    for y in range(120, 780, 60):
+        ring[y : y + 28, 636:665] = True
+    assert (page[ring] < 70).sum() > 9000 and (out[ring] < 70).sum() < 0.15 * (page[ring] < 70).sum()
+    assert (out[~ring] == page[~ring]).mean() > 0.999 and (out[:, :600] == clean[:, :600]).all()
+
+
+def test_thin_diagonals_of_one_angle_are_rings():
+    from pagewright.operators import rings
+
+    page = np.full((900, 700), 255, np.uint8)
+    for k in range(7):
+        for t in range(110):
+            page[60 + k * 115 + t, 590 + t // 3 : 592 + t // 3] = 40
+    mask = rings.diagonal_rings(page)
+    assert mask is not None and mask[page < 100].all() and mask.mean() < 0.03
+    page[:] = 255
+    for k in range(3):
+        page[100:800, 570 + 30 * k : 572 + 30 * k] = 40  # a table's upright lines
+    assert rings.diagonal_rings(page) is None
+
+
+def test_distances_by_places():
+    from pagewright.operators import rings
+
+    mask = np.random.default_rng(3).random((30, 30)) < 0.9
+    got = rings.spread(mask, rings._NEAR, all_of=True)
+    for y in range(30):
+        for x in range(30):
+            far = min((max(abs(y - a), abs(x - b)) - min(abs(y - a), abs(x - b))) * 0.955 + min(abs(y - a), abs(x - b)) * 1.3693 for a, b in np.argwhere(~mask))
+            assert got[y, x] == (far > 2)
+
+
 def test_components_of_runs():
     rng = np.random.default_rng(7)
     for share in (0.3, 0.5, 0.7):
