@@ -6,6 +6,7 @@ All rows of a page share page_id, so one shuffle by page_id (by_page) serves eve
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from pagewright import params as P
 from pagewright.functions.tones import flattened, luminance, reference_tones, saturated
 
+#: Pixels in one batch of those that an image becomes.
+ROWS = 100_000
+
 
 def by_page(pixels: DataFrame) -> DataFrame:
     """Pixels dealt out so that those of a page are together."""
@@ -37,11 +41,22 @@ def colour_from_vectors(vectors: DataFrame, width: int = 8) -> DataFrame:
 
 
 def from_images(images: DataFrame, page_id: str = "page_id") -> DataFrame:
-    """Rows of Spark's image source (a struct `image`, BGR) as colour pixels."""
+    """Rows of Spark's image source (a struct `image`, BGR) as colour pixels; what is gray has its value three times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page, w, n = (batch.column(c)[k].as_py() for c in ("page_id", "w", "n"))
+                values = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(-1, n)
+                for top in range(0, len(values), ROWS):
+                    part = values[top : top + ROWS].astype(np.int32)
+                    y, x = np.divmod(np.arange(top, top + len(part), dtype=np.int32), np.int32(w))
+                    channels = [part[:, c if n >= 3 else 0] for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), page, np.int64)), *map(pa.array, (y, x, *channels))], ["page_id", "y", "x", "b", "g", "r"])
+
     image = F.col("image")
-    rows = images.select(F.col(page_id).alias("page_id"), image["width"].alias("w"), image["nChannels"].alias("n"), image["data"].alias("data"), F.explode(F.sequence(F.lit(0), image["height"] * image["width"] - 1)).alias("at"))
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("at") * F.col("n") + k, F.lit(1))), 16, 10).cast("int")
-    return rows.select("page_id", F.floor(F.col("at") / F.col("w")).cast("int").alias("y"), (F.col("at") % F.col("w")).alias("x"), byte(1).alias("b"), F.when(F.col("n") >= 3, byte(2)).otherwise(byte(1)).alias("g"), F.when(F.col("n") >= 3, byte(3)).otherwise(byte(1)).alias("r"))
+    rows = images.select(F.col(page_id).cast("long").alias("page_id"), image["width"].alias("w"), image["nChannels"].alias("n"), image["data"].alias("data"))
+    return rows.where("data is not null").mapInArrow(run, "page_id long, y int, x int, b int, g int, r int")
 
 
 def gray(pixels: DataFrame) -> DataFrame:

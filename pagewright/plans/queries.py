@@ -306,21 +306,21 @@ def mask_except(spark, sf_dir):
     return I.mask_except(px.where("v < 128"), px.where("v < 100 or y = 3"))
 
 
-def _blur(rel: str, kernel: list[float], value: str = "v") -> str:
-    """A subquery with the separable kernel around each pixel, mirrored at the borders."""
-    r = len(kernel) // 2
+def _blur(rel: str, size: int, sigma: float, value: str = "v") -> str:
+    """A subquery with a Gaussian of so many taps around each pixel, mirrored at the borders."""
+    r, spread = size // 2, f"{2 * sigma * sigma!r}::DOUBLE"
     near = lambda a: f"CASE WHEN {a} < 0 THEN -({a}) WHEN {a} > 7 THEN 14 - ({a}) ELSE {a} END"
-    weights = ", ".join(f"({k - r}, {w!r}::DOUBLE)" for k, w in enumerate(kernel))
-    return f"""(SELECT p.page_id, p.y, p.x, sum(ky.w * kx.w * q.{value}) AS blur FROM {rel} p, (VALUES {weights}) ky(d, w), (VALUES {weights}) kx(d, w), {rel} q
+    weights = f"(SELECT d, exp(-d * d / {spread}) / (SELECT sum(exp(-e * e / {spread})) FROM range({-r}, {r + 1}) u(e)) AS w FROM range({-r}, {r + 1}) t(d))"
+    return f"""(SELECT p.page_id, p.y, p.x, round(sum(ky.w * kx.w * q.{value}), 9) AS blur FROM {rel} p, {weights} ky, {weights} kx, {rel} q
         WHERE q.page_id = p.page_id AND q.y = {near("p.y + ky.d")} AND q.x = {near("p.x + kx.d")} GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {PX} SELECT p.page_id, p.y, p.x, CAST(least(255, greatest(0, round_even(v * 1.3::DOUBLE + round_even(blur, 0) * (1.0::DOUBLE - 1.3::DOUBLE), 0))) AS INT) AS v FROM px p JOIN {_blur('px', I.gaussian(7, 0.8))} b USING (page_id, y, x)")
+@query(f"WITH {PX} SELECT p.page_id, p.y, p.x, CAST(least(255, greatest(0, round_even(v * 1.3::DOUBLE + round_even(blur, 0) * (1.0::DOUBLE - 1.3::DOUBLE), 0))) AS INT) AS v FROM px p JOIN {_blur('px', 7, 0.8)} b USING (page_id, y, x)")
 def unsharp(spark, sf_dir):
     return I.unsharp(_pixels(spark, sf_dir))
 
 
-@query(f"WITH {PX} SELECT p.page_id, p.y, p.x FROM px p JOIN {_blur('px', I.gaussian(7))} b USING (page_id, y, x) WHERE v <= round_even(blur, 0) - 7")
+@query(f"WITH {PX} SELECT p.page_id, p.y, p.x FROM px p JOIN {_blur('px', 7, 1.4)} b USING (page_id, y, x) WHERE v <= round_even(blur, 0) - 7")
 def adaptive_ink(spark, sf_dir):
     return I.adaptive_ink(_pixels(spark, sf_dir), 7)
 
@@ -659,9 +659,10 @@ def client_panels(spark, sf_dir):
 @query(f"""WITH {_OPEN}, n AS (SELECT job_id, type, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) - 1 AS seq, count(*) FILTER (WHERE type = 'page_done') OVER (PARTITION BY job_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS page FROM open)
 SELECT job_id, seq, 'data: {{"type":"' || type || '"' || CASE WHEN type = 'page_done' THEN ',"page":' || page ELSE '' END || '}}' || chr(10) || chr(10) AS frame FROM n""")
 def job_stream(spark, sf_dir):
-    """The events as a stream with state per job, run until it has caught up; the frames it wrote."""
+    """The events as a stream with state per job, run until it has caught up; the frames it wrote. An increment takes so
+    many files at most, which bounds the events of a job that meet in a task; events are in order within it."""
     kinds = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(kinds.schema).parquet(f"{sf_dir}/events.parquet*")  # a glob: the stream takes a file as well as a folder
+    stream = spark.readStream.schema(kinds.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")  # a glob: the stream takes a file as well as a folder
     events = _as_jobs(stream).withWatermark("ts", "1 hour")
     where = f"{shared_dir(spark)}/job-stream-{uuid.uuid4().hex}"
     run = J.stream_frames(events, ttl=10 * 365 * 86_400).writeStream.format("parquet").option("path", f"{where}/frames").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
