@@ -28,14 +28,19 @@ def normal(raw: bytes) -> bytes:
     return b" ".join(raw.translate(ASCII_LOWER).split())
 
 
-def shingles(joined: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of a normal text, sorted."""
+def shingle_hashes(joined: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a normal text, in order."""
     words = joined.split(b" ")
     digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def shingles(joined: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a normal text, sorted."""
+    return np.unique(shingle_hashes(joined, shingle))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -50,6 +55,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, body binary")
 
 
+def own_shingles(bodies: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """key and n_own, how many of its shingles no other of these texts (key, body) has; texts without such are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches, 200):
+            parts = [shingles(body, shingle).view(np.int64) for body in batch.column("body").to_pylist()]
+            keys = np.repeat(batch.column("key").to_numpy(), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())], ["key", "hash"])
+
+    rows = bodies.select("key", "body").mapInArrow(run, "key long, hash long")
+    once = rows.groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("last")).where(F.col("key") == F.col("last"))
+    return once.groupBy("key").agg(F.count("*").alias("n_own"))
+
+
 def fits(a: str, b: str, alike: float = ALIKE):
     """Whether sets of these sizes can be alike."""
     return F.least(F.col(a), F.col(b)) >= F.greatest(F.col(a), F.col(b)) * (alike - 1e-9)

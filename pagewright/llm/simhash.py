@@ -11,7 +11,8 @@ of each other, and two within the radius share a midpoint, so a star around each
 similar_documents() is the same with a wide radius, where fingerprints are candidates only: five-word shingles, 12 bits
 of 64 (four fifths of the bits agree), and every pair is verified on its texts, whose shingles must have a similarity of
 0.8 or more. Only texts of fitting sizes meet. Values that many texts share first get stars around two of their texts
-and then only meet what no link connects them with.
+and then only meet what no link connects them with; and shingles that no other of those texts has count against a
+meeting, so texts that were edited in too many places to be like any other are not compared with all of them.
 
 Defined results: null text counts as empty; no words gives fingerprint 0, linked like any other; equal documents
 share a fingerprint; a null id keeps its row and never names a component unless all ids of it are null; other columns
@@ -30,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import ASCII_LOWER, BROADCAST_ROWS, durable, each_batch, raw_texts, table
-from pagewright.llm.shingles import ALIKE, SHINGLE, fits, keyed, normal, shingles, verified
+from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, raw_texts, table
+from pagewright.llm.shingles import ALIKE, SHINGLE, fits, keyed, normal, own_shingles, shingle_hashes, verified
 
 BITS = 64
 #: Fingerprints in the sample that costs are estimated on. Any choice of partitions is exact.
@@ -44,22 +45,18 @@ PROBE_COST = 20
 WIDE, CROWD = 12, 64
 
 
-def text_fingerprint(raw: bytes, shingle: int = 4) -> int:
-    """The unsigned SimHash of one text: a bit is set if over half of the shingle hashes set it."""
-    words = raw.translate(ASCII_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+def simhash(hashes: np.ndarray) -> int:
+    """The unsigned SimHash of shingle hashes: a bit is set if over half of them set it."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def text_fingerprint(raw: bytes, shingle: int = 4) -> int:
+    """The SimHash of one text; 0 without words."""
+    joined = normal(raw)
+    return simhash(shingle_hashes(joined, shingle)) if joined else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -222,9 +219,13 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches):
             bodies = [normal(raw or b"") for raw in raw_texts(batch.column("text"))]
-            prints = np.array([text_fingerprint(b, shingle) for b in bodies], np.uint64).view(np.int64)
             keys = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
-            sizes = np.array([len(shingles(b, shingle)) for b in bodies], np.int64)
+            prints, sizes = np.zeros(len(bodies), np.uint64), np.ones(len(bodies), np.int64)
+            for k, body in enumerate(bodies):
+                if body:
+                    hashes = shingle_hashes(body, shingle)
+                    prints[k], sizes[k] = simhash(hashes), len(np.unique(hashes))
+            prints = prints.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (keys, prints, sizes))], ["doc_id", "key", "fp", "size"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, fp long, size long")
@@ -236,7 +237,7 @@ def _few(side: DataFrame) -> DataFrame:
 
 
 def _centres(crowd: DataFrame) -> DataFrame:
-    """a, a_fp and a_size of the text of each crowded value (part, value, slot) that is nearest to what most bits of its
+    """a, a_fp, a_size and a_shared of the text of each crowded value (part, value, slot) that is nearest to what most bits of its
     texts are, and of the one with the least key."""
     of = ["part", "value", "slot"]
     ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{k}") for k in range(BITS)]
@@ -247,8 +248,8 @@ def _centres(crowd: DataFrame) -> DataFrame:
         middle = middle.bitwiseOR(bit)
     middle = durable(most.select(*of, middle.alias("middle")))
     near = crowd.join(_few(middle), of).withColumn("off", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
-    both = near.groupBy(*of).agg(F.min(F.struct("off", "key", "fp", "size")).alias("c"), F.min(F.struct("key", "fp", "size")).alias("d"))
-    one = lambda c: both.select(*of, F.col(f"{c}.key").alias("a"), F.col(f"{c}.fp").alias("a_fp"), F.col(f"{c}.size").alias("a_size"))
+    both = near.groupBy(*of).agg(F.min(F.struct("off", "key", "fp", "size", "shared")).alias("c"), F.min(F.struct("key", "fp", "size", "shared")).alias("d"))
+    one = lambda c: both.select(*of, F.col(f"{c}.key").alias("a"), *[F.col(f"{c}.{n}").alias(f"a_{n}") for n in ("fp", "size", "shared")])
     return durable(one("c").union(one("d")).distinct())
 
 
@@ -260,25 +261,36 @@ def candidates(texts: DataFrame, bodies: DataFrame, n: int, radius: int, alike:
     plan = plan_probes(np.array([r.fp for r in drawn], np.int64).view(np.uint64), n, radius, fit)
     masks = [sum(1 << b for b in bits) for bits, _ in plan]
     of = ["part", "value", "slot"]
-    texts = texts.select("key", "fp", "size", F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int").alias("own")).withColumnRenamed("key", "_key")
+    slot = F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int")
+    texts = texts.select(F.col("key").alias("_key"), "fp", "size", slot.alias("own"), F.lit(None).cast("long").alias("shared"))
 
     def spread(rows: DataFrame, cells: list) -> DataFrame:
         return _keys(rows, cells).withColumnsRenamed({"key": "value", "_key": "key"})
 
     index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
-    close = lambda fp, size: (F.bit_count(F.col("fp").bitwiseXOR(F.col(fp))) <= radius) & fits("size", size, alike)
+    # of two crowded texts, shingles that no other crowded text has can't be shared
+    both = F.least(F.coalesce(F.least("a_shared", "shared"), F.least("a_size", "size")), "a_size", "size")
+    alike_at_most = both >= (alike - 1e-9) * (F.col("a_size") + F.col("size") - both)
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius) & fits("size", "a_size", alike) & alike_at_most
     crowded = durable(index.groupBy(*of).count().where(F.col("count") > crowd).select(*of))
     found, big = None, None
-    texts = texts.withColumn("root", F.col("_key"))
     if not crowded.isEmpty():
+        some = durable(index.join(_few(crowded), of, "left_semi").select("key").distinct())
+        unlike = own_shingles(bodies.join(_few(some), "key", "left_semi"), shingle)
+        counted = durable(some.join(unlike, "key", "left").select(F.col("key").alias("_key"), F.coalesce("n_own", F.lit(0).cast("long")).alias("n_own")))
+        texts = durable(texts.join(_few(counted), "_key", "left").withColumn("shared", F.col("size") - F.col("n_own")).drop("n_own"))
+        index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
         members = durable(index.join(_few(crowded), of, "left_semi"))
-        stars = members.join(_few(_centres(members)), of).where((F.col("a") != F.col("key")) & close("a_fp", "a_size"))
+        stars = members.join(_few(_centres(members)), of).where((F.col("a") != F.col("key")) & close)
         found = verified(stars.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")), bodies, shingle, alike)
+        texts = texts.withColumn("root", F.col("_key"))
         if not found.isEmpty():
             roots = components(found).withColumnRenamed("root", "_root")
             texts = durable(texts.join(_few(roots), F.xxhash64("_key") == F.col("node"), "left").withColumn("root", F.coalesce("_root", "_key")).select(*texts.columns))
             rooted = members.join(_few(roots), F.xxhash64("key") == F.col("node")).groupBy(*of, F.col("_root").alias("big")).count()
             big = durable(rooted.where(F.col("count") > crowd).select(*of, "big"))
+    else:
+        texts = texts.withColumn("root", F.col("_key"))
     index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1))).withColumn("sub", F.lit(None).cast("long"))
     probes = spread(texts, [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]).withColumn("slot", F.col("own")).withColumn("sub", F.lit(0).cast("long"))
     if big is not None and not big.isEmpty():
@@ -287,10 +299,10 @@ def candidates(texts: DataFrame, bodies: DataFrame, n: int, radius: int, alike:
         index = index.join(some, [*(index[c] == big[c] for c in of), index["root"] == big["big"]], "left").select(*(index[c] for c in index.columns if c != "sub"), big["big"].alias("sub"))
         more = probes.drop("sub").join(some, of).where(F.col("root") != F.col("big")).withColumnRenamed("big", "sub")
         probes = probes.unionByName(more)
-    a = probes.select(*of, "sub", F.col("key").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("own").alias("a_own"), F.col("root").alias("a_root"))
-    b = index.select(*of, F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), F.col("key").alias("b"), "fp", "size", "own", "root")
+    a = probes.select(*of, "sub", F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("fp", "size", "shared", "own", "root")])
+    b = index.select(*of, F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), F.col("key").alias("b"), "fp", "size", "shared", "own", "root")
     once = (F.col("own") > F.col("a_own")) | (F.col("a") < F.col("b"))
-    met = a.join(b, [*of, "sub"]).where(close("a_fp", "a_size") & once & (F.col("root") != F.col("a_root")))
+    met = a.join(b, [*of, "sub"]).where(close & once & (F.col("root") != F.col("a_root")))
     rest = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bodies, shingle, alike)
     return rest if found is None else found.unionByName(rest)
 

@@ -52,3 +52,22 @@ def test_the_stage_drops_copies_with_a_few_per_cent_of_edits(spark):
     rows = [(i, edited(base, rng, 4) if i else base, "en", "a", 1) for i in range(5)] + [(9, prose(12, 400), "en", "a", 1)]
     left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert {r.doc_id for r in left} == {0, 9}
+
+
+def test_texts_edited_in_many_places_are_not_compared_with_all(spark):
+    """A text in the middle, copies with few edits, which are like it, and with more, which are like none."""
+    from pagewright.llm import shingles as S
+
+    rng = random.Random(8)
+    base = prose(21, 300)
+    rows = [(0, base)] + [(i, edited(base, rng, 2 if i % 2 else 9 + i % 5)) for i in range(1, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in N.similar_documents(docs, crowd=10).collect()}
+    assert found == plain(rows)
+    own = {r.key: r.n_own for r in S.own_shingles(S.keyed(docs)).collect()}
+    sets = {r.key: set(S.shingles(bytes(r.body)).tolist()) for r in S.keyed(docs).collect()}
+    counts = {}
+    for s in sets.values():
+        for h in s:
+            counts[h] = counts.get(h, 0) + 1
+    assert own == {k: n for k, s in sets.items() if (n := sum(counts[h] == 1 for h in s))}
