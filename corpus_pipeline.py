@@ -38,8 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest doc_id of each group of near duplicates (SimHash of five-word shingles, verified
     at a similarity of 0.8 or more); repeated rows once."""
     found = simhash.similar_documents(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  never null, so one shuffle of the texts serves join and repeats
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
+    rows = docs.select(*COLUMNS, key("doc_id").alias("_key")).join(first, "_key", "left_semi")
+    return rows.dropDuplicates(["_key", "doc_id", "text"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
