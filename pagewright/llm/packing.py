@@ -32,7 +32,7 @@ END = 2
 #: Words whose ids a worker keeps; the rest are encoded whenever they come.
 CACHE = 400_000
 #: Pieces in one bucket of ranks, on average.
-BUCKET = 2_000
+BUCKET = 250
 
 _encoders: dict = {}
 
