@@ -600,6 +600,56 @@ def http_errors(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.http_status(kind).alias("status"), S.page_file(F.col("page_id")).alias("file"))
 
 
+def _picked(values: list[str], key: str) -> str:
+    """One of these texts for each row, in turn, as SQL."""
+    return f"([{', '.join(repr(v) for v in values)}])[{key} % {len(values)} + 1]"
+
+
+def _pick(values: list[str], key: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+_ENDS_OF_NAMES = [".jpg", ".PNG", ".pdf", "", ".tiff", ".webp", ".txt", ".Jpeg", ".x.bmp"]
+
+
+@query(f"SELECT doc_id, name FROM (SELECT doc_id, 'scan' || doc_id || {_picked(_ENDS_OF_NAMES, 'doc_id')} AS name FROM documents) WHERE lower(regexp_extract(name, '(\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff', '.webp')")
+def accepted_uploads(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("scan"), "doc_id", _pick(_ENDS_OF_NAMES, "doc_id")).alias("name"))
+    return B.accepted(rows)
+
+
+_STARTS = ["scanned_", "../scanned_", ".scanned_", "page ", "other_"]
+
+
+@query(f"SELECT name FROM (SELECT {_picked(_STARTS, 'doc_id')} || doc_id || {_picked(['.pdf', '.png'], 'doc_id')} AS name FROM documents) WHERE regexp_full_match(name, 'scanned_[A-Za-z0-9._-]*\\.pdf')")
+def download_names(spark, sf_dir):
+    from pagewright.sinks.documents import downloadable
+
+    return downloadable(table(spark, sf_dir, "documents").select(F.concat(_pick(_STARTS, "doc_id"), "doc_id", _pick([".pdf", ".png"], "doc_id")).alias("name")))
+
+
+_VALUES = ["1", " TRUE ", "yes", "off", "x12", " 42 ", "", "On", "-7"]
+
+
+@query(f"SELECT doc_id, lower(trim(v)) IN ('1', 'true', 'yes', 'on') AS flag, coalesce(TRY_CAST(trim(v) AS INT), 7) AS number FROM (SELECT doc_id, {_picked(_VALUES, 'doc_id')} AS v FROM documents)")
+def setting_values(spark, sf_dir):
+    value = _pick(_VALUES, "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", S.env_flag(value).alias("flag"), S.env_int(value, 7).alias("number"))
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 12) AS id FROM pages")
+def artifact_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.artifact_id(F.col("url")).alias("id"))
+
+
+@query(f"""WITH {SIZE}, p AS (SELECT *, CASE WHEN h > w THEN 612.0::DOUBLE ELSE 792.0::DOUBLE END AS page_w, CASE WHEN h > w THEN 792.0::DOUBLE ELSE 612.0::DOUBLE END AS page_h FROM part_size), s AS (SELECT *, least(page_w / w, page_h / h) AS s FROM p)
+SELECT page_id, page_w, page_h, round((page_w - w * s) / 2, 6) AS x0, round((page_h - h * s) / 2, 6) AS y0, round((page_w - w * s) / 2 + w * s, 6) AS x1, round((page_h - h * s) / 2 + h * s, 6) AS y1 FROM s""")
+def letter_layout(spark, sf_dir):
+    """The layout of a browser's PDF: squares lie."""
+    rows = _sizes(spark, sf_dir).select("page_id", S.page_layout(F.col("w"), F.col("h"), "Letter", 0.0, wide_squares=True).alias("p")).select("page_id", "p.*")
+    return rows.select("page_id", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
+
+
 # ------------------------------------------------------------------------------------------------------------ jobs
 
 EV = "ev AS (SELECT user_id AS job_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'page_done' WHEN 'click' THEN 'scanning' WHEN 'signup' THEN 'loading' WHEN 'purchase' THEN 'done' ELSE 'error' END AS type FROM events)"
@@ -637,6 +687,15 @@ def event_frames(spark, sf_dir):
     return _events(spark, sf_dir).select("seq", J.frame(J.as_json(["job_id", "type"])).alias("frame"))
 
 
+@query(f"WITH {_OPEN} SELECT job_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS created, arg_max(type, row(ts, seq)) AS type, count(*) AS events, arg_max(type, row(ts, seq)) IN ('done', 'error', '_eof') AS ended, round_even((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 8.0::DOUBLE, 1) AS elapsed FROM open WHERE job_id % 5 <> 0 GROUP BY 1")
+def job_states(spark, sf_dir):
+    """The state of every job but deleted ones, and what it took, in units of eight seconds."""
+    events = _events(spark, sf_dir)
+    left = J.without(events, events.where("job_id % 5 = 0").select("job_id").distinct())
+    took = J.until_terminal(left).groupBy("job_id").agg(S.elapsed((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 8.0).alias("elapsed"))
+    return J.states(left).join(took, "job_id").select("job_id", F.unix_timestamp("created").alias("created"), "type", "events", "ended", "elapsed")
+
+
 @query(f"""WITH {_OPEN}, n AS (SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS following FROM open),
 g AS (SELECT job_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, CAST(floor(epoch(following)) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS gap FROM n WHERE following IS NOT NULL),
 k AS (SELECT job_id, second, unnest(range(1, CAST(floor((gap - 1) / 3600) AS BIGINT) + 1)) AS nth FROM g WHERE gap > 3600)

@@ -37,6 +37,17 @@ def progress(events: DataFrame) -> DataFrame:
     return rows.withColumn("percent", percent(F.col("page"), F.col("total")))
 
 
+def states(events: DataFrame) -> DataFrame:
+    """job_id, created, type, events, ended of every job, from its first event to the one that ends it."""
+    rows = until_terminal(events).groupBy("job_id").agg(F.min("ts").alias("created"), F.max_by("type", F.struct("ts", "seq")).alias("type"), F.count("*").alias("events"))
+    return rows.withColumn("ended", F.col("type").isin(*TERMINAL))
+
+
+def without(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """events but those of these jobs (a column job_id): the log with the jobs deleted."""
+    return events.join(jobs.select("job_id"), "job_id", "left_anti")
+
+
 def expired(events: DataFrame, now: Column, ttl: int = P.JOB_TTL) -> DataFrame:
     """job_id, created, expired of every job; its age counts from its first event."""
     jobs = events.groupBy("job_id").agg(F.min("ts").alias("created"))

@@ -40,7 +40,7 @@ def test_odd_kernel(spark, side, want):
 
 @pytest.mark.parametrize(
     ("pages", "cores", "workers", "reason"),
-    [(1, 8, 1, "only one page to scan"), (10, 1, 1, "single CPU core"), (3, 8, 3, "only 3 pages"), (20, 4, 4, "4 cores"), (20, 16, 6, "memory cap")],
+    [(1, 8, 1, "a single page"), (10, 1, 1, "a single core"), (3, 8, 3, "3 pages"), (20, 4, 4, "4 cores"), (20, 16, 6, "the cap")],
 )
 def test_pool_plan(spark, pages, cores, workers, reason):
     p, c = lit(pages, "int"), lit(cores, "int")
