@@ -269,7 +269,8 @@ def candidates(texts: DataFrame, bodies: DataFrame, n: int, radius: int, alike:
 
     index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
     # of two crowded texts, shingles that no other crowded text has can't be shared
-    both = F.least(F.coalesce(F.least("a_shared", "shared"), F.least("a_size", "size")), "a_size", "size")
+    known = F.col("a_shared").isNotNull() & F.col("shared").isNotNull()
+    both = F.when(known, F.least("a_shared", "shared")).otherwise(F.least("a_size", "size"))
     alike_at_most = both >= (alike - 1e-9) * (F.col("a_size") + F.col("size") - both)
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius) & fits("size", "a_size", alike) & alike_at_most
     crowded = durable(index.groupBy(*of).count().where(F.col("count") > crowd).select(*of))

@@ -71,3 +71,22 @@ def test_texts_edited_in_many_places_are_not_compared_with_all(spark):
         for h in s:
             counts[h] = counts.get(h, 0) + 1
     assert own == {k: n for k, s in sets.items() if (n := sum(counts[h] == 1 for h in s))}
+
+
+def test_crowded_texts_are_linked_with_others_as_well(spark):
+    """Chains of edits that lead away from a crowd: its bound must not touch pairs that are only partly in it."""
+    rng, rows = random.Random(11), []
+    base = prose(31, 260)
+    for i in range(60):
+        rows.append(edited(base, rng, i % 3))
+    for chain in range(6):
+        text = base
+        for _ in range(9):
+            text = edited(text, rng, 4)
+            rows += [text, edited(text, rng, 1)]
+    rows = [(i * 5 % 1009, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for crowd in (4, 12, 30):
+        assert {r.doc_id: r.component_id for r in N.similar_documents(docs, crowd=crowd).collect()} == want, crowd
+    assert 1 < len(set(want.values())) < len(rows)
