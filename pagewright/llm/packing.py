@@ -30,7 +30,7 @@ from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, table
 LENGTH = 1024
 END = 2
 #: Words whose ids a worker keeps; the rest are encoded whenever they come.
-CACHE = 400_000
+CACHE = 150_000
 #: Pieces in one bucket of ranks, on average.
 BUCKET = 250
 

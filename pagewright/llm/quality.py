@@ -42,7 +42,7 @@ ADDED = ["content_score", "metadata_score", "score"]
 #: Hashed features: of words in the content, and of language and source in the metadata.
 WORDS, BUCKETS = 64, 24
 #: Words whose bucket a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 #: Log-odds that count as sure are counted in so many bins, up to the most there are.
 BINS, MOST = 1024, 30.0
 
@@ -53,8 +53,7 @@ _word_bucket: dict[str, int] = {}
 
 def _character_kinds() -> np.ndarray:
     if not _kinds:
-        every = list(map(chr, range(0x110000)))
-        is_a = lambda test: np.fromiter(map(test, every), bool, len(every)).astype(np.uint8)
+        is_a = lambda test: np.fromiter(map(test, map(chr, range(0x110000))), np.uint8, 0x110000)
         plain = set(".,;:!?'\"()-_")
         symbol = is_a(lambda c: not (c.isalnum() or c.isspace() or c in plain))
         _kinds.append(is_a(str.isalpha) | is_a(str.isupper) << 1 | is_a(str.isdigit) << 2 | symbol << 3 | is_a(lambda c: c in "!|") << 4 | is_a(lambda c: c in ".?") << 5)
