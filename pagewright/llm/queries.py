@@ -10,6 +10,7 @@ from pagewright.llm.pii import op7_pii
 from pagewright.llm.prefix_hash import op5_fingerprints
 from pagewright.llm.quality import op9_quality
 from pagewright.llm.simhash import op1_simhash
+from pagewright.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE = {
