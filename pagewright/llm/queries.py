@@ -10,6 +10,7 @@ from pagewright.llm.pii import op7_pii
 from pagewright.llm.prefix_hash import op5_fingerprints
 from pagewright.llm.quality import op9_quality
 from pagewright.llm.simhash import op1_simhash
+from pagewright.llm.spelling import op13_spelling
 from pagewright.llm.whitening import op12_whitening
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE = {
