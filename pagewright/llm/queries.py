@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import line_dedup, substring_dedup, warc
+from pagewright.llm import line_dedup, minhash, substring_dedup, warc
 from pagewright.llm.ann import op4_nearest
 from pagewright.llm.mixing import op10_mixing
 from pagewright.llm.packing import op2_packing
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_minhash": minhash.op11_minhash,
     "op12_whitening": op12_whitening,
     "op13_spelling": op13_spelling,
 }
@@ -32,4 +33,5 @@ ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op11_minhash": minhash.ORACLE,
 }

@@ -1,26 +1,40 @@
-"""Word shingles of texts, and the exact check of pairs on them.
+"""Sets of word shingles, and the search for texts whose sets are alike.
 
-Two texts are alike if their sets of shingles (five words, ASCII letters lowered) have a Jaccard similarity of 0.8 or
-more. What finds the pairs is elsewhere; here every pair is decided on the texts themselves.
+Two texts are alike if their sets of shingles (words with ASCII letters lowered) have a Jaccard similarity of 0.8 or more.
+An operator deals texts out to cells in which alike texts meet; here it is decided which of those that meet are alike, on
+their full sets, so that all alike ones that met are connected:
 
-Defined results: texts without words are alike; a text of fewer words than a shingle is one shingle.
+1. Texts with the same set are one text (by a 128-bit digest of the set).
+2. In every cell, each member is compared with one of them, a star. Most groups of copies are connected by that.
+3. Members of a cell that are not connected yet are compared with each other. Of a crowded cell, texts that links connect
+   already are a group of their own, which only others meet; and shingles that no other crowded text has count against a
+   meeting, as two texts can't share them: a bound, so nothing is lost, by which texts that were edited in too many places
+   to be like any other meet none.
+
+Only sorted shingle hashes move for a comparison, and each once for all its partners of a star; texts don't. Who is
+compared is a join, so no group of copies is brought into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import ASCII_LOWER, BROADCAST_ROWS, durable, each_batch, raw_texts
+from pagewright.llm.graphs import components
 
 SHINGLE, ALIKE = 5, 0.8
-#: Into how many the pairs of one text are dealt when they are verified.
+#: Into how many the comparisons of one text are dealt.
 SALTS = 16
+#: Members of a cell from which on it is crowded.
+CROWD = 64
+#: Stands for a null id, so that one join serves all.
+NO_ID = -(1 << 63)
 
 
 def normal(raw: bytes) -> bytes:
@@ -43,67 +57,190 @@ def shingles(joined: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(joined, shingle))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the normal text) and body (the normal text) of every document."""
+def set_key(hashes: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def profiles(docs: DataFrame, shingle: int, describe: Callable[[np.ndarray, np.ndarray], object], kind: str, empty: bool = True) -> DataFrame:
+    """doc_id, key (of the set; null without words unless they count as alike), size (of the set) and what `describe`
+    makes of a text's shingle hashes (in order, and distinct) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in each_batch(batches):
-            bodies = [normal(raw or b"") for raw in raw_texts(batch.column("text"))]
-            keys = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "key", "body"])
+        for batch in each_batch(batches, 500):
+            keys, sizes, found = [], [], []
+            for raw in raw_texts(batch.column("text")):
+                body = normal(raw or b"")
+                if not body and not empty:
+                    keys.append(None), sizes.append(0), found.append(None)
+                    continue
+                hashes = shingle_hashes(body, shingle)
+                own = np.unique(hashes)
+                keys.append(set_key(own)), sizes.append(len(own)), found.append(describe(hashes, own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "size", kind])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, body binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, key binary, size long, {kind} array<long>")
 
 
-def own_shingles(bodies: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """key and n_own, how many of its shingles no other of these texts (key, body) has; texts without such are left out."""
+def distinct_texts(rows: DataFrame, kind: str) -> DataFrame:
+    """id (a number of its own), key, first (the least doc_id), size and `kind` of every distinct set of profiles."""
+    found = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first(kind).alias(kind))
+    return durable(found.withColumn("id", F.monotonically_increasing_id()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in each_batch(batches, 200):
-            parts = [shingles(body, shingle).view(np.int64) for body in batch.column("body").to_pylist()]
-            keys = np.repeat(batch.column("key").to_numpy(), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())], ["key", "hash"])
 
-    rows = bodies.select("key", "body").mapInArrow(run, "key long, hash long")
-    once = rows.groupBy("hash").agg(F.min("key").alias("key"), F.max("key").alias("last")).where(F.col("key") == F.col("last"))
-    return once.groupBy("key").agg(F.count("*").alias("n_own"))
+def few(side: DataFrame) -> DataFrame:
+    """A side that is broadcast while it is counted to be few."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
 
+class Sets:
+    """The shingle sets of texts, made from the documents when they are needed, for those that are."""
 
-def fits(a: str, b: str, alike: float = ALIKE):
-    """Whether sets of these sizes can be alike."""
-    return F.least(F.col(a), F.col(b)) >= F.greatest(F.col(a), F.col(b)) * (alike - 1e-9)
+    def __init__(self, docs: DataFrame, texts: DataFrame, shingle: int):
+        self.docs, self.texts, self.shingle = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), "text"), texts, shingle
 
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id and set (sorted hashes as bytes) of these ids."""
+        shingle = self.shingle
 
-def verified(pairs: DataFrame, bodies: DataFrame, shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
-    """Those pairs (a, b) of keys whose texts (bodies: key, body) are alike. A text that is in many pairs is dealt out in several copies."""
-    pairs = durable(pairs.distinct().withColumns({"sa": F.pmod(F.xxhash64("b"), F.lit(SALTS)), "sb": F.pmod(F.xxhash64("a"), F.lit(SALTS))}))
-    some = durable(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    bodies = durable(bodies.select("key", "body").join(some, "key", "left_semi").groupBy("key").agg(F.first("body").alias("body")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in each_batch(batches, 500):
+                own = [shingles(normal(raw or b""), shingle) for raw in raw_texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "set"])
 
-    def texts(node: str, salt: str) -> DataFrame:
-        need = pairs.select(node, salt).distinct()
-        return need.join(bodies.select(F.col("key").alias(node), F.col("body").alias(f"body_{node}")), node)
+        need = durable(self.texts.join(few(durable(ids.distinct())), "id", "left_semi").select("id", "key", F.coalesce("first", F.lit(NO_ID)).alias("_doc")))
+        side = few(need)
+        rows = self.docs.join(side.select("_doc").distinct() if need.count() > BROADCAST_ROWS else F.broadcast(need.select("_doc").distinct()), "_doc", "left_semi")
+        made = rows.select("text").mapInArrow(run, "key binary, set binary")
+        return durable(made.join(side.select("id", "key"), "key").groupBy("id").agg(F.first("set").alias("set")))
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """id and n_own, how many of its shingles no other of these sets has; those without such are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        for batch in each_batch(batches, 200):
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *parts]))], ["id", "hash"])
 
-        def of(key: int, body: bytes) -> np.ndarray:
-            if key not in known:
-                if len(known) > 500:
-                    known.clear()
-                known[key] = shingles(body, shingle)
-            return known[key]
+    rows = sets.mapInArrow(run, "id long, hash long")
+    once = rows.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("last")).where(F.col("id") == F.col("last"))
+    return once.groupBy("id").agg(F.count("*").alias("n_own"))
 
-        for batch in each_batch(batches, 500):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, j, x, y in zip(a, b, batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
-                u, v = of(i, x), of(j, y)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= (alike - 1e-9) * (len(u) + len(v) - both))
-            some = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in some], pa.int64()), pa.array([b[k] for k in some], pa.int64())], ["a", "b"])
-
-    rows = pairs.join(texts("a", "sa"), ["a", "sa"]).join(texts("b", "sb"), ["b", "sb"])
-    return durable(rows.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long"))
+
+def compared(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """Those pairs (a, b) of ids whose sets are alike. The partners of a text stream past its set, in up to SALTS streams."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    partners = pairs.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.col("b").alias("other"), "set")
+    heads = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("other"), "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
+        for batch in batches:
+            found_a, found_b = [], []
+            for a, b, held in zip(batch.column("a").to_pylist(), batch.column("other").to_pylist(), batch.column("set"), strict=True):
+                own = np.frombuffer(held.as_buffer(), np.uint64)
+                if b is None:
+                    head = own.copy()
+                    continue
+                both = len(np.intersect1d(head, own, assume_unique=True))
+                if both >= (alike - 1e-9) * (len(head) + len(own) - both):
+                    found_a.append(a), found_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    rows = partners.union(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
+    return durable(rows.mapInArrow(run, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, sets: Sets, alike: float) -> DataFrame:
+    """The pairs (a, b), in any order and repeated, that are alike."""
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return compared(pairs, sets.of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), alike)
+
+
+def _ends(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as those of the other side of a meeting."""
+    return rows.select(*[F.col(c).alias(f"a_{c}") if c not in ("cell", "sub") else F.col(c) for c in columns])
+
+
+def connect(
+    texts: DataFrame,
+    sets: Sets,
+    index: Callable[[DataFrame], DataFrame],
+    probes: Callable[[DataFrame], DataFrame] | None = None,
+    close: Column | None = None,
+    alike: float = ALIKE,
+    crowd: int = CROWD,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Links (a, b) that, with those known, connect all texts (id, size and what close reads) that are alike and meet.
+
+    index makes a row for every cell of a text, probes for every cell that it looks into (without: its own), each with a
+    long `cell`; close is a condition on columns x and a_x of the two sides."""
+    limit = F.lit(alike - 1e-9)
+    texts = texts.withColumn("shared", F.lit(None).cast("long"))
+    counts = index(texts).groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+    members = durable(index(texts).join(counts, "cell"))
+    hot = F.col("members") > crowd
+    crowded = durable(members.where(hot).select("id").distinct())
+    if not crowded.isEmpty():
+        own = durable(crowded.join(own_shingles(sets.of(crowded)), "id", "left").select("id", F.coalesce("n_own", F.lit(0).cast("long")).alias("n_own")))
+        side = few(own)
+        told = lambda rows: rows.join(side, "id", "left").withColumn("shared", F.col("size") - F.col("n_own")).drop("n_own")
+        texts, members = told(texts), durable(told(members))
+    columns = [c for c in members.columns if c != "members"]
+
+    fits = F.least("a_size", "size") >= limit * F.greatest("a_size", "size")
+    both = F.when(F.col("a_shared").isNotNull() & F.col("shared").isNotNull(), F.least("a_shared", "shared")).otherwise(F.least("a_size", "size"))
+    may = fits & (both >= limit * (F.col("a_size") + F.col("size") - both))
+    may = may if close is None else may & close
+
+    # the member with the least share of shingles of its own is what most others were made from
+    rank = F.coalesce(1 - F.col("shared") / F.col("size"), F.lit(0.0))
+    centre = members.groupBy("cell").agg(F.min_by(F.struct(*[c for c in columns if c != "cell"]), F.struct(rank, "id")).alias("c"))
+    stars = members.join(centre.select("cell", *[F.col(f"c.{c}").alias(f"a_{c}") for c in columns if c != "cell"]), "cell")
+    found = _verified(stars.where((F.col("id") != F.col("a_id")) & may).select(F.col("a_id").alias("a"), F.col("id").alias("b")), sets, alike)
+
+    links = found if known is None else found.union(known)
+    node = F.xxhash64("id")
+    if links.isEmpty():
+        rooted = lambda rows: rows.withColumn("root", node)
+    else:
+        roots = few(durable(components(links)))
+        rooted = lambda rows: rows.join(roots, node == roots["node"], "left").withColumn("root", F.coalesce("root", node)).drop("node")
+    members = durable(rooted(members))
+    columns = [*columns, "root"]
+    dead = hot & F.coalesce(F.col("shared") < limit * F.col("size"), F.lit(False))
+    # of a crowded cell, what is connected already is a group that only others meet
+    groups = durable(members.where(hot & ~dead).groupBy("cell", F.col("root").alias("sub")).count().where(F.col("count") > crowd).select("cell", "sub"))
+    if probes is None:
+        b = a = members.where(~dead).select(*columns)
+    else:
+        full = durable(members.where(hot).select("cell").distinct())
+        kept = lambda rows: rows.join(few(full.withColumn("members", F.lit(crowd + 1))), "cell", "left").where(~F.coalesce(dead, F.lit(False))).drop("members")
+        a, b = kept(rooted(probes(texts))).select(*columns), kept(rooted(index(texts))).select(*columns)
+    none = F.lit(0).cast("long")
+    if groups.isEmpty():
+        a, b = a.withColumn("sub", none), b.withColumn("sub", none)
+    else:
+        some = few(groups)
+        grouped = some.select("cell", F.col("sub").alias("root"), "sub")
+        b = b.join(grouped, ["cell", "root"], "left").select(*columns, F.coalesce("sub", none).alias("sub"))
+        others = a.join(some, "cell").where(F.col("root") != F.col("sub")).select(*columns, "sub")
+        a = a.select(*columns, none.alias("sub")).unionByName(others)
+    columns = [*columns, "sub"]
+    met = _ends(a, columns).join(b, ["cell", "sub"])
+    twice = F.col("a_id") < F.col("id") if probes is None else F.col("a_id") != F.col("id")
+    met = met.where((twice | (F.col("sub") != 0)) & (F.col("a_id") != F.col("id")) & (F.col("root") != F.col("a_root")) & may)
+    return found.union(_verified(met.select(F.col("a_id").alias("a"), F.col("id").alias("b")), sets, alike))
+
+
+def named(rows: DataFrame, texts: DataFrame, links: DataFrame | None) -> DataFrame:
+    """rows (with key) and component_id, the least doc_id that links reach from its text; null without a key."""
+    owner = texts.select("key", "first", F.xxhash64("id").alias("node"))
+    if links is not None and not links.isEmpty():
+        owner = owner.join(components(links), "node", "left").withColumn("node", F.coalesce("root", "node"))
+    owner = durable(owner.select("key", "first", "node"))
+    owner = owner.join(owner.groupBy("node").agg(F.min("first").alias("component_id")), "node").select("key", "component_id")
+    return rows.join(owner, "key", "left")

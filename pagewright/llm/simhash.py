@@ -9,10 +9,10 @@ fingerprints share are linked without pairs: fingerprints within radius // 2 fli
 of each other, and two within the radius share a midpoint, so a star around each midpoint keeps every connection.
 
 similar_documents() is the same with a wide radius, where fingerprints are candidates only: five-word shingles, 12 bits
-of 64 (four fifths of the bits agree), and every pair is verified on its texts, whose shingles must have a similarity of
-0.8 or more. Only texts of fitting sizes meet. Values that many texts share first get stars around two of their texts
-and then only meet what no link connects them with; and shingles that no other of those texts has count against a
-meeting, so texts that were edited in too many places to be like any other are not compared with all of them.
+of 64 (four fifths of the bits agree), and every pair is verified on its sets of shingles, which must have a similarity of
+0.8 or more (see shingles.py). At that similarity one fingerprint brings only some five pairs in six within 12 bits, and
+a wider radius costs far more than another fingerprint; so a text has two, of independent hashes of the same shingles, and
+is linked by either. Only texts of fitting sizes meet.
 
 Defined results: null text counts as empty; no words gives fingerprint 0, linked like any other; equal documents
 share a fingerprint; a null id keeps its row and never names a component unless all ids of it are null; other columns
@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, raw_texts, table
-from pagewright.llm.shingles import ALIKE, SHINGLE, fits, keyed, normal, own_shingles, shingle_hashes, verified
+from pagewright.llm.common import durable, each_batch, raw_texts, table
+from pagewright.llm.graphs import components
+from pagewright.llm.shingles import ALIKE, CROWD, SHINGLE, Sets, connect, distinct_texts, named, normal, profiles, shingle_hashes
 
 BITS = 64
 #: Fingerprints in the sample that costs are estimated on. Any choice of partitions is exact.
@@ -41,8 +42,8 @@ SAMPLE = 4096
 HOT = 2000
 #: What a shuffled probe costs, in verified pairs.
 PROBE_COST = 20
-#: Bits that may differ where texts are verified, and texts that share a value beyond which stars come first.
-WIDE, CROWD = 12, 64
+#: Bits that may differ where texts are verified, and fingerprints of which one has to be that close.
+WIDE, FAMILIES = 12, 2
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -171,32 +172,6 @@ def links(fps: DataFrame, n: int, radius: int = 4, hot: int = HOT) -> DataFrame:
     return found.union(star.select("a", F.col("fp").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root of every node that an edge (a, b) touches; connected nodes, and only those, share a root.
-
-    Each round gives a node the least label within two steps and contracts the graph by it, so that the labels left
-    shrink by a factor; the labels are node numbers scattered by xxhash64, which maps longs one to one, so no order in
-    the input makes a long chain of rounds.
-    """
-    edge = durable(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")).where("u <> v").distinct())
-    roots = None
-    while True:
-        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("near"))
-        far = both.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("near").alias("far"))
-        label = durable(near.join(far, "u").select("u", F.least("near", "far").alias("label")))
-        if roots is None:
-            roots = label.select(F.col("u").alias("node"), F.col("label").alias("root"))
-        else:
-            step = label.select(F.col("u").alias("root"), "label")
-            roots = durable(roots.join(step, "root", "left").select("node", F.coalesce("label", "root").alias("root")))
-        moved = edge.join(label, "u").select(F.col("label").alias("a"), "v")
-        moved = moved.join(label.withColumnRenamed("u", "v"), "v").select("a", F.col("label").alias("b")).where("a <> b")
-        edge = durable(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        if edge.isEmpty():
-            return roots
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach) of every document."""
     marked = durable(fingerprints(docs, shingle))
@@ -213,115 +188,64 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, hot: int
     return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (a hash of the words), fp and size (the number of distinct shingles) of every document."""
+def mixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    """Hashes of another family, made from these one to one; family 0 leaves them as they are."""
+    if not family:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * family % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in each_batch(batches):
-            bodies = [normal(raw or b"") for raw in raw_texts(batch.column("text"))]
-            keys = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
-            prints, sizes = np.zeros(len(bodies), np.uint64), np.ones(len(bodies), np.int64)
-            for k, body in enumerate(bodies):
-                if body:
-                    hashes = shingle_hashes(body, shingle)
-                    prints[k], sizes[k] = simhash(hashes), len(np.unique(hashes))
-            prints = prints.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (keys, prints, sizes))], ["doc_id", "key", "fp", "size"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, fp long, size long")
-
-
-def _few(side: DataFrame) -> DataFrame:
-    """A side that is broadcast while it is counted to be few."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
-def _centres(crowd: DataFrame) -> DataFrame:
-    """a, a_fp, a_size and a_shared of the text of each crowded value (part, value, slot) that is nearest to what most bits of its
-    texts are, and of the one with the least key."""
-    of = ["part", "value", "slot"]
-    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{k}") for k in range(BITS)]
-    most = crowd.groupBy(*of).agg(F.count("*").alias("n"), *ones)
-    bits = [F.when(F.col(f"b{k}") * 2 > F.col("n"), F.lit(_signed(1 << k)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(BITS)]
-    middle = bits[0]
-    for bit in bits[1:]:
-        middle = middle.bitwiseOR(bit)
-    middle = durable(most.select(*of, middle.alias("middle")))
-    near = crowd.join(_few(middle), of).withColumn("off", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
-    both = near.groupBy(*of).agg(F.min(F.struct("off", "key", "fp", "size", "shared")).alias("c"), F.min(F.struct("key", "fp", "size", "shared")).alias("d"))
-    one = lambda c: both.select(*of, F.col(f"{c}.key").alias("a"), *[F.col(f"{c}.{n}").alias(f"a_{n}") for n in ("fp", "size", "shared")])
-    return durable(one("c").union(one("d")).distinct())
-
-
-def candidates(texts: DataFrame, bodies: DataFrame, n: int, radius: int, alike: float, crowd: int = CROWD, shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between the keys of texts (key, fp, size) that connect all those within the radius that are alike."""
-    drawn = texts.orderBy(F.xxhash64("key")).limit(SAMPLE).collect()
+
+def _cells(rows: DataFrame, fp, cells: list[tuple[int, int, int]], slots: list[int]) -> DataFrame:
+    """A row for each partition and flip and each of the size classes that these steps lead to: cell tells them apart."""
+    of = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip")) for p, mask, flip in cells])
+    keys = [F.transform(of, lambda c, step=step: F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step)) for step in slots]
+    return rows.select(*rows.columns, F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
+
+
+def alike_links(texts: DataFrame, sets: Sets, n: int, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect all texts (id, size, fps) which are alike and within the radius in one of their
+    fingerprints."""
+    drawn = texts.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
     slots = np.array([int(log(r["size"]) / -log(alike)) for r in drawn])
     fit = float(np.mean(np.isin(slots[:1000, None] - slots[None, :1000], (0, 1)))) / 2 + 0.5 / len(slots)
-    plan = plan_probes(np.array([r.fp for r in drawn], np.int64).view(np.uint64), n, radius, fit)
-    masks = [sum(1 << b for b in bits) for bits, _ in plan]
-    of = ["part", "value", "slot"]
-    slot = F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int")
-    texts = texts.select(F.col("key").alias("_key"), "fp", "size", slot.alias("own"), F.lit(None).cast("long").alias("shared"))
-
-    def spread(rows: DataFrame, cells: list) -> DataFrame:
-        return _keys(rows, cells).withColumnsRenamed({"key": "value", "_key": "key"})
-
-    index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
-    # of two crowded texts, shingles that no other crowded text has can't be shared
-    known = F.col("a_shared").isNotNull() & F.col("shared").isNotNull()
-    both = F.when(known, F.least("a_shared", "shared")).otherwise(F.least("a_size", "size"))
-    alike_at_most = both >= (alike - 1e-9) * (F.col("a_size") + F.col("size") - both)
-    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius) & fits("size", "a_size", alike) & alike_at_most
-    crowded = durable(index.groupBy(*of).count().where(F.col("count") > crowd).select(*of))
-    found, big = None, None
-    if not crowded.isEmpty():
-        some = durable(index.join(_few(crowded), of, "left_semi").select("key").distinct())
-        unlike = own_shingles(bodies.join(_few(some), "key", "left_semi"), shingle)
-        counted = durable(some.join(unlike, "key", "left").select(F.col("key").alias("_key"), F.coalesce("n_own", F.lit(0).cast("long")).alias("n_own")))
-        texts = durable(texts.join(_few(counted), "_key", "left").withColumn("shared", F.col("size") - F.col("n_own")).drop("n_own"))
-        index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1)))
-        members = durable(index.join(_few(crowded), of, "left_semi"))
-        stars = members.join(_few(_centres(members)), of).where((F.col("a") != F.col("key")) & close)
-        found = verified(stars.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")), bodies, shingle, alike)
-        texts = texts.withColumn("root", F.col("_key"))
-        if not found.isEmpty():
-            roots = components(found).withColumnRenamed("root", "_root")
-            texts = durable(texts.join(_few(roots), F.xxhash64("_key") == F.col("node"), "left").withColumn("root", F.coalesce("_root", "_key")).select(*texts.columns))
-            rooted = members.join(_few(roots), F.xxhash64("key") == F.col("node")).groupBy(*of, F.col("_root").alias("big")).count()
-            big = durable(rooted.where(F.col("count") > crowd).select(*of, "big"))
-    else:
-        texts = texts.withColumn("root", F.col("_key"))
-    index = spread(texts, [(p, mask, 0) for p, mask in enumerate(masks)]).withColumn("slot", F.explode(F.array("own", F.col("own") - 1))).withColumn("sub", F.lit(None).cast("long"))
-    probes = spread(texts, [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]).withColumn("slot", F.col("own")).withColumn("sub", F.lit(0).cast("long"))
-    if big is not None and not big.isEmpty():
-        # of a crowded value, texts that links connect already are a group of their own, which only others probe
-        some = _few(big)
-        index = index.join(some, [*(index[c] == big[c] for c in of), index["root"] == big["big"]], "left").select(*(index[c] for c in index.columns if c != "sub"), big["big"].alias("sub"))
-        more = probes.drop("sub").join(some, of).where(F.col("root") != F.col("big")).withColumnRenamed("big", "sub")
-        probes = probes.unionByName(more)
-    a = probes.select(*of, "sub", F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("fp", "size", "shared", "own", "root")])
-    b = index.select(*of, F.coalesce("sub", F.lit(0).cast("long")).alias("sub"), F.col("key").alias("b"), "fp", "size", "shared", "own", "root")
-    once = (F.col("own") > F.col("a_own")) | (F.col("a") < F.col("b"))
-    met = a.join(b, [*of, "sub"]).where(close & once & (F.col("root") != F.col("a_root")))
-    rest = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bodies, shingle, alike)
-    return rest if found is None else found.unionByName(rest)
-
-
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
-    """doc_id, key, fp and component_id (the least doc_id that links reach) of every document. Texts are linked whose
-    fingerprints differ in `radius` bits at most and whose shingles are alike."""
-    rows = durable(profiles(docs, shingle))
-    texts = durable(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")))
+    own = F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int")
+    found = None
+    for family in range(len(drawn[0]["fps"])):
+        plan = plan_probes(np.array([r["fps"][family] for r in drawn], np.int64).view(np.uint64), n, radius, fit)
+        masks = [sum(1 << b for b in bits) for bits, _ in plan]
+        exact = [(p, mask, 0) for p, mask in enumerate(masks)]
+        flips = [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]
+        rows = texts.select("id", "size", F.col("fps")[family].alias("fp"), own.alias("own"))
+        # a text looks for those of its own size class and the next one up, which are filed under theirs and the one below
+        more = connect(
+            rows,
+            sets,
+            index=lambda t, exact=exact: _cells(t, F.col("fp"), exact, [0, -1]),
+            probes=lambda t, flips=flips: _cells(t, F.col("fp"), flips, [0]),
+            close=F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius,
+            alike=alike,
+            crowd=crowd,
+            known=found,
+        )
+        found = durable(more if found is None else found.union(more))
+    return found
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD, families: int = FAMILIES) -> DataFrame:
+    """doc_id, fps and component_id (the least doc_id that links reach) of every document. Texts are linked whose
+    fingerprints differ in `radius` bits at most in one of the families and whose shingles are alike."""
+
+    def describe(hashes: np.ndarray, own: np.ndarray) -> list[int]:
+        return [_signed(simhash(mixed(hashes, k))) for k in range(families)]
+
+    rows = durable(profiles(docs, shingle, describe, "fps"))
+    texts = distinct_texts(rows, "fps")
     n = texts.count()
-    rooted = texts.select("key", "first", F.xxhash64("key").alias("node"))
-    if n > 1:
-        edges = durable(candidates(texts.select("key", "fp", "size"), keyed(docs), n, radius, alike, crowd, shingle))
-        if not edges.isEmpty():
-            rooted = rooted.join(components(edges), "node", "left").withColumn("node", F.coalesce("root", "node"))
-    rooted = durable(rooted.select("key", "first", "node"))
-    owner = rooted.join(rooted.groupBy("node").agg(F.min("first").alias("component_id")), "node")
-    return rows.join(owner.select("key", "component_id"), "key").select("doc_id", "key", "fp", "component_id")
+    links = alike_links(texts.select("id", "size", "fps"), Sets(docs, texts, shingle), n, radius, alike, crowd) if n > 1 else None
+    return named(rows, texts, links).select("doc_id", "fps", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

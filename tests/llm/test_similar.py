@@ -1,20 +1,42 @@
 import random
 
+import xxhash
+
 import corpus_pipeline
 from pagewright.llm import simhash as N
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
 
-def plain(docs):
-    """doc_id: component of every document, all pairs compared on the words themselves."""
-
+def sets_of(docs):
     def parts(text):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-    sets, prints = {d: parts(t) for d, t in docs}, {d: brute.simhash(t, 5) for d, t in docs}
-    return brute.classes(list(sets), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= N.WIDE and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return {d: parts(t) for d, t in docs}
+
+
+def second(text):
+    """The fingerprint of the second family, in whole numbers."""
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    hashes, most = [], (1 << 64) - 1
+    for i in range(max(1, len(w) - 4)):
+        x = (xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) + 0x9E3779B97F4A7C15) & most
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & most
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & most
+        hashes.append(x ^ (x >> 31))
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain(docs):
+    """doc_id: component of every document, all pairs compared on the words themselves."""
+    sets, prints = sets_of(docs), {d: (brute.simhash(t, 5), second(t)) for d, t in docs}
+
+    def linked(a, b):
+        near = min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= N.WIDE or not sets[a] - {()}
+        return near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    return brute.classes(list(sets), linked)
 
 
 def edited(text, rng, edits):
@@ -64,8 +86,8 @@ def test_texts_edited_in_many_places_are_not_compared_with_all(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in N.similar_documents(docs, crowd=10).collect()}
     assert found == plain(rows)
-    own = {r.key: r.n_own for r in S.own_shingles(S.keyed(docs)).collect()}
-    sets = {r.key: set(S.shingles(bytes(r.body)).tolist()) for r in S.keyed(docs).collect()}
+    own = {r.id: r.n_own for r in S.own_shingles(spark.createDataFrame([(i, bytearray(S.shingles(S.normal(t.encode())).tobytes())) for i, t in rows], "id long, set binary")).collect()}
+    sets = sets_of(rows)
     counts = {}
     for s in sets.values():
         for h in s:
@@ -82,11 +104,28 @@ def test_crowded_texts_are_linked_with_others_as_well(spark):
     for chain in range(6):
         text = base
         for _ in range(9):
-            text = edited(text, rng, 4)
+            text = edited(text, rng, (4, 6, 9)[chain % 3])
             rows += [text, edited(text, rng, 1)]
+    for k in range(5):
+        rows += [prose(40 + k, 200), prose(40 + k, 200) + " more", prose(60 + k, 50)]
     rows = [(i * 5 % 1009, t) for i, t in enumerate(rows)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain(rows)
+    assert 12 < len(set(want.values())) < len(rows) - 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     for crowd in (4, 12, 30):
         assert {r.doc_id: r.component_id for r in N.similar_documents(docs, crowd=crowd).collect()} == want, crowd
-    assert 1 < len(set(want.values())) < len(rows)
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs with a similarity of 0.8 to 0.86, whatever their fingerprints: nine in ten or more are linked, and no others."""
+    rng, rows = random.Random(21), []
+    for k in range(220):
+        base = prose(500 + k, rng.randint(120, 500))
+        n = len(base.split())
+        rows += [(2 * k, base), (2 * k + 1, edited(base, rng, max(1, round(n * rng.uniform(0.015, 0.026)))))]
+    sets = sets_of(rows)
+    alike = {k for k in range(220) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    found = {r.doc_id: r.component_id for r in N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k for k in range(220) if found[2 * k + 1] == 2 * k}
+    assert linked <= alike and len(linked) >= 0.9 * len(alike) and 60 < len(alike) < 220
+    assert all(found[2 * k] == 2 * k for k in range(220))
