@@ -201,7 +201,11 @@ def mixed(hashes: np.ndarray, family: int) -> np.ndarray:
 def _cells(rows: DataFrame, fp, cells: list[tuple[int, int, int]], slots: list[int]) -> DataFrame:
     """A row for each partition and flip and each of the size classes that these steps lead to: cell tells them apart."""
     of = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip")) for p, mask, flip in cells])
-    keys = [F.transform(of, lambda c, step=step: F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step)) for step in slots]
+
+    def keys_of(step: int):
+        return F.transform(of, lambda c: F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step))
+
+    keys = [keys_of(step) for step in slots]
     return rows.select(*rows.columns, F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
 
 
