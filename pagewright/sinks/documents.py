@@ -92,17 +92,19 @@ def thumbnails(images: DataFrame, side: int = P.THUMBNAIL) -> DataFrame:
     return R.each_page(images, small)
 
 
-def _pdf(pages: list[tuple], border: bool) -> bytes:
-    """A PDF of one image per page. pages: width, height, channels, data, thickness, page box and image box."""
+def _pdf(pages: list[tuple], border: bool, quality: int | None) -> bytes:
+    """A PDF of one image per page, without loss or as JPEG of a quality. pages: width, height, channels, data, thickness, page box and image box."""
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
     kids = []
     for w, h, n, data, thickness, page_w, page_h, x0, y0, x1, y1 in pages:
-        image = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, ::-1]
-        body = zlib.compress((framed(image, thickness) if border else image).tobytes())
+        image = np.frombuffer(data, np.uint8).reshape(h, w, n)
+        image = framed(image, thickness) if border else image
+        body = zlib.compress(image[:, :, ::-1].tobytes()) if quality is None else jpeg(image, quality)
+        form = "FlateDecode" if quality is None else "DCTDecode"
         draw = f"q {x1 - x0:.4f} 0 0 {y1 - y0:.4f} {x0:.4f} {page_h - y1:.4f} cm /I Do Q".encode()
         at = len(objects) + 1
         space = "DeviceRGB" if n == 3 else "DeviceGray"
-        objects.append(f"<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{space} /BitsPerComponent 8 /Filter /FlateDecode /Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream")
+        objects.append(f"<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{space} /BitsPerComponent 8 /Filter /{form} /Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream")
         objects.append(f"<< /Length {len(draw)} >>\nstream\n".encode() + draw + b"\nendstream")
         objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {page_w:g} {page_h:g}] /Resources << /XObject << /I {at} 0 R >> >> /Contents {at + 1} 0 R >>".encode())
         kids.append(f"{at + 2} 0 R")
@@ -116,8 +118,9 @@ def _pdf(pages: list[tuple], border: bool) -> bytes:
     return bytes(out + f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode())
 
 
-def assemble(images: DataFrame, page_size: str | None = "A4", margin: float = 0.0, border: bool = True) -> DataFrame:
-    """One PDF artifact per document of images (doc_id, page_no, width, height, channels, data): name, content. A task
+def assemble(images: DataFrame, page_size: str | None = "A4", margin: float = 0.0, border: bool = True, quality: int | None = None) -> DataFrame:
+    """One PDF artifact per document of images (doc_id, page_no, width, height, channels, data): name, content; pages are
+    kept without loss, or as JPEG of a quality. A task
     assembles one document at a time; the sources bound a document's pages and bytes."""
     box = page_layout(F.col("width"), F.col("height"), page_size, margin)
     rows = images.select("doc_id", "page_no", "width", "height", "channels", "data", frame_thickness(F.col("width"), F.col("height")).alias("thickness"), box.alias("box")).select("*", "box.*").drop("box")
@@ -125,7 +128,7 @@ def assemble(images: DataFrame, page_size: str | None = "A4", margin: float = 0.
     def write(pages: pd.DataFrame) -> pd.DataFrame:
         pages = pages.sort_values("page_no")
         columns = ["width", "height", "channels", "data", "thickness", "page_w", "page_h", "x0", "y0", "x1", "y1"]
-        content = _pdf(list(pages[columns].itertuples(index=False, name=None)), border)
+        content = _pdf(list(pages[columns].itertuples(index=False, name=None)), border, quality)
         return pd.DataFrame({"doc_id": [pages["doc_id"].iloc[0]], "content": [content]})
 
     done = rows.groupBy("doc_id").applyInPandas(write, "doc_id string, content binary") if dict(images.dtypes)["doc_id"] == "string" else rows.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("doc_id").applyInPandas(write, "doc_id string, content binary")

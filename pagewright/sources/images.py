@@ -1,4 +1,4 @@
-"""Image files and image-only PDFs as rows.
+"""Image files and image-only PDFs (see pdfs.py) as rows.
 
 Files are read by Spark's own readers, so any store that Spark reaches will do; a file that cannot be decoded becomes a
 row with an error and is never dropped silently.
@@ -6,8 +6,6 @@ row with an error and is never dropped silently.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewright import params as P
 from pagewright.functions.scalars import is_image_name
-
+from pagewright.sources.pdfs import decoded_pages, read_page_streams
 
 
 def suffix_glob(suffixes: tuple[str, ...]) -> str:
@@ -100,88 +98,10 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(_name("path").alias("name"), kind.alias("content_type"), F.col("length").alias("size"), "content").where(is_image_name(F.col("name")))
 
 
-_OBJECT = re.compile(rb"(?:^|\s)(\d+) 0 obj\s*(<<.*?>>)\s*(stream\r?\n|endobj)", re.S)
-_COMPONENTS = {b"DeviceGray": 1, b"DeviceRGB": 3, b"DeviceCMYK": 4}
-
-
-def _number(key: bytes, head: bytes) -> int:
-    found = re.search(rb"/" + key + rb" (\d+)", head)
-    return int(found[1]) if found else 0
-
-
-def _references(key: bytes, head: bytes) -> list[int]:
-    """The objects that an entry of a dictionary refers to, one or a list."""
-    found = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+ 0 R)", head)
-    return [int(n) for n in re.findall(rb"(\d+) 0 R", found[1])] if found else []
-
-
-def _leaves(objects: dict[int, tuple[bytes, int]]) -> Iterator[bytes]:
-    """The page dictionaries in the order of the page tree."""
-    roots = [n for head, _ in objects.values() if b"/Catalog" in head for n in _references(b"Pages", head)]
-    todo, seen = list(reversed(roots)), set()
-    while todo:
-        n = todo.pop()
-        if n in seen or n not in objects:
-            continue
-        seen.add(n)
-        head = objects[n][0]
-        if re.search(rb"/Type\s*/Pages\b", head):
-            todo += reversed(_references(b"Kids", head))
-        else:
-            yield head
-
-
-def as_bgr(raw: np.ndarray, components: int) -> np.ndarray:
-    """Pixels of one, three or more components as BGR: gray three times; of four and more the inverse of three."""
-    if components == 1:
-        return np.repeat(raw.reshape(-1, 1), 3, axis=1)
-    rgb = raw.reshape(-1, components)[:, :3]
-    return (255 - rgb if components >= 4 else rgb)[:, ::-1]
-
-
-def pdf_images(data: bytes, limit: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
-    """Width, height, channels and BGR bytes of the image of each page of a PDF whose pages are single images, in the
-    order of its pages."""
-    objects = {int(m[1]): (m[2], m.end()) for m in _OBJECT.finditer(data)}
-    for page, leaf in enumerate(_leaves(objects)):
-        if limit is not None and page >= limit:
-            return
-        shown = [n for n in map(int, re.findall(rb"(\d+) 0 R", b"".join(re.findall(rb"/XObject\s*<<(.*?)>>", leaf, re.S)))) if n in objects and re.search(rb"/Subtype\s*/Image\b", objects[n][0])]
-        if len(shown) != 1:
-            raise ValueError("a page that is not a plain image")
-        head, start = objects[shown[0]]
-        w, h = _number(b"Width", head), _number(b"Height", head)
-        n = next((k for name, k in _COMPONENTS.items() if name in head), 0)
-        if b"/FlateDecode" not in head or _number(b"BitsPerComponent", head) != 8 or not n:
-            raise ValueError("a page that is not a plain image")
-        raw = np.frombuffer(zlib.decompress(data[start : start + _number(b"Length", head)]), np.uint8)
-        if len(raw) != w * h * n:
-            raise ValueError("image bytes do not match the page's size")
-        yield w, h, 3, as_bgr(raw, n).tobytes()
-
-
 def read_pdfs(spark: SparkSession, path: str, page_limit: int | None = None) -> DataFrame:
-    """The pages of PDFs under a path, in PAGE_SCHEMA; pages beyond the limit are not decoded. A document that is too
-    large or is no image-only PDF gives one row with an error."""
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, size, data in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "content")), strict=True):
-                name, no = where.rsplit("/", 1)[-1], -1
-                try:
-                    if size > P.MAX_DOCUMENT_BYTES:
-                        raise ValueError("the document is too large")
-                    for no, (w, h, n, raw) in enumerate(pdf_images(data, page_limit)):
-                        if no >= P.MAX_DOCUMENT_PAGES:
-                            raise ValueError("the document has too many pages")
-                        yield _rows([(name, no, w, h, n, raw, None)])
-                    if no < 0:
-                        raise ValueError("no page images")
-                except (ValueError, zlib.error) as error:
-                    yield _rows([(name, no + 1, None, None, None, None, str(error))])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix_glob((".pdf",))).load(path)
-    return files.select("path", "length", "content").mapInArrow(pages, PAGE_SCHEMA)
+    """The pages of PDFs under a path, in PAGE_SCHEMA; pages beyond the limit are not decoded, and what can't be decoded
+    is a row with an error."""
+    return decoded_pages(read_page_streams(spark, path, page_limit))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -51,20 +51,6 @@ def test_pdf_round_trip(spark, drawn, tmp_path):
     assert b"/MediaBox [0 0 595 842]" in text and b"/MediaBox [0 0 842 595]" in text and b"/Count 2" in text
 
 
-def test_pages_of_a_pdf_come_in_the_order_of_its_tree():
-    def image(n, w, h, space, raw):
-        body = zlib.compress(raw)
-        return f"{n} 0 obj\n<< /Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{space} /BitsPerComponent 8 /Filter /FlateDecode /Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream\nendobj\n"
-
-    def leaf(n, shown):
-        return f"{n} 0 obj\n<< /Type /Page /Parent 2 0 R /Resources << /XObject << /I {shown} 0 R >> >> >>\nendobj\n".encode()
-
-    data = b"%PDF-1.4\n" + image(3, 2, 1, "DeviceCMYK", bytes([10, 20, 30, 0, 255, 0, 5, 9])) + leaf(4, 3) + image(5, 1, 1, "DeviceGray", b"\x07") + leaf(6, 5)
-    data += image(7, 1, 1, "DeviceRGB", bytes([1, 2, 3])) + leaf(8, 7) + b"9 0 obj\n<< /Type /Pages /Kids [8 0 R 4 0 R] /Count 2 >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [6 0 R 9 0 R] /Count 3 >>\nendobj\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"
-    assert list(S.pdf_images(data)) == [(1, 1, 3, b"\7\7\7"), (1, 1, 3, bytes([3, 2, 1])), (2, 1, 3, bytes([225, 235, 245, 250, 255, 0]))]
-    assert len(list(S.pdf_images(data, 1))) == 1
-
-
 @pytest.mark.parametrize("shape", [(40, 61, 3), (8, 8, 1), (1, 1, 3), (120, 97, 3), (17, 9, 1)])
 def test_jpeg_is_what_sparks_reader_decodes(spark, shape, tmp_path):
     y, x = np.mgrid[: shape[0], : shape[1]]
