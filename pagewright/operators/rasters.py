@@ -17,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagewright import params as P
+from pagewright.operators import votes as V
 from pagewright.operators.images import gaussian
 
+#: Pixels that a ruling is high at most, and gaps in it that are closed, on a page of 1000 pixels across.
+THIN, GAP = 6, 20
 SCHEMA = "page_id long, width int, height int, channels int, data binary, error string"
 NAMES = ["page_id", "width", "height", "channels", "data", "error"]
 _TYPES = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
@@ -388,24 +391,25 @@ def ink_block(width: int) -> int:
     return min(101, block + (1 - block % 2))
 
 
-def strokes(image: np.ndarray, block: int | None = None, run: int | None = None, length: int | None = None, smooth: int = 5) -> list[tuple]:
-    """seg_id, x1, y1, x2, y2, w, h of the long, nearly level strokes of a page, in pixels of the page: components of the
-    horizontal runs of its ink, each with the least-squares line through it."""
+def ruled(ink: np.ndarray, run: int) -> np.ndarray:
+    """What of the ink may be rulings: long horizontal runs, and such as small gaps in thin ink leave when they are
+    closed (dashes, dots); gaps between those are closed as well."""
+    kept = V.opened(ink, run) | V.opened(V.closed(V.thin(ink, THIN), GAP), run)
+    return V.closed(kept, max(GAP, run // 2))
+
+
+def strokes(image: np.ndarray, block: int | None = None, run: int | None = None, length: int | None = None, smooth: int = 5, votes: int | None = None) -> list[tuple]:
+    """seg_id, x1, y1, x2, y2, w, h of the long, nearly level strokes of a page, in pixels of the page: lines that the
+    middles of its horizontal ink vote for, with gaps, dashes and dots."""
     g = gray(image)
     small, scale = probe(g)
     if smooth:
         small = blurred(small, gaussian(smooth)).astype(np.uint8)
     h, w = small.shape
     ink = small <= blurred(small, gaussian(block or ink_block(w))) - 7
-    long = Runs(ink).length >= (run or max(30, w // 12))
-    kept = np.zeros_like(ink)
-    all_runs = Runs(ink)
-    for k in np.flatnonzero(long):
-        kept[all_runs.y[k], all_runs.x0[k] : all_runs.x1[k]] = True
-    out = []
-    for k, (x0, y0, x1, y1) in enumerate(lines(Runs(kept), length or max(100, w // 4))):
-        out.append((k, x0 / scale, y0 / scale, x1 / scale, y1 / scale, w / scale, h / scale))
-    return out
+    long = length or max(100, w // 4)
+    found = V.lines(ruled(ink, run or max(30, w // 12)), ink, long, votes=min(80, long) if votes is None else votes)
+    return [(k, x0 / scale, y0 / scale, x1 / scale, y1 / scale, w / scale, h / scale) for k, (x0, y0, x1, y1) in enumerate(found)]
 
 
 def pink_strokes(image: np.ndarray, above: int = 25, gap: int = 15) -> list[tuple]:
@@ -416,7 +420,7 @@ def pink_strokes(image: np.ndarray, above: int = 25, gap: int = 15) -> list[tupl
     h0, w0 = image.shape[:2]
     pink = np.clip(image[:, :, 2].astype(np.int16) - image[:, :, 1], 0, 255).astype(np.uint8)
     small, scale = probe(pink)
-    mask = closed(small > above, gap)
+    mask = V.closed(small > above, gap)
     h, w = mask.shape
     out = []
     for k, (x0, y0, x1, y1) in enumerate(lines(Runs(mask), int(min(h, w) * 0.3))):
@@ -424,16 +428,6 @@ def pink_strokes(image: np.ndarray, above: int = 25, gap: int = 15) -> list[tupl
     return out
 
 
-def closed(mask: np.ndarray, gap: int) -> np.ndarray:
-    """The mask with horizontal gaps of fewer pixels filled."""
-    runs = Runs(mask)
-    out = mask.copy()
-    near = np.flatnonzero((np.diff(runs.y) == 0) & (runs.x0[1:] - runs.x1[:-1] < gap))
-    for k in near:
-        out[runs.y[k], runs.x1[k] : runs.x0[k + 1]] = True
-    return out
-
-
 def lines(runs: Runs, length: float) -> list[tuple[float, float, float, float]]:
     """The ends of the least-squares lines through the components that are at least so long."""
     n = runs.length.astype(np.float64)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import images as I
 from pagewright.operators import rasters as R
+from pagewright.operators import votes as V
 from pagewright.params import ScanParams
 from pagewright.plans import pages as P
 from pagewright.plans.queries import CLIP, ORACLE, PX, QUERIES, _tones_sql, query, table
@@ -194,10 +195,50 @@ def image_reframe_sizes(spark, sf_dir):
 SHORT = {"block": 21, "run": 6, "length": 12, "smooth": 5}
 
 
-@query()
+_VOTES = """vote AS (SELECT page_id, step, CAST(floor(round(y * cos(radians(step / {fine}.0::DOUBLE)) - x * sin(radians(step / {fine}.0::DOUBLE)) + 0.5::DOUBLE, 9)) AS BIGINT) AS rho, count(*) AS votes
+    FROM {points}, range(-{most}, {most} + 1) t(step) GROUP BY 1, 2, 3)"""
+_POINTS = """ink AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS run FROM wide WHERE v < 105),
+long AS (SELECT page_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM ink GROUP BY page_id, y, run HAVING count(*) >= 3),
+gone AS (SELECT *, lag(x1) OVER (PARTITION BY page_id, y ORDER BY x0) AS before FROM long),
+shut AS (SELECT page_id, y, unnest(range(CASE WHEN x0 - before < 4 THEN before ELSE x0 END, x1)) AS x FROM gone),
+col AS (SELECT DISTINCT page_id, y, x FROM shut), down AS (SELECT *, y - row_number() OVER (PARTITION BY page_id, x ORDER BY y) AS run FROM col),
+pts AS (SELECT page_id, (min(y) + max(y)) // 2 AS y, x FROM down GROUP BY page_id, x, run)"""
+_BEATS = "(b.votes, -abs(b.step), -b.step, -b.rho) > (a.votes, -abs(a.step), -a.step, -a.rho)"
+
+
+@query(f"WITH {PX}, dark AS (SELECT page_id, y, x FROM px WHERE v < 100), {_VOTES.format(fine=1, most=13, points='dark')} SELECT page_id, CAST(step AS INT) AS step, rho, votes FROM vote")
+def ruling_votes(spark, sf_dir):
+    """The votes of dark pixels for lines, on pixel rows."""
+    return V.line_votes(I.from_vectors(table(spark, sf_dir, "embeddings")).where("v < 100"), fine=1)
+
+
+@query(f"WITH {PX}, dark AS (SELECT page_id, y, x FROM px WHERE v < 100), {_VOTES.format(fine=1, most=13, points='dark')} SELECT page_id, CAST(step AS INT) AS step, rho, votes FROM vote")
+def image_votes(spark, sf_dir):
+    """The same of whole images."""
+
+    def measure(image: np.ndarray) -> list[tuple]:
+        y, x = np.nonzero(image[:, :, 0] < 100)
+        counts, least = V.vote_table(y, x, 1)
+        rows, columns = np.nonzero(counts)
+        return [(int(V.angle_steps(1)[r]), int(c) + least, int(counts[r, c])) for r, c in zip(rows, columns, strict=True)]
+
+    found = R.measured(small_images(spark, sf_dir), measure, "step long, rho long, votes long")
+    return found.select("page_id", F.col("step").cast("int").alias("step"), "rho", "votes")
+
+
+@query(f"""WITH {WIDE_PX}, {_POINTS}, {_VOTES.format(fine=V.FINE, most=V.FINE * V.WIDEST, points='pts')}
+SELECT page_id, CAST(step AS INT) AS step, rho, votes FROM vote a WHERE votes >= 24 AND NOT EXISTS (
+    SELECT 1 FROM vote b WHERE b.page_id = a.page_id AND abs(b.step - a.step) <= {V.AROUND[0]} AND abs(b.rho - a.rho) <= {V.AROUND[1]} AND {_BEATS})""")
 def image_rulings(spark, sf_dir):
-    """The long strokes of whole pages, with the lines through them."""
-    return R.segments(R.from_pixels(wide_pixels(spark, sf_dir)), **SHORT)
+    """The lines that the long dark strokes of whole pages vote for and no neighbour beats."""
+
+    def measure(image: np.ndarray) -> list[tuple]:
+        y, x = V.middles(V.closed(V.opened(R.gray(image) < 105, 3), 4))
+        counts, least = V.vote_table(y, x)
+        return [(int(V.angle_steps()[r]), c + least, int(counts[r, c])) for r, c in V.peaks(counts, 24)]
+
+    found = R.measured(R.from_pixels(wide_pixels(spark, sf_dir)), measure, "step long, rho long, votes long")
+    return found.select("page_id", F.col("step").cast("int").alias("step"), "rho", "votes")
 
 
 @query()
