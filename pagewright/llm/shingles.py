@@ -7,9 +7,9 @@ their full sets, so that all alike ones that met are connected:
 1. Texts with the same set are one text (by a 128-bit digest of the set).
 2. In every cell, each member is compared with one of them, a star. Most groups of copies are connected by that.
 3. Members of a cell that are not connected yet are compared with each other. Of a crowded cell, texts that links connect
-   already are a group of their own, which only others meet; and shingles that no other crowded text has count against a
-   meeting, as two texts can't share them: a bound, so nothing is lost, by which texts that were edited in too many places
-   to be like any other meet none.
+   already are a group of their own, which only others meet; and two bounds, by which nothing is lost, keep apart what was
+   edited in too many places: shingles that no other crowded text has can't be shared; nor can a shingle whose place in a
+   small bitmap of all places is empty in the other text's.
 
 Only sorted shingle hashes move for a comparison, and each once for all its partners of a star; texts don't. Who is
 compared is a join, so no group of copies is brought into one task.
@@ -33,6 +33,8 @@ SHINGLE, ALIKE = 5, 0.8
 SALTS = 16
 #: Members of a cell from which on it is crowded.
 CROWD = 64
+#: Longs of a bitmap of a crowded text's shingles.
+WORDS = 16
 #: Stands for a null id, so that one join serves all.
 NO_ID = -(1 << 63)
 
@@ -129,6 +131,28 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return once.groupBy("id").agg(F.count("*").alias("n_own"))
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """id and sketch, a bitmap of the places that a set's hashes have among WORDS * 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches, 500):
+            maps = np.zeros((batch.num_rows, WORDS * 64), np.uint8)
+            for k, held in enumerate(batch.column("set")):
+                maps[k, np.frombuffer(held.as_buffer(), np.uint64) % np.uint64(WORDS * 64)] = 1
+            packed = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(packed), pa.list_(pa.int64()))], ["id", "sketch"])
+
+    return sets.mapInArrow(run, "id long, sketch array<long>")
+
+
+def _missing(one: str, other: str) -> Column:
+    """How many places of one bitmap are empty in the other."""
+    total = F.lit(0)
+    for k in range(WORDS):
+        total = total + F.bit_count(F.col(one)[k].bitwiseAND(F.bitwise_not(F.col(other)[k])))
+    return total
+
+
 def compared(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
     """Those pairs (a, b) of ids whose sets are alike. The partners of a text stream past its set, in up to SALTS streams."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -179,22 +203,26 @@ def connect(
     index makes a row for every cell of a text, probes for every cell that it looks into (without: its own), each with a
     long `cell`; close is a condition on columns x and a_x of the two sides."""
     limit = F.lit(alike - 1e-9)
-    texts = texts.withColumn("shared", F.lit(None).cast("long"))
+    texts = texts.withColumns({"shared": F.lit(None).cast("long"), "sketch": F.lit(None).cast("array<long>")})
     counts = index(texts).groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
     members = durable(index(texts).join(counts, "cell"))
     hot = F.col("members") > crowd
     crowded = durable(members.where(hot).select("id").distinct())
     if not crowded.isEmpty():
-        own = durable(crowded.join(own_shingles(sets.of(crowded)), "id", "left").select("id", F.coalesce("n_own", F.lit(0).cast("long")).alias("n_own")))
-        side = few(own)
-        told = lambda rows: rows.join(side, "id", "left").withColumn("shared", F.col("size") - F.col("n_own")).drop("n_own")
+        full = sets.of(crowded)
+        own = sketches(full).join(own_shingles(full), "id", "left").withColumn("n_own", F.coalesce("n_own", F.lit(0).cast("long")))
+        side = few(durable(own))
+        told = lambda rows: rows.drop("sketch").join(side, "id", "left").withColumn("shared", F.col("size") - F.col("n_own")).drop("n_own")
         texts, members = told(texts), durable(told(members))
     columns = [c for c in members.columns if c != "members"]
 
     fits = F.least("a_size", "size") >= limit * F.greatest("a_size", "size")
     both = F.when(F.col("a_shared").isNotNull() & F.col("shared").isNotNull(), F.least("a_shared", "shared")).otherwise(F.least("a_size", "size"))
-    may = fits & (both >= limit * (F.col("a_size") + F.col("size") - both))
+    alike_with = lambda n: n >= limit * (F.col("a_size") + F.col("size") - n)
+    may = fits & alike_with(both)
     may = may if close is None else may & close
+    placed = F.least(F.col("a_size") - _missing("a_sketch", "sketch"), F.col("size") - _missing("sketch", "a_sketch"))
+    may = may & (F.col("a_sketch").isNull() | F.col("sketch").isNull() | alike_with(placed))
 
     # the member with the least share of shingles of its own is what most others were made from
     rank = F.coalesce(1 - F.col("shared") / F.col("size"), F.lit(0.0))
@@ -204,16 +232,16 @@ def connect(
 
     links = found if known is None else found.union(known)
     node = F.xxhash64("id")
-    if links.isEmpty():
-        rooted = lambda rows: rows.withColumn("root", node)
+    if links.isEmpty():  # a text without links has no root, which takes no room in a shuffle
+        rooted = lambda rows: rows.withColumn("root", F.lit(None).cast("long"))
     else:
         roots = few(durable(components(links)))
-        rooted = lambda rows: rows.join(roots, node == roots["node"], "left").withColumn("root", F.coalesce("root", node)).drop("node")
+        rooted = lambda rows: rows.join(roots, node == roots["node"], "left").drop("node")
     members = durable(rooted(members))
     columns = [*columns, "root"]
     dead = hot & F.coalesce(F.col("shared") < limit * F.col("size"), F.lit(False))
     # of a crowded cell, what is connected already is a group that only others meet
-    groups = durable(members.where(hot & ~dead).groupBy("cell", F.col("root").alias("sub")).count().where(F.col("count") > crowd).select("cell", "sub"))
+    groups = durable(members.where(hot & ~dead & F.col("root").isNotNull()).groupBy("cell", F.col("root").alias("sub")).count().where(F.col("count") > crowd).select("cell", "sub"))
     if probes is None:
         b = a = members.where(~dead).select(*columns)
     else:
@@ -227,12 +255,13 @@ def connect(
         some = few(groups)
         grouped = some.select("cell", F.col("sub").alias("root"), "sub")
         b = b.join(grouped, ["cell", "root"], "left").select(*columns, F.coalesce("sub", none).alias("sub"))
-        others = a.join(some, "cell").where(F.col("root") != F.col("sub")).select(*columns, "sub")
+        others = a.join(some, "cell").where(F.col("root").isNull() | (F.col("root") != F.col("sub"))).select(*columns, "sub")
         a = a.select(*columns, none.alias("sub")).unionByName(others)
     columns = [*columns, "sub"]
     met = _ends(a, columns).join(b, ["cell", "sub"])
     twice = F.col("a_id") < F.col("id") if probes is None else F.col("a_id") != F.col("id")
-    met = met.where((twice | (F.col("sub") != 0)) & (F.col("a_id") != F.col("id")) & (F.col("root") != F.col("a_root")) & may)
+    apart = F.col("root").isNull() | F.col("a_root").isNull() | (F.col("root") != F.col("a_root"))
+    met = met.where((twice | (F.col("sub") != 0)) & (F.col("a_id") != F.col("id")) & apart & may)
     return found.union(_verified(met.select(F.col("a_id").alias("a"), F.col("id").alias("b")), sets, alike))
 
 

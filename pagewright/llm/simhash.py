@@ -206,7 +206,7 @@ def _cells(rows: DataFrame, fp, cells: list[tuple[int, int, int]], slots: list[i
         return F.transform(of, lambda c: F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step))
 
     keys = [keys_of(step) for step in slots]
-    return rows.select(*rows.columns, F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
+    return rows.select(*[c for c in rows.columns if c != "own"], F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
 
 
 def alike_links(texts: DataFrame, sets: Sets, n: int, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
@@ -231,7 +231,7 @@ def alike_links(texts: DataFrame, sets: Sets, n: int, radius: int = WIDE, alike:
             probes=lambda t, flips=flips: _cells(t, F.col("fp"), flips, [0]),
             close=F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius,
             alike=alike,
-            crowd=crowd,
+            crowd=max(crowd, int(8 * fit * n / 2.0 ** min(len(bits) for bits, _ in plan))),  # four times what chance brings into a cell
             known=found,
         )
         found = durable(more if found is None else found.union(more))

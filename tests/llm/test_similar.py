@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import simhash as N
@@ -95,6 +97,19 @@ def test_texts_edited_in_many_places_are_not_compared_with_all(spark):
     assert own == {k: n for k, s in sets.items() if (n := sum(counts[h] == 1 for h in s))}
 
 
+def test_bitmaps_bound_what_can_be_shared(spark):
+    from pagewright.llm import shingles as S
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = {k: np.unique(np.concatenate([base[: 300 - 20 * k], rng.integers(0, 2**63, 20 * k).astype(np.uint64)])) for k in range(8)} | {9: base[:0]}
+    maps = S.sketches(spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "id long, set binary"))
+    a = maps.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch"))
+    for r in maps.crossJoin(a).select("a", "id", S._missing("a_sketch", "sketch").alias("n")).collect():
+        only = len(np.setdiff1d(sets[r.a], sets[r.id]))
+        assert r.n <= only and (r.n >= 0.6 * only or r.a == 9)
+
+
 def test_crowded_texts_are_linked_with_others_as_well(spark):
     """Chains of edits that lead away from a crowd: its bound must not touch pairs that are only partly in it."""
     rng, rows = random.Random(11), []
