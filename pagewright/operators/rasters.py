@@ -394,7 +394,7 @@ def ink_block(width: int) -> int:
 def ruled(ink: np.ndarray, run: int) -> np.ndarray:
     """What of the ink may be rulings: long horizontal runs, and such as small gaps in thin ink leave when they are
     closed (dashes, dots); gaps between those are closed as well."""
-    kept = V.opened(ink, run) | V.opened(V.closed(V.thin(ink, THIN), GAP), run)
+    kept = V.opened(ink, run) | V.opened(V.closed(V.thin(ink, THIN), GAP), max(3, run // 3))
     return V.closed(kept, max(GAP, run // 2))
 
 
