@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import rasters as R
 from pagewright.operators import segments as G
+from pagewright.operators import template as T
 from pagewright.operators import warp as W
 from pagewright.operators.rings import without_rings
 from pagewright.params import AUTO_TRIM, INK, TOP_TRIM, ScanParams
@@ -193,8 +194,17 @@ def finished(image: np.ndarray, params: ScanParams = ScanParams()) -> np.ndarray
     return image if target == w else R.resized(image, target, h)
 
 
-def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: dict = STROKES) -> DataFrame:
-    """page_id, width, height, channels, data and error of every page, scanned."""
+def on_template(image: np.ndarray, kind: str | None, numbers: list[float] | None, params: ScanParams = ScanParams()) -> np.ndarray:
+    """A page moved onto its template, with the look of a scan, sharper than others, and without what shows of the page
+    beside it at the left."""
+    out = R.unsharp(R.reference_look(move(image, kind, numbers), params.kernel, params.saturation, params.white, params.blacks), 1.9)
+    out[:, : int(out.shape[1] * (params.margins[0] + 0.01))] = 255
+    return out
+
+
+def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: dict = STROKES, template: np.ndarray | None = None) -> DataFrame:
+    """page_id, width, height, channels, data and error of every page, scanned. With a template (an image), pages that
+    match it are brought onto it, and all get its size."""
 
     def enhanced(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np.ndarray:
         page = move(image, kind, numbers)
@@ -203,12 +213,25 @@ def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: d
         look = R.reference_look(page, params.kernel, params.saturation, params.white, params.blacks)
         return look if params.preserve_borders else without_rings(reframed(look, params))
 
+    size = T.template_size(template)
+
     def last(image: np.ndarray) -> np.ndarray:
-        return finished(image, params)
+        page = finished(image, params)
+        return page if size in (None, (page.shape[1], page.shape[0])) else R.resized(page, *size)
+
+    def aligned(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np.ndarray:
+        return on_template(image, kind, numbers, params)
 
     pages = durable(images.select(*R.NAMES))
+    onto = None
+    if template is not None:
+        found = durable(T.alignment(pages, template))
+        onto = _moved(pages, found, "inner", aligned)
+        few = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        pages = durable(pages.join(few.select("page_id"), "page_id", "left_anti").select(*R.NAMES))
     level = durable(_moved(pages, level_moves(pages, strokes), step=enhanced))
-    return R.each_page(settle(level, strokes), last)
+    done = R.each_page(settle(level, strokes), last)
+    return done if onto is None else onto.unionByName(done)
 
 
 def scan_auto(images: DataFrame, params: ScanParams = ScanParams(), strokes: dict = STROKES) -> DataFrame:

@@ -16,6 +16,7 @@ from pagewright.functions import tones as T
 from pagewright.operators import batches as B
 from pagewright.operators import images as I
 from pagewright.operators import segments as G
+from pagewright.operators import template as M
 from pagewright.operators import warp as W
 from pagewright.plans import scan
 from pagewright.session import shared_dir
@@ -331,6 +332,21 @@ def horizontal_runs(spark, sf_dir):
     return I.horizontal_runs(I.ink_mask(_pixels(spark, sf_dir), 120), "3").select("page_id", "y", "x")
 
 
+@query("""WITH pts AS (SELECT vec_id // 50 AS page_id, vec_id % 50 AS point, [CAST(v AS DOUBLE) FOR v IN embedding] AS d FROM embeddings WHERE embedding IS NOT NULL),
+t AS (SELECT point AS match, d AS td FROM pts WHERE page_id = 0), far AS (
+    SELECT page_id, point, match, sqrt(sum((a - b) * (a - b))) AS dist FROM (SELECT page_id, point, match, unnest(d) AS a, unnest(td) AS b FROM pts, t) GROUP BY 1, 2, 3
+), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, point ORDER BY dist, match) AS nth FROM far)
+SELECT page_id, point, arg_min(match, nth) AS match, round(min(dist), 6) AS near, round(max(dist), 6) AS second, min(dist) < 0.7::DOUBLE * max(dist) AS good FROM r WHERE nth <= 2 GROUP BY 1, 2""")
+def two_nearest(spark, sf_dir):
+    """The two nearest of every point among those of a template: vectors are descriptors, fifty in a row are a page's
+    points, and the first page is the template."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    points = rows.select(F.floor(F.col("vec_id") / 50).alias("page_id"), (F.col("vec_id") % 50).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("embedding").cast("array<double>").alias("descriptor"))
+    found = M.two_nearest(points, M.template_points(points.where("page_id = 0")))
+    good = F.col("near") < M.RATIO * F.col("second")
+    return found.select("page_id", "point", "match", F.round("near", 6).alias("near"), F.round("second", 6).alias("second"), good.alias("good"))
+
+
 @query()
 def ruling_segments(spark, sf_dir):
     """Long strokes of the pages with the lines through them."""
