@@ -20,6 +20,7 @@ from pagewright.operators import template as M
 from pagewright.operators import warp as W
 from pagewright.plans import scan
 from pagewright.session import shared_dir
+from pagewright.streaming import job_states as JS
 from pagewright.streaming import jobs as J
 
 K = 5
@@ -721,6 +722,20 @@ def keepalives(spark, sf_dir):
     return J.keepalives(_events(spark, sf_dir), 3600).select("job_id", F.unix_timestamp("ts").alias("second"), "frame")
 
 
+@query("""WITH j AS (SELECT user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'view' THEN 'page_done' WHEN 'click' THEN 'scanning' ELSE 'done' END AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+m AS (SELECT job_id, min(n) AS n0, arg_min(ts, n) AS made FROM j WHERE type = 'created' GROUP BY 1), k AS (SELECT j.*, epoch_ms(ts) - epoch_ms(made) <= 259200000 AS young FROM j JOIN m USING (job_id) WHERE n >= n0),
+d AS (SELECT job_id, min(n) AS nd, arg_min(young, n) AS early FROM k WHERE type = 'deleted' GROUP BY 1), t AS (SELECT k.* FROM k LEFT JOIN d USING (job_id) WHERE type NOT IN ('created', 'deleted') AND young AND (nd IS NULL OR n < nd)),
+e AS (SELECT job_id, min(n) AS ne FROM t WHERE type = 'done' GROUP BY 1), told AS (SELECT t.* FROM t LEFT JOIN e USING (job_id) WHERE ne IS NULL OR n <= ne),
+f AS (SELECT job_id, type, row_number() OVER w - 1 AS seq, count(*) FILTER (WHERE type = 'page_done') OVER w AS page FROM told WINDOW w AS (PARTITION BY job_id ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT job_id, seq, 'data: {"type":"' || type || '"' || CASE WHEN type = 'page_done' THEN ',"page":' || page ELSE '' END || '}' || chr(10) || chr(10) AS frame FROM f
+UNION ALL SELECT job_id, (SELECT count(*) FROM told WHERE told.job_id = m.job_id), 'data: {"type":"error","message":"the job took too long"}' || chr(10) || chr(10) FROM m LEFT JOIN e USING (job_id) LEFT JOIN d USING (job_id) WHERE ne IS NULL AND NOT coalesce(early, false)""")
+def live_jobs(spark, sf_dir):
+    """The frames of jobs that are created, told their progress, deleted or expired after three days."""
+    kinds = F.create_map(*[F.lit(x) for pair in {"signup": "created", "error": "deleted", "view": "page_done", "click": "scanning", "purchase": "done"}.items() for x in pair])
+    events = table(spark, sf_dir, "events")
+    return JS.live(events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("type")), 3 * 86_400)
+
+
 @query(f"WITH {EV}, st AS (SELECT *, CASE type WHEN 'loading' THEN 1 WHEN 'detected' THEN 2 WHEN 'scanning' THEN 3 WHEN 'page_done' THEN 4 WHEN 'assembling' THEN 5 WHEN 'done' THEN 6 END AS stage FROM ev WHERE type <> 'error'), m AS (SELECT *, max(stage) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) SELECT job_id, seq, type FROM m WHERE stage < reached")
 def misordered_events(spark, sf_dir):
     return J.misordered(_events(spark, sf_dir)).select("job_id", "seq", "type")
