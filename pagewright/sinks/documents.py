@@ -1,17 +1,15 @@
 """Pages as PNG or JPEG, documents as PDF, thumbnails, and an artifact store.
 
-Artifacts are rows of name and content, so they can be kept as a table by Spark's own writers; export puts them into a
-folder, each file complete or absent.
+Artifacts are rows of name and content, so they can be kept as a table by Spark's own writers; export (artifacts.py) puts
+them into a folder, each file complete or absent.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -22,8 +20,11 @@ from pyspark.sql import functions as F
 from pagewright import params as P
 from pagewright.functions.scalars import frame_thickness, page_layout, sanitize_name
 from pagewright.operators import rasters as R
+from pagewright.sinks.artifacts import export, safely_named
 from pagewright.sinks.jpeg import jpeg
 
+__all__ = ["Artifacts", "assemble", "downloadable", "encoded", "export", "framed", "page_artifacts", "png", "thumbnails", "to_images"]
+
 
 def to_images(pixels: DataFrame) -> DataFrame:
     """Pixel rows (page_id, canvas_w, canvas_h, y, x, v) as one gray image per page: page_id, width, height, channels,
@@ -135,35 +136,24 @@ def assemble(images: DataFrame, page_size: str | None = "A4", margin: float = 0.
     return done.select(sanitize_name(F.concat(F.lit("scanned_"), "doc_id", F.lit(".pdf"))).alias("name"), "content")
 
 
-def export(artifacts: DataFrame, folder: str) -> None:
-    """Write artifacts (name, content) as files into a folder that all executors share. A name outside it is an error."""
-    root = str(Path(folder).resolve())
-    named = artifacts.select(F.coalesce(sanitize_name(F.col("name")), F.raise_error(F.lit("an artifact without a name"))).alias("name"), "content")
-
-    def save(rows) -> None:
-        for row in rows:
-            part = Path(root, f".{row.name}.{uuid.uuid4().hex}.part")  # no two hosts share this name
-            part.write_bytes(row.content)
-            os.replace(part, Path(root, row.name))
-
-    Path(root).mkdir(parents=True, exist_ok=True)
-    named.foreachPartition(save)
-
-
 class Artifacts:
     """Artifacts kept as a table of name and content under a path of any store that Spark writes: saved, read, looked
-    up and deleted by name. Content is written once; a deletion is a row of its own, so nothing is rewritten."""
+    up and deleted by name. Content is written once; a deletion is a row of its own, so nothing is rewritten. Versions
+    are in one order: by time, then by the save (a random name), then by row."""
+
+    VERSION = "struct(at, save, nth)"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def _append(self, rows: DataFrame) -> None:
-        rows.select("name", "content", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+        version = [F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("save"), F.monotonically_increasing_id().alias("nth")]
+        rows.select("name", "content", *version).write.mode("append").parquet(self.path)
 
     def save(self, artifacts: DataFrame) -> None:
-        """Keep artifacts (name, content); a name that is there already gets the new content."""
-        named = F.coalesce(sanitize_name(F.col("name")), F.raise_error(F.lit("an artifact without a name")))
-        self._append(artifacts.select(named.alias("name"), F.coalesce("content", F.lit(b"")).alias("content")))
+        """Keep artifacts (name, content); a name that is there already gets the new content, and of one name given twice
+        the later row stays."""
+        self._append(safely_named(artifacts).select("name", F.coalesce("content", F.lit(b"")).alias("content")))
 
     def delete(self, names: DataFrame) -> None:
         """Forget the artifacts with these names (a column name); unknown ones are no error."""
@@ -171,16 +161,17 @@ class Artifacts:
 
     def read(self) -> DataFrame:
         """name and content of every artifact."""
-        last = self._table().groupBy("name").agg(F.max_by("content", "at").alias("content"))
+        last = self._table().groupBy("name").agg(F.max_by("content", F.expr(self.VERSION)).alias("content"))
         return last.where("content is not null")
 
     def exists(self, names: DataFrame) -> DataFrame:
         """names with found: whether there is such an artifact. Contents are not read."""
-        there = self._table().select("name", "at", F.col("content").isNotNull().alias("kept")).groupBy("name").agg(F.max_by("kept", "at").alias("found"))
+        there = self._table().select("name", F.expr(self.VERSION).alias("version"), F.col("content").isNotNull().alias("kept"))
+        there = there.groupBy("name").agg(F.max_by("kept", "version").alias("found"))
         return names.select("name").join(there, "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
 
     def _table(self) -> DataFrame:
-        return self.spark.read.schema("name string, content binary, at timestamp").parquet(self.path)
+        return self.spark.read.schema("name string, content binary, at timestamp, save string, nth long").parquet(self.path)
 
 
 def downloadable(names: DataFrame) -> DataFrame:
