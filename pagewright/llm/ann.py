@@ -15,7 +15,7 @@ a shard does, which is rows * queries / 32,768 vectors in all.
 
 Defined results: vectors that are null, zero, or hold nulls or values that are not finite take no part, nor do rows with
 a null id; shorter vectors count as filled up with zeros; ties go to the smaller id; repeated rows are separate candidates, but
-a query never finds its own id; fewer candidates than asked for are all returned; other columns are ignored.
+a query never finds its own id; a query row that is repeated has one result, and rows of one id with different vectors have one each; fewer candidates than asked for are all returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ def coded(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
 
 def _matrix(lists, width: int) -> np.ndarray:
     """Rows of so many components, filled up with zeros."""
+    if len(lists) and all(len(x) == width for x in lists):
+        return np.array(lists, np.float64)
     out = np.zeros((len(lists), width))
     for k, x in enumerate(lists):
         out[k, : len(x)] = x
@@ -128,13 +130,13 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, radius: int | None, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score, bits of each query's nearest in one shard; without a radius by brute force."""
+    """query_id, asked_id, vec_id, score, bits of each query's nearest in one shard; without a radius by brute force."""
     out = []
     if len(rows) and len(queries):
         rows = rows.sort_values("vec_id", kind="stable")
         ids, vectors, codes = rows["vec_id"].to_numpy(), _stacked(rows["vector"]), rows["code"].to_numpy().view(np.uint64)
         index = MultiIndex(codes)
-        for query, vector, code in zip(queries["query_id"], _stacked(queries["asked"]), queries["asked_code"].to_numpy().view(np.uint64), strict=True):
+        for query, asked, vector, code in zip(queries["query_id"], queries["asked_id"], _stacked(queries["asked"]), queries["asked_code"].to_numpy().view(np.uint64), strict=True):
             reach = 64 if radius is None else radius
             while True:
                 found = index.within(code, reach) if reach < 64 else np.arange(len(ids))
@@ -145,17 +147,18 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, radius: int | None, k: in
             best = found[top(ids[found], scores := inner(vector, vectors[found]), k)]
             scores = dict(zip(found.tolist(), scores.tolist(), strict=True))
             bits = np.bitwise_count(codes[best] ^ code)
-            out += [(query, ids[b], scores[b], int(n)) for b, n in zip(best.tolist(), bits, strict=True)]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "bits"])
+            out += [(query, asked, ids[b], scores[b], int(n)) for b, n in zip(best.tolist(), bits, strict=True)]
+    return pd.DataFrame(out, columns=["query_id", "asked_id", "vec_id", "score", "bits"])
 
 
 def _nearest(index: DataFrame, queries: DataFrame, shards: int, blocks: int, radius: int | None, k: int) -> DataFrame:
     """query_id, rank, vec_id, score, bits: each block of queries meets each shard once, and shards' best are merged."""
     dealt = index.select("vec_id", "vector", "code", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.col("code").alias("asked_code"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+    queries = queries.withColumn("asked_id", F.xxhash64("vec_id", "vector")).dropDuplicates(["vec_id", "asked_id"])
+    asked = queries.select(F.col("vec_id").alias("query_id"), "asked_id", F.col("vector").alias("asked"), F.col("code").alias("asked_code"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
     pairs = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    found = pairs.applyInPandas(lambda a, b: _search(a, b, radius, k), "query_id long, vec_id long, score double, bits int")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.applyInPandas(lambda a, b: _search(a, b, radius, k), "query_id long, asked_id long, vec_id long, score double, bits int")
+    best = Window.partitionBy("query_id", "asked_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

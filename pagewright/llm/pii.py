@@ -36,7 +36,7 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "intl_phone": r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9])",
@@ -102,6 +102,31 @@ def _walk(digits: str, key: bytes, tweak: str, valid) -> str:
     return f"{x:0{len(digits)}d}"
 
 
+# The country codes of one digit and of two; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return digits[:1] if digits[:1] in ONE_DIGIT else digits[:2] if digits[:2] in TWO_DIGITS else digits[:3]
+
+
+def _other_number(value: str, digits: str, key: bytes) -> str | None:
+    """A phone number of the same country, in the same spelling. A subscriber is numbered alike in all spellings; a
+    number without a country code is a North American one."""
+    code = country_code(digits) if value.startswith("+") else ""
+    own = digits[len(code) :]
+    if code in ("", "1") and len(own) == 10:
+        american = lambda d: d[0] in "23456789" and d[3] in "23456789"
+        new = _walk(own, key, "phone", american if american(own) else lambda d: not american(d))
+    elif 6 <= len(own) <= 14:
+        new = _walk(own, key, f"intl_phone {code}", lambda d: True)
+    else:
+        return None
+    return refilled(value, code + new)
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """What replaces the value, or None if it is not a valid one of its kind."""
     digits = re.sub(r"[^0-9]", "", value)
@@ -124,14 +149,8 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         return refilled(value, body + luhn_digit(body))
     if kind == "ssn":
         return refilled(value, _walk(digits, key, kind, plausible_ssn)) if plausible_ssn(digits) else None
-    if kind == "phone":
-        code, own = digits[:-10], digits[-10:]
-        american = lambda d: d[0] in "23456789" and d[3] in "23456789"
-        return refilled(value, code + _walk(own, key, kind, american if american(own) else lambda d: not american(d)))
-    if kind == "intl_phone":
-        code = re.match(r"\+([0-9]{1,3})", value)[1]
-        own = digits[len(code) :]
-        return refilled(value, code + _walk(own, key, f"{kind} {code}", lambda d: True)) if 6 <= len(own) <= 14 else None
+    if kind in ("phone", "intl_phone"):
+        return _other_number(value, digits, key)
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         if max(parts) > 255:

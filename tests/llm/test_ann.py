@@ -65,3 +65,19 @@ def test_odd_vectors(spark):
     assert len(twice) == len(kept) - 1 + 2 and sum(r.vec_id == 3 for r in twice) == 2
     assert ann.nearest_neighbours(df.where("vec_id = 40"), "true").count() == 0
     assert ann.nearest_neighbours(df.limit(0), "true").count() == 0
+
+
+def test_a_repeated_query_has_one_whole_result(spark):
+    """And one for each vector where rows of one id have several."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    other = rng.normal(size=8).tolist()
+    df = spark.createDataFrame([*rows, rows[40], rows[40], (60, other)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(df, "vec_id % 20 = 0", 20, recall=1.0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(r for r, _, _ in found[40]) == list(range(1, 21)) and len({i for _, i, _ in found[40]}) == 20
+    want = plain(rows, 40, 20)
+    assert len(set(want) & {i for _, i, _ in found[40]}) >= 19
+    assert sorted(r for r, _, _ in found[60]) == sorted([*range(1, 21)] * 2)
+    assert all(len(found[q]) == 20 for q in range(0, 200, 20) if q != 60)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -116,3 +117,22 @@ def test_spellings_of_an_address_and_the_key_of_a_session(spark):
     spark.conf.set(pii.KEY_SETTING, "k")
     assert pii.session_key(spark) == pii.session_key(spark)
     spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_a_subscriber_is_one_in_all_spellings():
+    key = b"k" * 32
+    spellings = ["+14155552671", "+1 415-555-2671", "+1 (415) 555-2671", "+1(415)555-2671", "+1.415.555.2671", "+1 4155552671", "(415) 555-2671", "415-555-2671", "415.555.2671", "1-415-555-2671"]
+    others = ["+442079460958", "+44 20 7946 0958", "+44-20-7946-0958", "+4420 79460958"]
+    for group, length in ((spellings, 10), (others, 10)):
+        found = set()
+        for value in group:
+            text, marks = pii.replaced(f"call {value} now", key)
+            assert len(marks) == 1 and value not in text, value
+            new = re.sub("[^0-9]", "", text)
+            found.add(new[-length:])
+            assert re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", f"call {value} now")
+            assert new[:-length] in ("", "1", "44")
+        assert len(found) == 1, found
+    assert [pii.country_code(d) for d in ("14155552671", "79161234567", "442079460958", "358401234567", "85221234567")] == ["1", "7", "44", "358", "852"]
+    # the same digits in another country are another subscriber
+    assert pii.replaced("+44 415-555-2671", key)[0][-12:] != pii.replaced("415-555-2671", key)[0][-12:]
