@@ -11,8 +11,31 @@ import numpy as np
 from pagewright import params as P
 from pagewright.operators import rasters as R
 
-#: The places within two steps of a pixel, by a distance that counts 0.955 for a side and 1.369 for a corner.
-_NEAR = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1), (0, 2), (0, -2), (2, 0), (-2, 0)]
+#: How far around a pixel what is known fills it.
+REACH = 5
+
+
+def distances(mask: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """The exact distance of every masked pixel from the nearest pixel of the page that is not, 0 elsewhere; distances
+    beyond `most` are only known to be larger. Beyond the page is nothing."""
+    h, w = mask.shape
+    far = float(h + w)
+    up = np.empty((h, w))
+    last = np.full(w, far)
+    for y in range(h):  # along columns first
+        last = np.where(mask[y], last + 1, 0)
+        up[y] = last
+    last = np.full(w, far)
+    for y in range(h - 1, -1, -1):
+        last = np.where(mask[y], last + 1, 0)
+        up[y] = np.minimum(up[y], last)
+    best, k = np.minimum(up, far) ** 2, 1
+    high = up**2
+    while k < w and k * k < min(best.max(initial=0), (most + 1) ** 2):
+        best[:, k:] = np.minimum(best[:, k:], high[:, :-k] + k * k)
+        best[:, :-k] = np.minimum(best[:, :-k], high[:, k:] + k * k)
+        k += 1
+    return np.sqrt(best)
 
 
 def _ellipse(size: int) -> list[tuple[int, int]]:
@@ -39,12 +62,12 @@ def _drawn(runs: R.Runs, some: np.ndarray, shape: tuple[int, int]) -> np.ndarray
     return out
 
 
-def thick_rings(g: np.ndarray, zone: float = P.RING_ZONE, dark: int = 70, least_area: int = 40, least_height: int = 20) -> np.ndarray:
+def thick_rings(g: np.ndarray, zone: float = P.RING_ZONE, dark: int = 70, least_area: int = 40, least_height: int = 20, thickness: float = 2.0) -> np.ndarray:
     """The pixels of dark blobs too thick for strokes that stand mostly in the right zone; long level lines are left out
     first."""
     h, w = g.shape
     runs = R.Runs(g < dark)
-    thick = spread(_drawn(runs, runs.length < max(25, w // 18), (h, w)), _NEAR, all_of=True)
+    thick = distances(_drawn(runs, runs.length < max(25, w // 18), (h, w)), thickness) > thickness
     blobs = R.Runs(thick)
     if not len(blobs.label):
         return thick
@@ -94,25 +117,52 @@ def diagonal_rings(g: np.ndarray, zone: float = P.RING_ZONE, bin_width: int = 5,
     return None if mask.sum() > most * h * w else mask
 
 
-def filled_in(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """The masked pixels filled from the outside in, each with the mean of the pixels beside it that are known."""
+def _slopes(values: np.ndarray, known: np.ndarray, axis: int) -> np.ndarray:
+    """Differences along an axis between what is known: of both sides, of one side, or none."""
+    wide, there = np.pad(values, [(1, 1), (1, 1), (0, 0)], mode="edge"), np.pad(known, 1)
+    side = lambda a, k: a[1 + k : a.shape[0] - 1 + k, 1:-1] if axis == 0 else a[1:-1, 1 + k : a.shape[1] - 1 + k]
+    before, after = side(there, -1)[..., None], side(there, 1)[..., None]
+    back, ahead = values - side(wide, -1), side(wide, 1) - values
+    return np.where(before & after, (back + ahead) / 2, np.where(before, back, np.where(after, ahead, 0.0))) * known[..., None]
+
+
+def filled_in(image: np.ndarray, mask: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """The masked pixels filled from the rim inwards, in the order in which a front from there arrives: each continues
+    the values and slopes of what is known around it, nearer pixels, those the front comes from and those of the same
+    depth counting more. With unit speed the front arrives after the exact distance, so no queue is needed, and pixels at
+    which it arrives together are filled together."""
     ys, xs = np.nonzero(mask)
-    top, left = max(0, ys.min() - 1), max(0, xs.min() - 1)
-    part = slice(top, ys.max() + 2), slice(left, xs.max() + 2)
-    values, known = image[part].astype(np.float64), ~mask[part]
-    if not known.any():
+    if not len(ys):
+        return image
+    margin = 2 * reach + 1
+    part = slice(max(0, ys.min() - margin), ys.max() + margin + 1), slice(max(0, xs.min() - margin), xs.max() + margin + 1)
+    values, hole = image[part].astype(np.float64), mask[part]
+    if hole.all():
         return image
-    while not known.all():
-        weight = np.pad(known, 1).astype(np.float64)
-        sums = np.pad(values * known[..., None], ((1, 1), (1, 1), (0, 0)))
-        h, w = known.shape
-        around = lambda a: sum(a[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1))  # noqa: B023, E731
-        n = around(weight)
-        fresh = ~known & (n > 0)
-        values[fresh] = (around(sums)[fresh].T / n[fresh]).T
-        known = known | fresh
+    arrival = distances(hole) - np.minimum(distances(~hole, 2 * reach), 2 * reach)
+    ty, tx = np.gradient(arrival) if min(arrival.shape) > 1 else (np.zeros_like(arrival), np.zeros_like(arrival))
+    steps = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if 0 < dy * dy + dx * dx <= reach * reach]
+    dy, dx = (np.array(s) for s in zip(*steps, strict=True))
+    known, (h, w) = ~hole, hole.shape
+    order = np.floor(2 * arrival).astype(int)
+    for front in np.unique(order[hole]):
+        gy, gx = _slopes(values, known, 0), _slopes(values, known, 1)
+        for py, px in zip(*(np.array_split(p, max(1, len(p) // 2000)) for p in np.nonzero(hole & (order == front))), strict=True):
+            qy, qx = py[:, None] + dy, px[:, None] + dx
+            there = (qy >= 0) & (qy < h) & (qx >= 0) & (qx < w)
+            qy, qx = np.clip(qy, 0, h - 1), np.clip(qx, 0, w - 1)
+            there &= known[qy, qx]
+            long = np.hypot(dy, dx)
+            facing = np.abs(dy * ty[py, px][:, None] + dx * tx[py, px][:, None]) / long
+            level = 1.0 / (1.0 + np.abs(arrival[py, px][:, None] - arrival[qy, qx]))
+            weight = np.where(there, np.maximum(facing, 1e-6) * level / long**2, 0.0)[..., None]
+            toward = values[qy, qx] - gy[qy, qx] * dy[:, None] - gx[qy, qx] * dx[:, None]
+            total = weight.sum(1)
+            values[py, px] = np.where(total > 0, (weight * toward).sum(1) / np.where(total > 0, total, 1.0), values[py, px])
+        np.clip(values, 0, 255, out=values)
+        known = known | (hole & (order == front))
     out = image.copy()
-    out[part] = np.rint(values)
+    out[part][hole] = np.rint(values[hole])
     return out
 
 

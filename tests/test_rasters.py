@@ -220,15 +220,45 @@ def test_thin_diagonals_of_one_angle_are_rings():
     assert rings.diagonal_rings(page) is None
 
 
-def test_distances_by_places():
+def test_distances_are_exact():
     from pagewright.operators import rings
 
-    mask = np.random.default_rng(3).random((30, 30)) < 0.9
-    got = rings.spread(mask, rings._NEAR, all_of=True)
-    for y in range(30):
-        for x in range(30):
-            far = min((max(abs(y - a), abs(x - b)) - min(abs(y - a), abs(x - b))) * 0.955 + min(abs(y - a), abs(x - b)) * 1.3693 for a, b in np.argwhere(~mask))
-            assert got[y, x] == (far > 2)
+    for seed, (share, shape) in enumerate([(0.9, (30, 30)), (0.5, (17, 40)), (0.995, (40, 25))]):
+        mask = np.random.default_rng(seed).random(shape) < share
+        mask[3, 4] = False
+        got, some = rings.distances(mask), rings.distances(mask, 2.0)
+        outside = np.argwhere(~mask)
+        for y in range(shape[0]):
+            for x in range(shape[1]):
+                far = np.sqrt(((outside - [y, x]) ** 2).sum(1).min())
+                assert abs(got[y, x] - far) < 1e-9 and (some[y, x] > 2) == (far > 2) and (far > 2 or abs(some[y, x] - far) < 1e-9)
+    assert (rings.distances(np.ones((3, 4), bool)) >= 7).all() and not rings.distances(np.zeros((3, 4), bool)).any()
+
+
+def test_what_is_filled_in_continues_what_is_around():
+    from pagewright.operators import rings
+
+    y, x = np.mgrid[:60, :80]
+    slope = np.dstack([40 + 2 * x, 30 + 1.5 * y + x, np.full(x.shape, 77.0)])
+    page = np.rint(slope).astype(np.uint8)
+    hole = np.zeros((60, 80), bool)
+    hole[10:50, 30:42] = True
+    hole[25:33, 60:68] = True
+    damaged = page.copy()
+    damaged[hole] = 0
+    out = rings.filled_in(damaged, hole)
+    assert (out[~hole] == page[~hole]).all() and np.abs(out[hole].astype(int) - page[hole]).max() <= 4 and (out[:, :, 2] == 77).all()
+    step = np.full((40, 60, 1), 200, np.uint8)
+    step[20:] = 60  # an edge goes on through what is filled in
+    gap = np.zeros((40, 60), bool)
+    gap[:, 28:33] = True
+    out = rings.filled_in(np.where(gap[..., None], 0, step).astype(np.uint8), gap)
+    assert np.abs(out.astype(int) - step)[gap].mean() < 6
+    corner = np.zeros((40, 60), bool)
+    corner[:6, :6] = True
+    assert (rings.filled_in(np.where(corner[..., None], 0, 200).astype(np.uint8).repeat(3, 2), corner) == 200).all()
+    nothing = np.zeros((40, 60), bool)
+    assert (rings.filled_in(step, nothing) == step).all() and (rings.filled_in(step, ~nothing) == step).all()
 
 
 def test_components_of_runs():
