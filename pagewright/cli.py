@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators.batches import scanned_and_counted
 from pagewright.params import ScanParams
 from pagewright.plans.pages import scan_images
 from pagewright.session import durable, importable_on_workers, local_session
@@ -15,10 +16,13 @@ from pagewright.sinks.documents import assemble, export, page_artifacts
 from pagewright.sources.images import collect_pages
 
 
-def run(spark: SparkSession, source: str, output: str, params: ScanParams = ScanParams(), page_limit: int | None = None, page_size: str | None = "A4", images_out: str | None = None, border: bool = True) -> DataFrame:
-    """Scan a source to OUTPUT; returns the pages that could not be read or scanned: name, page_no, error."""
+def run(spark: SparkSession, source: str, output: str, params: ScanParams = ScanParams(), page_limit: int | None = None, page_size: str | None = "A4", images_out: str | None = None, border: bool = True, told: dict | None = None) -> DataFrame:
+    """Scan a source to OUTPUT; told is given the counts of pages scanned and failed. Returns the pages that could not be read or scanned: name, page_no, error."""
     pages = durable(collect_pages(spark, source, page_limit).withColumn("page_id", F.col("page_no").cast("long")))
-    done = durable(scan_images(pages, params)).withColumn("page_no", F.col("page_id").cast("int"))
+    counted, seen = scanned_and_counted(scan_images(pages, params))
+    done = durable(counted).withColumn("page_no", F.col("page_id").cast("int"))
+    if told is not None:
+        told.update(seen.get)
     images = done.where("error is null")
     if images_out:
         export(page_artifacts(images, kind="jpg"), images_out)
@@ -41,9 +45,11 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = local_session()
     importable_on_workers(spark)
-    bad = run(spark, args.input, args.output, ScanParams(kernel=args.kernel, output_scale=args.scale, preserve_borders=args.keep_borders), args.pages, None if args.page_size == "image" else args.page_size, args.images_out, not args.no_border)
+    told: dict = {}
+    bad = run(spark, args.input, args.output, ScanParams(kernel=args.kernel, output_scale=args.scale, preserve_borders=args.keep_borders), args.pages, None if args.page_size == "image" else args.page_size, args.images_out, not args.no_border, told)
     for row in bad.collect():
         print(f"{row.name}, page {row.page_no + 1}: {row.error}")
+    print(f"{told['scanned']} of {told['rows']} pages scanned, {told['failed']} failed")
 
 
 if __name__ == "__main__":

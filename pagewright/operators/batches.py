@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.scalars import is_image_name, suffix
@@ -20,6 +20,26 @@ def accepted(uploads: DataFrame, name: str = "name") -> DataFrame:
     return uploads.where((F.length(name) > 0) & is_image_name(F.col(name)))
 
 
+def counted(rows: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation of how many there are (`rows`) and how many of them meet each condition: known as soon as
+    an action has read them all, without a job of its own."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()]), seen
+
+
+def accepted_and_counted(uploads: DataFrame, name: str = "name") -> tuple[DataFrame, Observation]:
+    """Accepted uploads, and an observation of the rows offered, those skipped because they have no name (`nameless`), and
+    those that are no image by their name (`unsupported`)."""
+    empty = F.coalesce(F.length(name), F.lit(0)) == 0
+    rows, seen = counted(uploads, "uploads", nameless=empty, unsupported=~empty & ~is_image_name(F.col(name)))
+    return accepted(rows, name), seen
+
+
+def scanned_and_counted(pages: DataFrame, name: str = "pages") -> tuple[DataFrame, Observation]:
+    """Pages (with data and error), and an observation of how many there are, were scanned and have failed."""
+    return counted(pages, name, scanned=F.col("error").isNull() & F.col("data").isNotNull(), failed=F.col("error").isNotNull())
+
+
 def reject_pdfs(uploads: DataFrame, name: str = "name") -> DataFrame:
     """uploads, or an error if one of them is a PDF: it belongs in a document job."""
     pdf = suffix(F.col(name)) == ".pdf"

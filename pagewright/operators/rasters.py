@@ -10,6 +10,7 @@ keeps it; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pagewright import params as P
 from pagewright.operators import votes as V
 from pagewright.operators.images import gaussian
 
+LOG = logging.getLogger(__name__)
 #: Pixels that a ruling is high at most, and gaps in it that are closed, on a page of 1000 pixels across.
 THIN, GAP = 6, 20
 SCHEMA = "page_id long, width int, height int, channels int, data binary, error string"
@@ -57,13 +59,25 @@ def each_page(images: DataFrame, step: Callable, *columns: str) -> DataFrame:
             if error is None:
                 try:
                     image = step(image, *(row[c] for c in columns))
-                except (ValueError, IndexError, ArithmeticError, MemoryError) as problem:
-                    image, error = None, f"{getattr(step, '__name__', 'step')}: {problem}"
+                except Exception as problem:  # whatever is wrong with one page, the others go on
+                    image, error = None, f"{getattr(step, '__name__', 'step')}: {problem or type(problem).__name__}"
             yield page_row(row["page_id"], image if error is None else None, error)
 
     return images.select(*NAMES, *columns).mapInArrow(run, SCHEMA)
 
 
+def in_turn(image: np.ndarray, *steps: Callable) -> np.ndarray:
+    """A page after these steps; one that fails on it, or leaves nothing of it, is left out, so the page is never worse
+    off than before."""
+    for step in steps:
+        try:
+            after = step(image)
+            image = after if after.size else image
+        except Exception:
+            LOG.warning("%s is left out", getattr(step, "__name__", "a step"), exc_info=True)
+    return image
+
+
 def measured(images: DataFrame, measure: Callable, schema: str) -> DataFrame:
     """page_id and what a measure of each page's array returns: a list of rows of this schema. Pages with an error, or
     on which it fails, give none."""
@@ -72,7 +86,8 @@ def measured(images: DataFrame, measure: Callable, schema: str) -> DataFrame:
         for row, image, error in _pages(batches):
             try:
                 found = measure(image) if error is None else []
-            except (ValueError, IndexError, ArithmeticError, MemoryError):
+            except Exception:  # no evidence; the executor's log says why
+                LOG.warning("page %s can't be measured", row["page_id"], exc_info=True)
                 found = []
             if found:
                 columns = list(zip(*found, strict=True))
@@ -124,6 +139,8 @@ def blurred(channel: np.ndarray, kernel: list[float]) -> np.ndarray:
 
 def reference_look(image: np.ndarray, k: int = P.FLATTEN_KERNEL, saturation: float = P.SATURATION, white: int = P.WHITE_POINT, blacks: tuple = P.BLACK_POINTS) -> np.ndarray:
     """Flattened against the local mean, saturated and stretched; one truncation at the end."""
+    if image.shape[2] not in (1, 3):
+        raise ValueError("neither a gray nor a colour page")
     flat = [np.clip(c - box_mean(c, k) + 127.0, 0, 255) for c in (image[:, :, n] for n in range(image.shape[2]))]
     if len(flat) == 3:
         b, g, r = flat

@@ -5,7 +5,8 @@ from rows of ruling segments by joins, groups and windows (operators/segments.py
 rows are few a page; while they are counted to be few in all they are broadcast, so the images are not shuffled.
 
 Defined results: a page that cannot be read or on which a step fails keeps its row, with an error; a blank page stays
-blank; an empty table gives no rows.
+blank; a step of levelling, trimming or cleaning that fails on a page is left out there, and the executor's log says
+why; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,13 +141,24 @@ def settle(images: DataFrame, strokes: dict = STROKES, tolerance: float = 0.25)
 
 
 def trimmed(image: np.ndarray) -> np.ndarray:
-    """A raw page without the dark columns at its left, bands without ink, a smeared top and ink-free rims."""
-    image = image[:, R.dark_left(R.gray(image)) :]
-    x0, y0, x1, y1 = R.ink_free(R.gray(image))
-    image = image[y0:y1, x0:x1]
-    image = image[R.smeared_top(R.gray(image)) :]
-    x0, y0, x1, y1 = R.ink_free(R.gray(image), INK, AUTO_TRIM)
-    return image[y0:y1, x0:x1]
+    """A raw page without the dark columns at its left, bands without ink, a smeared top and ink-free rims; a trim that
+    fails is left out."""
+
+    def dark_left(page: np.ndarray) -> np.ndarray:
+        return page[:, R.dark_left(R.gray(page)) :]
+
+    def bands(page: np.ndarray) -> np.ndarray:
+        x0, y0, x1, y1 = R.ink_free(R.gray(page))
+        return page[y0:y1, x0:x1]
+
+    def smeared_top(page: np.ndarray) -> np.ndarray:
+        return page[R.smeared_top(R.gray(page)) :]
+
+    def rims(page: np.ndarray) -> np.ndarray:
+        x0, y0, x1, y1 = R.ink_free(R.gray(page), INK, AUTO_TRIM)
+        return page[y0:y1, x0:x1]
+
+    return R.in_turn(image, dark_left, bands, smeared_top, rims)
 
 
 def reframed(image: np.ndarray, params: ScanParams = ScanParams()) -> np.ndarray:
@@ -178,20 +190,31 @@ def reframed(image: np.ndarray, params: ScanParams = ScanParams()) -> np.ndarray
 
 def finished(image: np.ndarray, params: ScanParams = ScanParams()) -> np.ndarray:
     """A level page without what enhancement showed above it, reframed with half the margins and, where the edges are
-    margins, cleaned; sharpened, at its final size."""
-    x0, y0, x1, y1 = R.ink_free(R.gray(image), params.ink, (0.0, 0.0, TOP_TRIM, 0.0))
+    margins, cleaned; sharpened, at its final size. A step that fails is left out."""
     half = replace(params, margins=tuple(m / 2 for m in params.margins))
-    image = R.whiten_corners(reframed(image[y0:y1, x0:x1], half))
-    if not params.preserve_borders:
-        image = R.whiten_border(image, params.ink, params.border_depth)
-    if abs(params.output_scale - 1.0) > 1e-6:
-        h, w = image.shape[:2]
-        image = R.unsharp(R.resized(image, max(1, round(w * params.output_scale)), max(1, round(h * params.output_scale))), 1.6, R.gaussian(7, 1.0))
-    else:
-        image = R.unsharp(image)
-    h, w = image.shape[:2]
-    target = w if params.aspect is None else max(1, round(h * params.aspect))
-    return image if target == w else R.resized(image, target, h)
+
+    def top_trimmed(page: np.ndarray) -> np.ndarray:
+        x0, y0, x1, y1 = R.ink_free(R.gray(page), params.ink, (0.0, 0.0, TOP_TRIM, 0.0))
+        return page[y0:y1, x0:x1]
+
+    def framed(page: np.ndarray) -> np.ndarray:
+        return reframed(page, half)
+
+    def clean_border(page: np.ndarray) -> np.ndarray:
+        return page if params.preserve_borders else R.whiten_border(page, params.ink, params.border_depth)
+
+    def sharp(page: np.ndarray) -> np.ndarray:
+        if abs(params.output_scale - 1.0) <= 1e-6:
+            return R.unsharp(page)
+        h, w = page.shape[:2]
+        return R.unsharp(R.resized(page, max(1, round(w * params.output_scale)), max(1, round(h * params.output_scale))), 1.6, R.gaussian(7, 1.0))
+
+    def sized(page: np.ndarray) -> np.ndarray:
+        h, w = page.shape[:2]
+        target = w if params.aspect is None else max(1, round(h * params.aspect))
+        return page if target == w else R.resized(page, target, h)
+
+    return R.in_turn(image, top_trimmed, framed, R.whiten_corners, clean_border, sharp, sized)
 
 
 def on_template(image: np.ndarray, kind: str | None, numbers: list[float] | None, params: ScanParams = ScanParams()) -> np.ndarray:
@@ -207,11 +230,17 @@ def scan_images(images: DataFrame, params: ScanParams = ScanParams(), strokes: d
     match it are brought onto it, and all get its size."""
 
     def enhanced(image: np.ndarray, kind: str | None, numbers: list[float] | None) -> np.ndarray:
-        page = move(image, kind, numbers)
+        def moved(page: np.ndarray) -> np.ndarray:
+            return move(page, kind, numbers)
+
+        def framed(page: np.ndarray) -> np.ndarray:
+            return reframed(page, params)
+
+        page = R.in_turn(image, moved)
         if kind != "quad" and not params.preserve_borders:  # what has an outline has no rims
             page = trimmed(page)
         look = R.reference_look(page, params.kernel, params.saturation, params.white, params.blacks)
-        return look if params.preserve_borders else without_rings(reframed(look, params))
+        return look if params.preserve_borders else R.in_turn(look, framed, without_rings)
 
     size = T.template_size(template)
 

@@ -12,6 +12,7 @@ later row of the later partition stays; null content is an empty file; other col
 
 from __future__ import annotations
 
+import os
 import re
 import time
 import uuid
@@ -117,6 +118,11 @@ class ArtifactSink(DataSource):
         return ArtifactStreamWriter(self.options["path"])
 
 
+def absolute(folder: str) -> str:
+    """The folder, as the driver sees it where it is given without a scheme."""
+    return folder if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", folder) else os.path.abspath(folder)
+
+
 def safely_named(artifacts: DataFrame) -> DataFrame:
     """name and content, the names made safe."""
     return artifacts.select(F.coalesce(sanitize_name(F.col("name")), F.raise_error(F.lit("an artifact without a name"))).alias("name"), "content")
@@ -125,10 +131,10 @@ def safely_named(artifacts: DataFrame) -> DataFrame:
 def export(artifacts: DataFrame, folder: str) -> None:
     """Write artifacts as files into a folder that all executors share: all of them, or none."""
     artifacts.sparkSession.dataSource.register(ArtifactSink)
-    safely_named(artifacts).write.format(FORMAT).mode("append").save(folder)
+    safely_named(artifacts).write.format(FORMAT).mode("append").save(absolute(folder))
 
 
 def export_stream(artifacts: DataFrame, folder: str, checkpoint: str):
     """A stream of artifacts as files; the query that writes them, ready to be started."""
     artifacts.sparkSession.dataSource.register(ArtifactSink)
-    return safely_named(artifacts).writeStream.format(FORMAT).option("checkpointLocation", checkpoint).option("path", folder).outputMode("append")
+    return safely_named(artifacts).writeStream.format(FORMAT).option("checkpointLocation", checkpoint).option("path", absolute(folder)).outputMode("append")

@@ -18,6 +18,30 @@ def test_uploads(spark):
         B.reject_pdfs(spark.createDataFrame([("x.PDF",)], "name string")).collect()
 
 
+def test_counts_come_with_the_rows_and_survive_retries(spark, tmp_path):
+    """Equal to a group by over the input; a task that fails once and is run again counts once."""
+    rows = [(k, ["a.jpg", "", None, "b.TXT", "c.png", "noend"][k % 6]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "seq int, name string").repartition(4)
+    kept, seen = B.accepted_and_counted(df)
+    flag = str(tmp_path / "failed")
+
+    def once(batches):
+        import os
+
+        for batch in batches:
+            if not os.path.exists(flag):
+                open(flag, "w").close()
+            yield batch
+
+    assert kept.mapInArrow(once, kept.schema).count() == B.accepted(df).count()
+    want = df.agg(F.count("*"), F.count_if(F.coalesce(F.length("name"), F.lit(0)) == 0), F.count_if((F.length("name") > 0) & ~F.lower("name").rlike("[.](jpg|png)$"))).first()
+    assert seen.get == {"rows": want[0], "nameless": want[1], "unsupported": want[2]}
+    pages = spark.createDataFrame([(1, bytearray(b"x"), None), (2, None, "broken"), (3, None, "x"), (4, None, None)], "page_id int, data binary, error string")
+    out, seen = B.scanned_and_counted(pages)
+    out.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 4, "scanned": 1, "failed": 2}
+
+
 def test_page_limits(spark):
     one = spark.range(1)
     assert one.select(B.parsed_limit(F.lit(" 3 "))).first()[0] == 3

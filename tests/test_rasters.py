@@ -288,3 +288,25 @@ def test_areas_shrink_to_their_means():
     assert (R.shrunk(a, 3, 2) == np.rint(a.reshape(2, 2, 3, 2).mean((1, 3)))).all()
     small, scale = R.probe(np.full((50, 1500), 9, np.uint8))
     assert small.shape == (33, 1000) and scale == 1000 / 1500 and (small == 9).all()
+
+
+def test_a_step_that_fails_is_left_out(spark, monkeypatch):
+    """One page, the others and the steps before and after it stay."""
+    from pagewright.plans import pages as P
+
+    page = np.full((60, 40, 3), 200, np.uint8)
+    bad = lambda _: {}["nothing"]
+    empty = lambda p: p[:0]
+    assert (R.in_turn(page, lambda p: p + 1, bad, empty, lambda p: p * 1) == 201).all()
+    rows = [(k, 40, 60, 3, page.tobytes(), None) for k in range(2)] + [(2, 40, 60, 3, b"cut short", None)]
+    images = spark.createDataFrame(rows, R.SCHEMA)
+
+    def step(image):
+        raise KeyError("a step of its own")
+
+    found = {r.page_id: r.error for r in R.each_page(images, step).collect()}
+    assert "a step of its own" in found[0] and found[2] == "not a whole image"
+    assert R.measured(images, step, "n long").count() == 0
+    monkeypatch.setattr(P, "reframed", bad)
+    monkeypatch.setattr(R, "dark_left", bad)
+    assert P.trimmed(page).shape[2] == 3 and P.finished(page).size
