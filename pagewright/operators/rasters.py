@@ -495,21 +495,6 @@ def grown(mask: np.ndarray) -> np.ndarray:
     return m[:, :-2] | m[:, 1:-1] | m[:, 2:]
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull of points (x, y), in order."""
-
-    def half(some: np.ndarray) -> list:
-        out: list = []
-        for p in some:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    some = points[np.lexsort((points[:, 1], points[:, 0]))].astype(np.float64)
-    return np.array(half(some) + half(some[::-1])) if len(some) > 2 else some
-
-
 def simplified(polygon: np.ndarray, tolerance: float) -> np.ndarray:
     """The corners of a closed polygon that are further than the tolerance from the sides that the others make."""
     far = lambda p: int(np.argmax(((polygon - p) ** 2).sum(1)))
@@ -531,9 +516,57 @@ def simplified(polygon: np.ndarray, tolerance: float) -> np.ndarray:
     return polygon[sorted(keep)]
 
 
+#: The places around a pixel (down, right), clockwise from the right.
+_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+
+def border(mask: np.ndarray) -> np.ndarray:
+    """x and y of the outer border of the mask's first component, pixel by pixel, clockwise from its topmost left one;
+    where the component is one pixel thin the border comes back along it."""
+    wide = mask.shape[1] + 2
+    flat = bytearray(np.pad(mask, 1).astype(np.uint8).tobytes())
+    start = flat.find(1)
+    if start < 0:
+        return np.empty((0, 2), np.int64)
+    steps = [dy * wide + dx for dy, dx in _AROUND]
+    back_to = {step: k for k, step in enumerate(steps)}
+    path, at, back, second = [start], start, 4, None  # what is to the left of the first pixel is empty
+    while True:
+        for k in range(1, 9):
+            turn = (back + k) & 7
+            if flat[at + steps[turn]]:
+                break
+        else:
+            break  # one pixel alone
+        following = at + steps[turn]
+        if at == start and following == second:
+            path.pop()  # round once
+            break
+        second = following if second is None else second
+        back = back_to[at + steps[(turn - 1) & 7] - following]
+        at = following
+        path.append(at)
+    path = np.array(path)
+    return np.column_stack([path % wide - 1, path // wide - 1])
+
+
+def enclosed(ring: np.ndarray) -> float:
+    """The area of a closed polygon."""
+    x, y = ring[:, 0], ring[:, 1]
+    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+
+
+def convex(corners: np.ndarray) -> bool:
+    """Whether a closed polygon turns one way only."""
+    side = np.roll(corners, -1, 0) - corners
+    following = np.roll(side, -1, 0)
+    turn = side[:, 0] * following[:, 1] - side[:, 1] * following[:, 0]
+    return bool((turn > 0).all() or (turn < 0).all())
+
+
 def outlines(image: np.ndarray, most: int = 7) -> list[tuple]:
-    """idx, area, w, h and points (x and y of four corners; null if it has no four) of the largest closed edges of a
-    page: what they enclose is measured, and their hull simplified until four corners are left."""
+    """idx, area, w, h and points (x and y of four corners; null if it has no four that turn one way) of the largest
+    edges of a page: their outer borders are followed, measured, and simplified until four corners are left."""
     g, scale = probe(gray(image))
     mask = grown(edges(g))
     runs = Runs(mask)
@@ -547,22 +580,18 @@ def outlines(image: np.ndarray, most: int = 7) -> list[tuple]:
     for k in first[np.argsort(-span, kind="stable")][:most].tolist():
         if (x1[k] - x0[k]) * (y1[k] - y0[k]) < 0.2 * h * w:
             continue
-        own = np.zeros((h + 2, w + 2), bool)
+        own = np.zeros((h, w), bool)
         for j in np.flatnonzero(runs.label == k):
-            own[runs.y[j] + 1, runs.x0[j] + 1 : runs.x1[j] + 1] = True
-        outer = Runs(~own)
-        area = float((h + 2) * (w + 2) - outer.length[outer.label == outer.label[0]].sum())
-        mine = runs.label == k
-        ring = hull(np.vstack([np.column_stack([runs.x0[mine], runs.y[mine]]), np.column_stack([runs.x1[mine] - 1, runs.y[mine]])]))
+            own[runs.y[j], runs.x0[j] : runs.x1[j]] = True
+        ring = border(own).astype(np.float64)
+        area = enclosed(ring)
         sides = np.roll(ring, -1, 0) - ring
-        full = abs(float((ring[:, 0] * np.roll(ring[:, 1], -1) - ring[:, 1] * np.roll(ring[:, 0], -1)).sum())) / 2
         around, points = float(np.hypot(sides[:, 0], sides[:, 1]).sum()), None
-        if full and area >= 0.9 * full:  # not dented
-            for share in (0.02, 0.03, 0.05):
-                corners = simplified(ring, share * around)
-                if len(corners) == 4:
-                    points = (corners / scale).ravel().tolist()
-                    break
+        for share in (0.02, 0.03, 0.05):
+            corners = simplified(ring, share * around)
+            if len(corners) == 4 and convex(corners):
+                points = (corners / scale).ravel().tolist()
+                break
         out.append((k, area / scale**2, w / scale, h / scale, points))
     return out
 

@@ -310,3 +310,52 @@ def test_a_step_that_fails_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(P, "reframed", bad)
     monkeypatch.setattr(R, "dark_left", bad)
     assert P.trimmed(page).shape[2] == 3 and P.finished(page).size
+
+
+def test_borders_enclose_what_a_flood_counts():
+    """Pixels within a border: by the polygon's area and its length (every step is a pixel), and by a flood from outside."""
+    rng = np.random.default_rng(8)
+    for k in range(12):
+        mask = np.zeros((50, 60), bool)
+        for _ in range(6):
+            y, x, a, b = rng.integers(2, 30), rng.integers(2, 35), rng.integers(6, 18), rng.integers(6, 22)
+            mask[y : y + a, x : x + b] = True
+        runs = R.Runs(mask)
+        own = np.zeros_like(mask)
+        for j in np.flatnonzero(runs.label == runs.label[0]):
+            own[runs.y[j], runs.x0[j] : runs.x1[j]] = True
+        own[5:40, 20:22] &= k % 2 == 0
+        runs = R.Runs(own)
+        first = np.zeros_like(mask)
+        for j in np.flatnonzero(runs.label == runs.label[0]):
+            first[runs.y[j], runs.x0[j] : runs.x1[j]] = True
+        ring = R.border(first)
+        outside = np.zeros((52, 62), bool)
+        outside[0, 0] = True
+        free = ~np.pad(first, 1)
+        while True:  # a flood by four sides
+            grown = outside.copy()
+            grown[1:] |= outside[:-1]
+            grown[:-1] |= outside[1:]
+            grown[:, 1:] |= outside[:, :-1]
+            grown[:, :-1] |= outside[:, 1:]
+            grown &= free
+            if (grown == outside).all():
+                break
+            outside = grown
+        assert R.enclosed(ring) + len(ring) / 2 + 1 == (~outside).sum(), k
+        assert first[ring[:, 1], ring[:, 0]].all() and np.abs(np.roll(ring, -1, 0) - ring).max() == 1
+    assert R.border(np.zeros((3, 3), bool)).tolist() == [] and R.border(np.eye(1, dtype=bool)).tolist() == [[0, 0]]
+
+
+def test_dented_outlines_have_no_four_corners():
+    page = photographed([(150, 80), (760, 130), (800, 620), (110, 560)])
+    (found,) = [x for x in R.outlines(page) if x[1] > 0.25 * page.shape[0] * page.shape[1]]
+    assert found[4]
+    inside = 0.5 * abs(sum(a * d - c * b for (a, b), (c, d) in zip([(150, 80), (760, 130), (800, 620), (110, 560)], [(760, 130), (800, 620), (110, 560), (150, 80)])))
+    assert abs(found[1] - inside) < 0.02 * inside
+    page[250:420, 600:] = 50  # a dark thing lies on its side
+    (found,) = [x for x in R.outlines(page) if x[1] > 0.25 * page.shape[0] * page.shape[1]]
+    assert found[4] is None and found[1] < 0.95 * inside
+    square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
+    assert R.convex(square) and R.convex(square[::-1]) and not R.convex(np.array([[0, 0], [10, 0], [3, 3], [0, 10]], float))
