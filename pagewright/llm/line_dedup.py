@@ -6,7 +6,8 @@ line far above or below the threshold is decided by its sketches; one near it ge
 boilerplate: it goes from every document but that with the smallest doc_id. Unless it is given, `sites` is 10, or half
 of all sites where there are fewer than 20, but 2 at least.
 
-Defined results: null text has no lines and stays null; blank lines are never counted nor removed; a null source is no
+Defined results: null text has no lines and stays null; lines are compared without white space (space and
+\\x09-\\x0D) around them and kept as they are; blank lines are never counted nor removed; a null source is no
 site; rows with a null doc_id lose their boilerplate lines; rows are told apart by doc_id and text, so repeated rows are
 treated alike; other columns are kept.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import BROADCAST_ROWS, durable, each_batch, raw_texts, table
 
 SITES = 10
+#: What is trimmed off a line before it is compared, so a line is one with either line end.
+SPACE = " \t\n\x0b\x0c\r"
 #: Base-2 logarithm of a sketch's registers, and the relative error that this gives.
 LOG_K = 12
 ERROR = 1.04 / 2 ** (LOG_K / 2)
@@ -31,7 +34,7 @@ ERROR = 1.04 / 2 ** (LOG_K / 2)
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, body (a hash of the text), source, at (line number) and h1, h2 (of the trimmed line) of every line that is not blank."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    lines = lines.withColumn("line", F.trim("line", F.lit(SPACE))).where("line <> ''")
     return lines.select("doc_id", "body", "source", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -95,6 +98,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE = f"""
 WITH enough AS (
     SELECT least({SITES}, greatest(2, (count(DISTINCT source) + 1) // 2)) AS n FROM documents
@@ -102,13 +106,13 @@ WITH enough AS (
     SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
     FROM documents
 ), spread AS (
-    SELECT trim(line) AS line, min(doc_id) AS first_id
-    FROM lines WHERE trim(line) <> ''
+    SELECT trim(line, {_SPACE}) AS line, min(doc_id) AS first_id
+    FROM lines WHERE trim(line, {_SPACE}) <> ''
     GROUP BY 1 HAVING count(DISTINCT source) >= (SELECT n FROM enough) AND count(DISTINCT md5(text)) >= (SELECT n FROM enough)
 ), kept AS (
     SELECT doc_id, count(*) AS n_lines, count(s.line) FILTER (WHERE doc_id > first_id) AS n_removed,
         string_agg(l.line, chr(10) ORDER BY n) FILTER (WHERE s.line IS NULL OR NOT doc_id > first_id) AS text
-    FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line
+    FROM lines l LEFT JOIN spread s ON trim(l.line, {_SPACE}) = s.line
     GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256

@@ -9,7 +9,7 @@ def plain(docs, sites):
     where, texts, first = {}, {}, {}
     for doc, text, source in docs:
         for line in (text or "").split("\n"):
-            if key := line.strip(" "):
+            if key := line.strip(" \t\n\x0b\x0c\r"):
                 where.setdefault(key, set()).add(source)
                 texts.setdefault(key, set()).add(text)
                 first[key] = doc if first.get(key) is None else first[key] if doc is None else min(first[key], doc)
@@ -17,7 +17,7 @@ def plain(docs, sites):
     out = []
     for doc, text, _ in docs:
         lines = [] if text is None else text.split("\n")
-        kept = [x for x in lines if x.strip(" ") not in common or (doc is not None and doc <= first[x.strip(" ")])]
+        kept = [x for x in lines if x.strip(" \t\n\x0b\x0c\r") not in common or (doc is not None and doc <= first[x.strip(" \t\n\x0b\x0c\r")])]
         out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
@@ -50,3 +50,9 @@ def test_few_sites_need_half_of_them(spark):
     assert brute.counted(got) == brute.counted(plain(rows, 2)) and sum(r.n_removed for r in got) == 8
     many = docs.unionByName(spark.range(40).selectExpr("100 + id as doc_id", "'x' as text", "concat('s', id) as source"))
     assert L.enough_sites(many) == L.SITES and L.enough_sites(docs.limit(0)) == 2
+
+
+def test_lines_are_one_with_either_line_end(spark):
+    rows = [(i, f"own line {i}{end}\nshared footer{end}\n\t \nlast", f"site{i}") for i, end in enumerate(["\r", "", "\t", " \r", "\x0b"] * 4)]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert brute.counted(got) == brute.counted(plain(rows, 10)) and sum(r.n_removed for r in got) == 2 * 19
