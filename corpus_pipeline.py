@@ -30,7 +30,7 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without lines that many sites share."""
     cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
     changed = F.col("n_removed") > 0
-    cut = cut.where(~(changed & (F.trim("text") == "")))
+    cut = cut.where(~(changed & (F.trim("text", F.lit(line_dedup.SPACE)) == "")))
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
