@@ -220,7 +220,7 @@ def connect(
     both = F.when(F.col("a_shared").isNotNull() & F.col("shared").isNotNull(), F.least("a_shared", "shared")).otherwise(F.least("a_size", "size"))
     alike_with = lambda n: n >= limit * (F.col("a_size") + F.col("size") - n)
     may = fits & alike_with(both)
-    may = may if close is None else may & close
+    may = may if close is None else close & may
     placed = F.least(F.col("a_size") - _missing("a_sketch", "sketch"), F.col("size") - _missing("sketch", "a_sketch"))
     may = may & (F.col("a_sketch").isNull() | F.col("sketch").isNull() | alike_with(placed))
 
