@@ -21,7 +21,6 @@ a query never finds its own id; a query row that is repeated has one result, and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
