@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import line_dedup, mixing, packing, quality, simhash
-from pagewright.llm.common import durable, shared_dir, table
+from pagewright.llm.common import durable, passing, shared_dir, table
 from pagewright.session import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +37,7 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (SimHash of five-word shingles, verified
     at a similarity of 0.8 or more); repeated rows once."""
-    found = simhash.similar_documents(docs)
+    found = passing(spark, lambda: simhash.similar_documents(docs))
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  never null, so one shuffle of the texts serves join and repeats
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
     rows = docs.select(*COLUMNS, key("doc_id").alias("_key")).join(first, "_key", "left_semi")

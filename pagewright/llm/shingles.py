@@ -197,11 +197,13 @@ def connect(
     alike: float = ALIKE,
     crowd: int = CROWD,
     known: DataFrame | None = None,
+    once: Column | None = None,
 ) -> DataFrame:
     """Links (a, b) that, with those known, connect all texts (id, size and what close reads) that are alike and meet.
 
     index makes a row for every cell of a text, probes for every cell that it looks into (without: its own), each with a
-    long `cell`; close is a condition on columns x and a_x of the two sides."""
+    long `cell`; close is a condition on columns x and a_x of the two sides. Where two texts meet in several cells, once is
+    a condition that one of these meetings fulfils."""
     limit = F.lit(alike - 1e-9)
     texts = texts.withColumns({"shared": F.lit(None).cast("long"), "sketch": F.lit(None).cast("array<long>")})
     counts = index(texts).groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
@@ -261,7 +263,7 @@ def connect(
     met = _ends(a, columns).join(b, ["cell", "sub"])
     twice = F.col("a_id") < F.col("id") if probes is None else F.col("a_id") != F.col("id")
     apart = F.col("root").isNull() | F.col("a_root").isNull() | (F.col("root") != F.col("a_root"))
-    met = met.where((twice | (F.col("sub") != 0)) & (F.col("a_id") != F.col("id")) & apart & may)
+    met = met.where((twice | (F.col("sub") != 0)) & (F.col("a_id") != F.col("id")) & apart & may & (F.lit(True) if once is None else once))
     return found.union(_verified(met.select(F.col("a_id").alias("a"), F.col("id").alias("b")), sets, alike))
 
 

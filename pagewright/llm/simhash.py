@@ -21,16 +21,17 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, each_batch, raw_texts, table
+from pagewright.llm.common import durable, each_batch, passing, raw_texts, table
 from pagewright.llm.graphs import components
 from pagewright.llm.shingles import ALIKE, CROWD, SHINGLE, Sets, connect, distinct_texts, named, normal, profiles, shingle_hashes
 
@@ -208,32 +209,47 @@ def _cells(rows: DataFrame, fp, cells: list[tuple[int, int, int]], slots: list[i
     return rows.select(*[c for c in rows.columns if c != "own"], F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
 
 
+def _first_meeting(plan: list[tuple[list[int], int]], own: Callable[[str], Column]) -> Column:
+    """Of all meetings of a probe (a_fp, a_size) with an indexed text (fp, size), the one in the first partition on which
+    they are close enough; of the two of texts of one size class, which look for each other, the one of the lesser id."""
+    cell = None
+    for p, (bits, most) in enumerate(plan):
+        mask = F.lit(_signed(sum(1 << b for b in bits))).cast("long")
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp")).bitwiseAND(mask)) <= most
+        filed = F.xxhash64(F.lit(p), F.col("fp").bitwiseAND(mask), own("a_size"))
+        cell = F.when(near, filed) if cell is None else cell.when(near, filed)
+    return ((F.col("a_id") < F.col("id")) | (own("a_size") != own("size"))) & (F.col("cell") == cell)
+
+
 def alike_links(texts: DataFrame, sets: Sets, n: int, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect all texts (id, size, fps) which are alike and within the radius in one of their
     fingerprints."""
     drawn = texts.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
     slots = np.array([int(log(r["size"]) / -log(alike)) for r in drawn])
     fit = float(np.mean(np.isin(slots[:1000, None] - slots[None, :1000], (0, 1)))) / 2 + 0.5 / len(slots)
-    own = F.floor(F.log(F.col("size").cast("double")) / -log(alike)).cast("int")
+    own = lambda size: F.floor(F.log(F.col(size).cast("double")) / -log(alike)).cast("int")
     found = None
     for family in range(len(drawn[0]["fps"])):
         plan = plan_probes(np.array([r["fps"][family] for r in drawn], np.int64).view(np.uint64), n, radius, fit)
         masks = [sum(1 << b for b in bits) for bits, _ in plan]
         exact = [(p, mask, 0) for p, mask in enumerate(masks)]
         flips = [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]
-        rows = texts.select("id", "size", F.col("fps")[family].alias("fp"), own.alias("own"))
+        rows = texts.select("id", "size", F.col("fps")[family].alias("fp"), own("size").alias("own"))
         # a text looks for those of its own size class and the next one up, which are filed under theirs and the one below
-        more = connect(
+        search = partial(
+            connect,
             rows,
             sets,
-            index=lambda t, exact=exact: _cells(t, F.col("fp"), exact, [0, -1]),
-            probes=lambda t, flips=flips: _cells(t, F.col("fp"), flips, [0]),
+            index=partial(_cells, fp=F.col("fp"), cells=exact, slots=[0, -1]),
+            probes=partial(_cells, fp=F.col("fp"), cells=flips, slots=[0]),
             close=F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius,
             alike=alike,
             crowd=max(crowd, int(8 * fit * n / 2.0 ** min(len(bits) for bits, _ in plan))),  # four times what chance brings into a cell
             known=found,
+            once=_first_meeting(plan, own),
         )
-        found = durable(more if found is None else found.union(more))
+        more = passing(texts.sparkSession, search)
+        found = more if found is None else found.union(more)
     return found
 
 

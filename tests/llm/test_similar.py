@@ -1,11 +1,14 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import simhash as N
+from pagewright.session import CLEANUP, durable, passing
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, odd_rows, prose
 
@@ -144,3 +147,50 @@ def test_recall_at_the_limit(spark):
     linked = {k for k in range(220) if found[2 * k + 1] == 2 * k}
     assert linked <= alike and len(linked) >= 0.9 * len(alike) and 60 < len(alike) < 220
     assert all(found[2 * k] == 2 * k for k in range(220))
+
+
+def test_texts_that_meet_in_many_cells_are_paired_once(spark):
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    rows = []
+    for k in range(120):  # within a few bits of each other, so that they meet on most partitions
+        fp = centre
+        for bit in rng.sample(range(64), rng.randint(0, 8)):
+            fp ^= 1 << bit
+        rows.append((k, N._signed(fp), rng.choice((100, 101, 112, 124, 126, 155))))
+    plan = [(bits, 1) for bits in ([*range(p, 64, 6)] for p in range(6))] + [([3, 5, 8], 0)]
+    own = lambda size: F.floor(F.log(F.col(size).cast("double")) / -np.log(0.8).item()).cast("int")
+    exact = [(p, sum(1 << b for b in bits), 0) for p, (bits, _) in enumerate(plan)]
+    flips = [(p, exact[p][1], flip) for p, (bits, most) in enumerate(plan) for flip in N._flips(bits, most)]
+    texts = spark.createDataFrame(rows, "id long, fp long, size long").withColumn("own", own("size"))
+    a = N._cells(texts, F.col("fp"), flips, [0]).select("cell", *[F.col(c).alias(f"a_{c}") for c in ("id", "fp", "size")])
+    met = a.join(N._cells(texts, F.col("fp"), exact, [0, -1]), "cell").where("a_id <> id").withColumn("first", N._first_meeting(plan, own))
+    met = met.select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"), "first")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("firsts")).collect()
+    assert len(pairs) > 1000 and max(r.n for r in pairs) > 4 and {r.firsts for r in pairs} == {1}
+
+
+def test_what_a_search_keeps_on_its_way_is_removed(spark):
+    sc = spark.sparkContext
+    texts = [(i, prose(200 + i // 2, 60) + " x" * (i % 2)) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    held = durable(docs)
+    top = Path(sc.getCheckpointDir().removeprefix("file:")).parent
+    before = {p.name for p in top.rglob("rdd-*")}
+    found = corpus_pipeline.drop_near_duplicates(spark, held, "")
+    assert len({p.name for p in top.rglob("rdd-*")} - before) == 1  # the components alone
+    assert found.count() == 6 and held.count() == 12 and durable(docs).count() == 12
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_what_failed_leaves_nothing_and_settings_as_they_were(spark):
+    top = Path(durable(spark.range(3)).sparkSession.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+
+    def fails():
+        durable(spark.range(5))
+        raise KeyError("on its way")
+
+    with pytest.raises(KeyError):
+        passing(spark, fails)
+    assert not list(top.glob("passing-*")) and spark.conf.get(CLEANUP) == "false" and durable(spark.range(4)).count() == 4
+    assert passing(spark, lambda: passing(spark, lambda: durable(spark.range(6)))).count() == 6
