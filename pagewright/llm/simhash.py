@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import durable, each_batch, passing, raw_texts, table
 from pagewright.llm.graphs import components
-from pagewright.llm.shingles import ALIKE, CROWD, SHINGLE, Sets, connect, distinct_texts, named, normal, profiles, shingle_hashes
+from pagewright.llm.shingles import ALIKE, CROWD, MOST_PLACES, SHINGLE, Sets, bitmap, distinct_texts, in_part, may_share, meetings, named, normal, profiles, shingle_hashes, verified_in_turn
 
 BITS = 64
 #: Fingerprints in the sample that costs are estimated on. Any choice of partitions is exact.
 SAMPLE = 4096
 #: Rows that share a partition value beyond which no pairs are formed.
 HOT = 2000
-#: What a shuffled probe costs, in verified pairs.
-PROBE_COST = 20
+#: What a shuffled probe costs, in verified pairs: of a join, and of tables of fingerprints.
+PROBE_COST, TABLE_PROBE_COST = 20, 150
 #: Bits that may differ where texts are verified, and fingerprints of which one has to be that close.
 WIDE, FAMILIES = 12, 2
 
@@ -91,7 +91,7 @@ def bit_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int, fit: float = 1.0) -> tuple[float, list[int]]:
+def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int, fit: float = 1.0, probe_cost: int = PROBE_COST) -> tuple[float, list[int]]:
     """The cheapest thresholds that add up to radius - partitions + 1, and their cost, where only a share `fit` of pairs
     can meet. -1 leaves a partition out."""
     some = sample[: SAMPLE // 4]
@@ -105,7 +105,7 @@ def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int,
         for t in range(radius + 1):
             ball = sum(comb(width, k) for k in range(t + 1))
             share = max(near[t] / max(1, len(some) * (len(some) - 1)), ball / 2.0**width)
-            cost.append(PROBE_COST * n * (ball + 1) + share * fit * n * n / 2)
+            cost.append(probe_cost * n * (ball + 1) + share * fit * n * n / 2)
         costs.append(cost)
     goal = radius - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -120,12 +120,12 @@ def thresholds(sample: np.ndarray, groups: list[list[int]], radius: int, n: int,
     return best[goal]
 
 
-def plan_probes(sample: np.ndarray, n: int, radius: int, fit: float = 1.0) -> list[tuple[list[int], int]]:
+def plan_probes(sample: np.ndarray, n: int, radius: int, fit: float = 1.0, probe_cost: int = PROBE_COST) -> list[tuple[list[int], int]]:
     """Bits and threshold of each partition, for the number of partitions that costs least."""
     options = []
     for parts in range(2, radius + 2):
         groups = bit_groups(sample, parts)
-        cost, chosen = thresholds(sample, groups, radius, n, fit)
+        cost, chosen = thresholds(sample, groups, radius, n, fit, probe_cost)
         options.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[0])[1]
 
@@ -203,7 +203,7 @@ def _cells(rows: DataFrame, fp, cells: list[tuple[int, int, int]], slots: list[i
     of = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip")) for p, mask, flip in cells])
 
     def keys_of(step: int):
-        return F.transform(of, lambda c: F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step))
+        return F.transform(of, lambda c: in_part(F.xxhash64(c["part"], fp.bitwiseAND(c["mask"]).bitwiseXOR(c["flip"]), F.col("own") + step), c["part"]))
 
     keys = [keys_of(step) for step in slots]
     return rows.select(*[c for c in rows.columns if c != "own"], F.explode(keys[0] if len(keys) == 1 else F.concat(*keys)).alias("cell"))
@@ -216,41 +216,53 @@ def _first_meeting(plan: list[tuple[list[int], int]], own: Callable[[str], Colum
     for p, (bits, most) in enumerate(plan):
         mask = F.lit(_signed(sum(1 << b for b in bits))).cast("long")
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp")).bitwiseAND(mask)) <= most
-        filed = F.xxhash64(F.lit(p), F.col("fp").bitwiseAND(mask), own("a_size"))
+        filed = in_part(F.xxhash64(F.lit(p), F.col("fp").bitwiseAND(mask), own("a_size")), F.lit(p))
         cell = F.when(near, filed) if cell is None else cell.when(near, filed)
     return ((F.col("a_id") < F.col("id")) | (own("a_size") != own("size"))) & (F.col("cell") == cell)
 
 
 def alike_links(texts: DataFrame, sets: Sets, n: int, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect all texts (id, size, fps) which are alike and within the radius in one of their
+    """Links (a, b) that connect all texts (id, size, fps, map) which are alike and within the radius in one of their
     fingerprints."""
-    drawn = texts.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
+    drawn = texts.select("id", "size", "fps").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
     slots = np.array([int(log(r["size"]) / -log(alike)) for r in drawn])
     fit = float(np.mean(np.isin(slots[:1000, None] - slots[None, :1000], (0, 1)))) / 2 + 0.5 / len(slots)
     own = lambda size: F.floor(F.log(F.col(size).cast("double")) / -log(alike)).cast("int")
-    found = None
+    known = pairs = None
     for family in range(len(drawn[0]["fps"])):
-        plan = plan_probes(np.array([r["fps"][family] for r in drawn], np.int64).view(np.uint64), n, radius, fit)
+        plan = plan_probes(np.array([r["fps"][family] for r in drawn], np.int64).view(np.uint64), n, radius, fit, TABLE_PROBE_COST)
         masks = [sum(1 << b for b in bits) for bits, _ in plan]
         exact = [(p, mask, 0) for p, mask in enumerate(masks)]
         flips = [(p, masks[p], flip) for p, (bits, t) in enumerate(plan) for flip in _flips(bits, t)]
-        rows = texts.select("id", "size", F.col("fps")[family].alias("fp"), own("size").alias("own"))
+        rows = texts.select("id", "size", F.col("fps")[family].alias("fp"))
+        filed = lambda rows, cells, slots: _cells(rows.withColumn("own", own("size")), F.col("fp"), cells, slots)
         # a text looks for those of its own size class and the next one up, which are filed under theirs and the one below
         search = partial(
-            connect,
+            meetings,
             rows,
             sets,
-            index=partial(_cells, fp=F.col("fp"), cells=exact, slots=[0, -1]),
-            probes=partial(_cells, fp=F.col("fp"), cells=flips, slots=[0]),
-            close=F.bit_count(F.col("fp").bitwiseXOR(F.col("a_fp"))) <= radius,
+            index=partial(filed, cells=exact, slots=[0, -1]),
+            probes=partial(filed, cells=flips, slots=[0]),
+            radius=radius,
             alike=alike,
             crowd=max(crowd, int(8 * fit * n / 2.0 ** min(len(bits) for bits, _ in plan))),  # four times what chance brings into a cell
-            known=found,
+            known=known,
+            plan=list(zip(masks, (t for _, t in plan), strict=True)),
             once=_first_meeting(plan, own),
         )
-        more = passing(texts.sparkSession, search)
-        found = more if found is None else found.union(more)
-    return found
+        both = passing(texts.sparkSession, partial(_linked_or_met, search))
+        links, met = both.where("linked").select("a", "b"), both.where("not linked").select("a", "b")
+        known, pairs = (links, met) if known is None else (known.union(links), pairs.union(met))
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = durable(may_share(pairs, texts.select("id", "size", "map"), alike))
+    return known.union(verified_in_turn(pairs, sets, known, alike))
+
+
+def _linked_or_met(search: Callable[[], tuple[DataFrame | None, DataFrame]]) -> DataFrame:
+    """Links and pairs as one table."""
+    links, pairs = search()
+    pairs = pairs.distinct().withColumn("linked", F.lit(False))
+    return pairs if links is None else pairs.union(links.distinct().withColumn("linked", F.lit(True)))
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = WIDE, alike: float = ALIKE, crowd: int = CROWD, families: int = FAMILIES) -> DataFrame:
@@ -258,13 +270,14 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = WID
     fingerprints differ in `radius` bits at most in one of the families and whose shingles are alike."""
 
     def describe(hashes: np.ndarray, own: np.ndarray) -> list[int]:
-        return [_signed(simhash(mixed(hashes, k))) for k in range(families)]
+        return [*(_signed(simhash(mixed(hashes, k))) for k in range(families)), *bitmap(own)]
 
-    rows = durable(profiles(docs, shingle, describe, "fps"))
-    texts = distinct_texts(rows, "fps")
+    rows = durable(profiles(docs, shingle, describe, "marks"))
+    texts = distinct_texts(rows, "marks")
+    fps, places = F.slice("marks", 1, families).alias("fps"), F.slice("marks", families + 1, MOST_PLACES // 64).alias("map")
     n = texts.count()
-    links = alike_links(texts.select("id", "size", "fps"), Sets(docs, texts, shingle), n, radius, alike, crowd) if n > 1 else None
-    return named(rows, texts, links).select("doc_id", "fps", "component_id")
+    links = alike_links(texts.select("id", "size", fps, places), Sets(docs, texts, shingle), n, radius, alike, crowd) if n > 1 else None
+    return named(rows, texts, links).select("doc_id", fps, "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -194,3 +194,89 @@ def test_what_failed_leaves_nothing_and_settings_as_they_were(spark):
         passing(spark, fails)
     assert not list(top.glob("passing-*")) and spark.conf.get(CLEANUP) == "false" and durable(spark.range(4)).count() == 4
     assert passing(spark, lambda: passing(spark, lambda: durable(spark.range(6)))).count() == 6
+
+
+def test_sets_of_texts_that_are_close_by_chance_are_not_made(spark):
+    """Fingerprints within a few bits of each other, of sets that have nothing in common but for two."""
+    from pagewright.llm import shingles as S
+
+    rng, centre = random.Random(14), random.Random(15).getrandbits(64)
+    sets = {k: np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(190, 200))], np.uint64)) for k in range(30)}
+    sets[40] = np.sort(np.concatenate([sets[7][:-9], np.array([rng.getrandbits(64) for _ in range(4)], np.uint64)]))
+    rows = []
+    for k, own in sets.items():
+        fps = [N._signed(centre ^ sum(1 << b for b in rng.sample(range(64), 3))) for _ in range(2)]
+        rows.append((k, len(own), fps, S.bitmap(own)))
+    made = set()
+
+    class Recorded:
+        def of(self, ids):
+            asked = {r.id for r in ids.distinct().collect()}
+            made.update(asked)
+            return spark.createDataFrame([(k, bytearray(sets[k].tobytes())) for k in asked], "id long, set binary")
+
+    texts = spark.createDataFrame(rows, "id long, size long, fps array<long>, map array<long>")
+    assert {(r.a, r.b) for r in N.alike_links(texts, Recorded(), len(rows)).collect()} == {(7, 40)}
+    assert made == {7, 40}
+
+
+def test_fingerprints_that_share_a_cell_are_compared_as_tables(spark):
+    from pagewright.llm import shingles as S
+
+    rng, rows = random.Random(16), []
+    for k in range(900):
+        rows.append((k, N._signed(rng.getrandbits(64) & 0x3FFFF), rng.randint(100, 160), (-5, 0, 3, 8)[min(3, k // 200)]))  # the last cell is in several batches
+    probes = [(1000 + i, fp, size, at) for i, fp, size, at in rows[::5]] + [(5000, 1, 120, 99)]
+    kinds = "id long, fp long, size long, at long"
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        found = S.close_in_cells(spark.createDataFrame(probes, kinds), spark.createDataFrame(rows, kinds), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = {(p[0], r[0], r[3]) for p in probes for r in rows if p[3] == r[3] and (p[1] ^ r[1]).bit_count() <= 4 and min(p[2], r[2]) >= 0.8 * max(p[2], r[2])}
+    assert {(r.a_id, r.id, r.cell) for r in found} == want and len(found) == len(want) > 500
+
+
+def test_pieces_of_a_crowded_cell_meet_in_all_pairs(spark, monkeypatch):
+    from pagewright.llm import shingles as S
+
+    monkeypatch.setattr(S, "PIECE", 10)
+    kinds = "id long, cell long, sub long, members long"
+    b = spark.createDataFrame([(i, 1, 0, 45) for i in range(45)] + [(i, 2, 0, None) for i in range(45, 50)], kinds)
+    a = spark.createDataFrame([(100 + i, 1, 0, 45) for i in range(30)] + [(130, 2, 0, None)], kinds)
+    met = S._tables(a, True).withColumnRenamed("id", "a").join(S._tables(b, False), "at").groupBy("a", "id").count().collect()
+    assert {(r.a, r.id) for r in met} == {(100 + i, j) for i in range(30) for j in range(45)} | {(130, j) for j in range(45, 50)} and all(r["count"] == 1 for r in met)
+    assert S._tables(b, False).groupBy("at").count().agg(F.max("count")).first()[0] < 25
+
+
+def test_shingles_of_several_texts_are_hashed_together():
+    from pagewright.llm import shingles as S
+
+    rng = random.Random(17)
+    data = bytes(rng.randrange(256) for _ in range(900))
+    starts, sizes = np.array([rng.randrange(700) for _ in range(400)]), np.array([k % 200 for k in range(400)])
+    want = [xxhash.xxh64_intdigest(data[a : a + n], 42) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    assert S.span_hashes(data, starts, sizes).tolist() == want
+    bodies = [S.normal((r[1] or "").encode()) for r in odd_rows()] + [b"", S.normal(prose(70, 30_000).encode()), b"a b c d e", b"a b c d e f", b""]
+    for shingle in (1, 4, 5):
+        made = list(S.hashes_of(bodies, shingle))
+        assert len(made) == len(bodies) and all(np.array_equal(x, S.shingle_hashes(y, shingle)) for x, y in zip(made, bodies, strict=True))
+    assert not list(S.hashes_of([]))
+
+
+def test_dense_pairs_are_verified_in_turn(spark):
+    from pagewright.llm import shingles as S
+
+    base = np.arange(1, 301, dtype=np.uint64)
+    sets = {k: np.sort(np.concatenate([base[k % 3 :], np.array([10**6 + k], np.uint64)])) for k in range(12)} | {20: np.arange(500, 800, dtype=np.uint64)}
+
+    class Made:
+        def of(self, ids):
+            return spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "id long, set binary")
+
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    links = {(r.a, r.b) for r in S.verified_in_turn(pairs, Made()).collect()}
+    assert {x for pair in links for x in pair} == set(range(12)) and len(links) <= 15
+    rest = spark.createDataFrame([(1, 5), (1, 20)], "a long, b long")
+    assert [(r.a, r.b) for r in S.verified_in_turn(rest, Made()).collect()] == [(1, 5)]
